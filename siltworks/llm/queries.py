@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.llm import mixing, oversized, sql, token_budget
+from siltworks.llm import components, mixing, oversized, sql, token_budget
 from siltworks.runtime import table
 
 
@@ -14,6 +14,15 @@ def _mix(s, d):
     return _docs(s, d), table(s, d, "sampling_configs"), table(s, d, "sampling_sources")
 
 
+def _links(s, d):
+    return table(s, d, "duplicate_edges"), _docs(s, d), table(s, d, "canonical_documents")
+
+
+def _regroup(s, d):
+    checks, docs, canonical = _links(s, d)
+    return components.regroup(docs, checks, canonical)
+
+
 QUERIES = {
     "p2_found": lambda s, d: token_budget.found(_docs(s, d)),
     "p2_token_cube": lambda s, d: token_budget.token_cube(_docs(s, d), table(s, d, "sampling_sources")),
@@ -21,6 +30,8 @@ QUERIES = {
     "p3_pieces": lambda s, d: oversized.split_oversized(_docs(s, d)),
     "p5_found": lambda s, d: mixing.unreachable_sources(*_mix(s, d)),
     "p5_mix": lambda s, d: mixing.mix(*_mix(s, d)),
+    "p7_found": lambda s, d: components.found(*_links(s, d)),
+    "p7_regroup": _regroup,
     "p5_shares": lambda s, d: mixing.mix_shares(*_mix(s, d)),
 }
 

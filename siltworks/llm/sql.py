@@ -17,6 +17,15 @@ mixed as (select * from (
                    (floor(rate)::int + case when ('0x' || substr(sha256(concat(seed, ':', r.config_id, ':', doc_id)), 1, 16))::ubigint::double / 18446744073709551616::double < rate - floor(rate) then 1 else 0 end)::int as copies
             from rates r join sized s on s.name = r.name and chars between min_chars and max_chars where rate > 0) where copies > 0)"""
 
+_GROUPS = """
+ids as (select doc_id from documents union select doc_id from canonical_documents),
+e as (select distinct canonical_id as a, duplicate_id as b from duplicate_edges
+      where lower(trim(reason, e' \\t\\n\\r')) in ('exact', 'near') and canonical_id <> duplicate_id
+        and canonical_id in (from ids) and duplicate_id in (from ids)),
+both_ways as (select a, b from e union select b, a from e),
+reach as (select a as v, a as r from both_ways union select b, r from reach join both_ways on a = v),
+groups as (select v as doc_id, min(r) as group_id from reach group by 1)"""
+
 ORACLE: dict[str, str] = {
     "p2_found": r"""
 select doc_id from documents where regexp_matches(text, '[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]')
@@ -25,6 +34,10 @@ and (raw_tokens is null or cleaned_tokens is null or raw_tokens <= 0 or cleaned_
     "p3_found": r"""
 select doc_id, case when list_max(list_transform(regexp_split_to_array(text, '[\n.!?。！？]'), lambda x: length(x))) > 6000 then 1 else 0 end::int as forced
 from documents where length(text) > 6000""",
+    "p7_found": f"with recursive {_GROUPS} select doc_id, group_id from groups",
+    "p7_regroup": f"""with recursive {_GROUPS}
+select d.doc_id, coalesce(g.group_id, d.doc_id) as group_id, g.group_id is not null as linked,
+       nullif(lower(trim(d.cluster_id, e' \\t\\n\\r')), '') as recorded_cluster from documents d left join groups g using (doc_id)""",
     "p5_found": f"with {_PLAN} select config_id, name from rates where available_bytes * max_repeats < target_bytes",
     "p5_mix": f"with {_PLAN} select config_id, name, doc_id, bytes, copies from mixed",
     "p5_shares": f"""with {_PLAN},
