@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.llm import components, mixing, oversized, sql, token_budget
+from siltworks.llm import components, mixing, oversized, packing, splits, sql, token_budget
 from siltworks.runtime import table
 
 
@@ -24,6 +24,8 @@ def _regroup(s, d):
 
 
 QUERIES = {
+    "p1_found": lambda s, d: splits.found(_docs(s, d)),
+    "p1_splits": lambda s, d: splits.document_splits(_docs(s, d)),
     "p2_found": lambda s, d: token_budget.found(_docs(s, d)),
     "p2_token_cube": lambda s, d: token_budget.token_cube(_docs(s, d), table(s, d, "sampling_sources")),
     "p3_found": lambda s, d: oversized.found(_docs(s, d)),
@@ -32,6 +34,8 @@ QUERIES = {
     "p5_mix": lambda s, d: mixing.mix(*_mix(s, d)),
     "p7_found": lambda s, d: components.found(*_links(s, d)),
     "p7_regroup": _regroup,
+    "p9_containers": lambda s, d: packing.pack_documents(_docs(s, d)),
+    "p9_fill": lambda s, d: packing.fill_report(packing.pack_documents(_docs(s, d))),
     "p5_shares": lambda s, d: mixing.mix_shares(*_mix(s, d)),
 }
 

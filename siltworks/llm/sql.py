@@ -27,6 +27,10 @@ reach as (select a as v, a as r from both_ways union select b, r from reach join
 groups as (select v as doc_id, min(r) as group_id from reach group by 1)"""
 
 ORACLE: dict[str, str] = {
+    "p1_found": r"""
+select lower(trim(cluster_id, e' \t\n\r')) as cluster_id from (select cluster_id, case lower(trim(split, e' \t\n\r')) when 'train' then 1 when 'training' then 1 when 'trn' then 1
+  when 'tr' then 1 when 'validation' then 2 when 'valid' then 2 when 'val' then 2 when 'dev' then 2 when 'diagnostic' then 3 when 'diagnostics' then 3 when 'diag' then 3 end as s from documents)
+where trim(cluster_id, e' \t\n\r') <> '' group by 1 having count(distinct s) >= 2""",
     "p2_found": r"""
 select doc_id from documents where regexp_matches(text, '[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]')
 and (raw_tokens is null or cleaned_tokens is null or raw_tokens <= 0 or cleaned_tokens < 0 or cleaned_tokens > raw_tokens
