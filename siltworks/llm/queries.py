@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.llm import components, mixing, oversized, packing, splits, sql, token_budget
+from siltworks.llm import components, mixing, oversized, packing, pair_defects, splits, sql, token_budget
 from siltworks.runtime import table
 
 
@@ -30,6 +30,8 @@ QUERIES = {
     "p2_token_cube": lambda s, d: token_budget.token_cube(_docs(s, d), table(s, d, "sampling_sources")),
     "p3_found": lambda s, d: oversized.found(_docs(s, d)),
     "p3_pieces": lambda s, d: oversized.split_oversized(_docs(s, d)),
+    "p4_found": lambda s, d: pair_defects.find_defects(table(s, d, "sft_results")),
+    "p4_report": lambda s, d: pair_defects.defect_report(table(s, d, "sft_results")),
     "p5_found": lambda s, d: mixing.unreachable_sources(*_mix(s, d)),
     "p5_mix": lambda s, d: mixing.mix(*_mix(s, d)),
     "p7_found": lambda s, d: components.found(*_links(s, d)),
