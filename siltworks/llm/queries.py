@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.llm import components, mixing, oversized, packing, pair_defects, splits, sql, token_budget
+from siltworks.llm import components, mixing, oversized, packing, pair_defects, splits, sql, token_budget, toxicity
 from siltworks.runtime import table
 
 
@@ -38,6 +38,8 @@ QUERIES = {
     "p7_regroup": _regroup,
     "p9_containers": lambda s, d: packing.pack_documents(_docs(s, d)),
     "p9_fill": lambda s, d: packing.fill_report(packing.pack_documents(_docs(s, d))),
+    "p10_found": lambda s, d: toxicity.found(_docs(s, d), table(s, d, "content_labels")),
+    "p10_rates": lambda s, d: toxicity.source_rates(_docs(s, d), table(s, d, "content_labels")),
     "p5_shares": lambda s, d: mixing.mix_shares(*_mix(s, d)),
 }
 
