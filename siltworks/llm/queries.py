@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.llm import components, mixing, overlap, oversized, packing, pair_defects, splits, sql, token_budget, toxicity
+from siltworks.llm import bpe_corpus, components, mixing, overlap, oversized, packing, pair_defects, splits, sql, token_budget, toxicity
 from siltworks.runtime import table
 
 
@@ -42,6 +42,7 @@ QUERIES = {
     "p10_rates": lambda s, d: toxicity.source_rates(_docs(s, d), table(s, d, "content_labels")),
     "p6_found": lambda s, d: overlap.cross_split_pairs(_docs(s, d)),
     "p6_report": lambda s, d: overlap.overlap_report(_docs(s, d)),
+    "p8_ids": lambda s, d: bpe_corpus.encode_corpus(_docs(s, d)),
     "p5_shares": lambda s, d: mixing.mix_shares(*_mix(s, d)),
 }
 
