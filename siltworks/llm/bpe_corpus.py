@@ -50,8 +50,9 @@ def uncut_pairs(ranks: dict[bytes, int]) -> list[tuple[list[int], list[int]]]:
 def unit_pattern(ranks: dict[bytes, int]) -> str:
     """The vocabulary's pattern as Java understands it, with runs of letters also cut between ideographs where that can't change the result."""
     han = f"[\\x{{{_HAN[0]:x}}}-\\x{{{_HAN[1]:x}}}]"
-    together = "".join(f"(?!(?<={_char_class(a)}){_char_class(b)})" for a, b in sorted(uncut_pairs(ranks), key=lambda x: len(x[1])))
-    cut = f"(?<={han})(?={han}){together}"
+    # the following character is tested first: it is one range or a few characters, what precedes it can be hundreds
+    together = "".join(f"(?!(?={_char_class(b)})(?<={_char_class(a)}))" for a, b in sorted(uncut_pairs(ranks), key=lambda x: len(x[0])))
+    cut = f"(?={han})(?<={han}){together}"
     return rf"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}(?:(?!{cut})\p{{L}})*| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"
 
 

@@ -5,9 +5,10 @@ bounded size, scan the training texts; matched intervals are merged into the cov
 0.8 similarity implies is settled by the exact Jaccard similarity of the 13-character substrings.
 
 An automaton only scans the training texts routed to its shard, else the work would be shards times corpus. Routing is by prefix filtering: with
-similarity 0.8 or more, the ``n - ceil(0.8 n) + 1`` first substrings of both texts in one fixed order share at least one, so no pair is lost; the order puts
-substrings that are common in a bounded sample last, which changes the work and never the result. The (substring, class) entries travel as packed NumPy
-arrays, a few bytes each.
+similarity 0.8 or more, the ``n - ceil(0.8 n) + m`` first substrings of both texts in one fixed order share at least ``m``, so no pair is lost; the order puts
+substrings that are common in a bounded sample last, which changes the work and never the result. The substrings are dealt to ``GROUPS`` groups, in one of
+which a similar pair must share at least ``m / GROUPS``; pairs that merely share a phrase mostly don't. The (substring, class) entries travel as packed
+NumPy arrays, a few bytes each, split by group and by size band.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ from siltworks.runtime import Stage
 GRAM, LEAST_CHARS, SIMILAR = 13, 60, 0.8
 SAMPLE_DOCS = 2000  # bound of the sample that tells common substrings; only the order of the routing keys depends on it
 COMMON_BITS = 22
-ENTRY_BYTES_PER_SHARD = 6_000_000
+ENTRY_BYTES_PER_GROUP = 48_000_000  # before they are split by size band
 EVAL_CHARS_PER_CELL, TRAIN_CHARS_PER_CELL = 200_000, 3_000_000
 MEMBERS_PER_CELL = 20_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)\s+", " "), r"^ | $", "")
+    # only runs that aren't a single space already are replaced
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)[\s&&[^ ]]\s*| \s+", " "))
 
 
 def gram_hashes(text: str) -> np.ndarray:
@@ -64,14 +66,18 @@ def common_table(texts: list[str]) -> np.ndarray:
     return table
 
 
+def must_share(n: np.ndarray | int) -> np.ndarray | int:
+    """Substrings that two similar texts share among their routing keys, by the number of substrings of the smaller one."""
+    return n * 6 // 100 + 1
+
+
 def prefix_keys(text: str, table: np.ndarray) -> tuple[np.ndarray, int]:
-    """The substrings of which two texts of similarity 0.8 or more share at least one, in the common order, and the number of all distinct ones."""
+    """The substrings of which two texts of similarity 0.8 or more share at least :func:`must_share`, and the number of all distinct ones."""
     h = np.unique(gram_hashes(text))
     n = len(h)
-    k = n - -(-4 * n // 5) + 1  # n - ceil(0.8 n) + 1
+    k = n - -(-4 * n // 5) + must_share(n)
     order = (h >> np.uint64(5)) | (_level(h, table).astype(np.uint64) << np.uint64(59))
-    first = np.argpartition(order, k - 1)[:k] if k < n else np.arange(n)
-    return h[first[np.argsort(order[first], kind="stable")]], n
+    return (h[np.argpartition(order, k - 1)[:k]] if k < n else h), n
 
 
 def _members(docs: DataFrame) -> DataFrame:
@@ -85,15 +91,22 @@ def _members(docs: DataFrame) -> DataFrame:
     )
 
 
-PLACES = 200  # places of a key in the order of its text are kept in steps of 1 / PLACES of the number of substrings, rounded down
+GROUPS = 16
+
 
+def _bands(n: np.ndarray) -> np.ndarray:
+    """Size bands of factor 2."""
+    return np.floor(np.log2(n)).astype(np.int64)
 
-def _entries(members: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
-    """(shard, in_train, keys, places, numbers, classes, sizes): many documents per row; per entry 32 bits of the key, 8 of its place in the order of
-    the text and 16 of the number of its class within the row."""
+
+def _entries(members: DataFrame, table: np.ndarray, groups: int) -> DataFrame:
+    """(shard, in_train, keys, numbers, classes, sizes): many documents per row; per entry 32 bits of the key and 16 of the number of its class within the row.
+
+    A shard is a size band and a group of keys. Training classes are in the band of their size, the far fewer evaluation classes in each band in which a
+    similar training class can be."""
     shared = members.sparkSession.sparkContext.broadcast(table)  # 4 MB, whatever the corpus
-    kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 5]
-    names = ["shard", "in_train", "keys", "places", "numbers", "classes", "sizes"]
+    kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 4]
+    names = ["shard", "in_train", "keys", "numbers", "classes", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list] = {True: [], False: []}
@@ -104,19 +117,23 @@ def _entries(members: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
             for side, got in held.items():
                 if not got:
                     continue
-                k = np.concatenate([x[0] for x in got])
-                classes = np.array([x[1] for x in got], np.int64)
-                sizes = np.array([x[2] for x in got], np.uint32)
-                place = np.concatenate([np.arange(len(x[0])) * PLACES // x[2] for x in got])
-                number = np.repeat(np.arange(len(got)), [len(x[0]) for x in got])
-                shard = (k % np.uint64(shards)).astype(np.int64)
-                order = np.lexsort((k >> np.uint64(32), shard))
-                k, number, shard, place = (k[order] >> np.uint64(32)).astype(np.uint32), number[order], shard[order], place[order].astype(np.uint8)
-                cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-                rows = []
-                for a, b in zip(cut, np.append(cut[1:], len(shard)), strict=True):
-                    own, local = np.unique(number[a:b], return_inverse=True)
-                    rows.append((int(shard[a]), side, k[a:b].tobytes(), place[a:b].tobytes(), local.astype(np.uint16).tobytes(), classes[own].tobytes(), sizes[own].tobytes()))
+                n = np.array([x[2] for x in got])
+                low, high = (_bands(n), _bands(n)) if side else (_bands(np.maximum(1, np.floor(n * SIMILAR))), _bands(np.ceil(n / SIMILAR)))
+                rows: list[tuple] = []
+                for band in range(int(low.min()), int(high.max()) + 1):
+                    pick = [got[i] for i in np.flatnonzero((low <= band) & (band <= high))]
+                    if not pick:
+                        continue
+                    k = np.concatenate([x[0] for x in pick])
+                    classes, sizes = np.array([x[1] for x in pick], np.int64), np.array([x[2] for x in pick], np.uint32)
+                    number = np.repeat(np.arange(len(pick)), [len(x[0]) for x in pick])
+                    group = (k % np.uint64(groups)).astype(np.int64)
+                    order = np.argsort(group, kind="stable")
+                    k, number, group = (k[order] >> np.uint64(32)).astype(np.uint32), number[order], group[order]
+                    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                    for a, b in zip(cut, np.append(cut[1:], len(group)), strict=True):
+                        own, local = np.unique(number[a:b], return_inverse=True)
+                        rows.append((band * groups + int(group[a]), side, k[a:b].tobytes(), local.astype(np.uint16).tobytes(), classes[own].tobytes(), sizes[own].tobytes()))
                 for at in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 64], strict=True), kinds, strict=True)], names=names)
                 got.clear()
@@ -137,49 +154,59 @@ def _entries(members: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return members.where("norm is not null").select("in_train", F.xxhash64(F.md5("norm")).alias("c64"), "norm").mapInArrow(run, "shard long, in_train boolean, keys binary, places binary, numbers binary, classes binary, sizes binary")
+    return members.where("norm is not null").select("in_train", F.xxhash64(F.md5("norm")).alias("c64"), "norm").mapInArrow(run, "shard long, in_train boolean, keys binary, numbers binary, classes binary, sizes binary")
 
 
-def _candidates(entries: DataFrame) -> DataFrame:
-    """Distinct (e64, t64) of different classes of similar size that share a routing key."""
+def _candidates(entries: DataFrame, groups: int) -> DataFrame:
+    """Distinct (e64, t64) of different classes of similar size that share enough routing keys in some group."""
 
     def unpack(t: pa.Table, side: bool) -> tuple[np.ndarray, ...]:
-        got = [(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        ks, cs, ns = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for row in t.filter(pa.compute.equal(t["in_train"], side)).to_pylist():
             number = np.frombuffer(row["numbers"], np.uint16)
-            n = np.frombuffer(row["sizes"], np.uint32)[number].astype(float)
-            room = n * (1 - np.frombuffer(row["places"], np.uint8) / PLACES)  # substrings of the text from this key on, at most
-            got.append((np.frombuffer(row["keys"], np.uint32), np.frombuffer(row["classes"], np.int64)[number], n, room))
-        k, c, n, room = (np.concatenate(x) for x in zip(*got, strict=True))
+            ks.append(np.frombuffer(row["keys"], np.uint32))
+            cs.append(np.frombuffer(row["classes"], np.int64)[number])
+            ns.append(np.frombuffer(row["sizes"], np.uint32)[number].astype(np.int64))
+        k, c, n = np.concatenate(ks), np.concatenate(cs), np.concatenate(ns)
+        name, c = np.unique(c, return_inverse=True)
         order = np.lexsort((c, n, k))
-        k, c, n, room = k[order], c[order], n[order], room[order]
+        k, c, n = k[order], c[order], n[order]
         keep = np.ones(len(k), bool)
-        keep[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        return k[keep], c[keep], n[keep], room[keep]
+        keep[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])  # one class can come from several tasks
+        return k[keep], c[keep], n[keep], name
 
     def run(t: pa.Table) -> pa.Table:
-        ek, ec, en, er = unpack(t, False)
-        tk, tc, tn, tr = unpack(t, True)
+        ek, ec, en, e_name = unpack(t, False)
+        none = pa.table({"e64": pa.array([], pa.int64()), "t64": pa.array([], pa.int64())})
+        if not len(ek):
+            return none
+        tk, tc, tn, t_name = unpack(t, True)
         # both sorted by key, then size: the partners of an entry that are of similar size are one range
         size = 1 << 28
-        own = ek.astype(np.int64) * size + en.astype(np.int64)
+        own = ek.astype(np.int64) * size + en
         lo = np.searchsorted(own, tk.astype(np.int64) * size + np.ceil(tn * SIMILAR - 1e-6).astype(np.int64), "left")
         hi = np.searchsorted(own, tk.astype(np.int64) * size + np.minimum(np.floor(tn / SIMILAR + 1e-6), size - 1).astype(np.int64), "right")
-        n = hi - lo
-        hit = np.flatnonzero(n)
-        parts = [np.zeros((0, 2), np.int64)]
-        done = 0
-        while done < len(hit):  # a few million pairs at a time, each reduced to distinct ones
-            upto = done + max(1, int(np.searchsorted(np.cumsum(n[hit[done:]]), 2_000_000)))
-            h = hit[done:upto]
-            rep = np.repeat(h, n[h])
-            e = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n[h]) - n[h], n[h])
-            # the first shared key of a similar pair leaves room for all that must be shared; any other key may fail this, not that one
-            must = (en[e] + tn[rep]) * (SIMILAR / (1 + SIMILAR)) - 1e-6
-            good = (er[e] >= must) & (tr[rep] >= must) & (ec[e] != tc[rep])
-            parts.append(np.unique(np.stack([ec[e[good]], tc[rep[good]]], 1), axis=0))
+        # training classes in order, so that all keys of one pair are counted together
+        by = np.argsort(tc, kind="stable")
+        by = by[hi[by] > lo[by]]
+        if not len(by):
+            return none
+        n = (hi - lo)[by]
+        ends = np.flatnonzero(np.append(tc[by][1:] != tc[by][:-1], True)) + 1
+        total = np.cumsum(n)
+        parts, done = [], 0
+        while done < len(by):  # a few million hits at a time, whole training classes
+            upto = int(ends[min(len(ends) - 1, np.searchsorted(total[ends - 1], (total[done - 1] if done else 0) + 2_000_000))])
+            h, m = by[done:upto], n[done:upto]
+            rep = np.repeat(h, m)
+            e = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(m) - m, m)
+            code, first, shared = np.unique(tc[rep] * len(e_name) + ec[e], return_index=True, return_counts=True)
+            least = must_share(np.minimum(tn[rep[first]], en[e[first]]))
+            code = code[shared >= -(-least // groups)]
+            pairs = np.stack([e_name[code % len(e_name)], t_name[code // len(e_name)]], 1)
+            parts.append(pairs[pairs[:, 0] != pairs[:, 1]])
             done = upto
-        pairs = np.unique(np.concatenate(parts), axis=0)
+        pairs = np.concatenate(parts)
         return pa.table({"e64": pa.array(pairs[:, 0], pa.int64()), "t64": pa.array(pairs[:, 1], pa.int64())})
 
     return entries.groupBy("shard").applyInArrow(run, "e64 long, t64 long").distinct()
@@ -243,19 +270,15 @@ def scan_cell(evals: list[tuple[int, str]], trains: Iterator[tuple[int, str, lis
                 yield e, t, both / either, _coverage(texts[e], passages[e], found, ids)
 
 
-def similar_classes(members: DataFrame, docs: DataFrame, st: Stage) -> DataFrame:
+def similar_classes(docs: DataFrame, members: DataFrame, slim: DataFrame, st: Stage) -> DataFrame:
     """(e_cls, t_cls, similarity, coverage) for different classes of equal text, one with evaluation and one with training documents."""
-    count, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    count, chars = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     sample = members.where("norm is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, count // SAMPLE_DOCS))) == 0).select("norm").limit(2 * SAMPLE_DOCS)
     table = common_table([t for t in sample.toArrow()["norm"].to_pylist()])
-    shards = max(12, int(chars * 0.2 * 8 // ENTRY_BYTES_PER_SHARD))
-    cand = st.keep(_candidates(_entries(members, table, shards)))
-    classes = (
-        members.where("norm is not null").select(F.md5("norm").alias("cls"), "doc_id", F.length("norm").alias("n"))
-        .groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("c64", F.xxhash64("cls"))
-    )
+    groups = GROUPS * max(1, int(chars * 0.26 * 7 // (GROUPS * ENTRY_BYTES_PER_GROUP)))
+    cand = st.keep(_candidates(_entries(members, table, groups), groups))
     involved = cand.select(F.col("e64").alias("c64")).union(cand.select(F.col("t64").alias("c64"))).distinct()
-    reps = st.keep(classes.join(involved, "c64"))
+    reps = st.keep(slim.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("c64", F.xxhash64("cls")).join(involved, "c64"))
     e, t = reps.select(F.col("c64").alias("e64"), F.col("n").alias("en")), reps.select(F.col("c64").alias("t64"), F.col("n").alias("tn"))
     # texts of very different lengths can't share enough; lengths bound the number of substrings only from above, so just one side is used
     total = cand.select("e64").distinct().join(e, "e64").agg(F.coalesce(F.sum("en"), F.lit(0))).first()[0]
@@ -264,8 +287,7 @@ def similar_classes(members: DataFrame, docs: DataFrame, st: Stage) -> DataFrame
     # a cell to which many training texts are routed is cut, its automaton being built once per cut
     load = placed.select("cell", "t64").distinct().join(t, "t64").groupBy("cell").agg(F.ceil(F.sum("tn") / TRAIN_CHARS_PER_CELL).cast("int").alias("cuts"))
     placed = st.keep(placed.join(load, "cell").withColumn("cut", F.pmod(F.xxhash64("t64", F.lit(9)), F.col("cuts"))))
-    text = members.where("norm is not null").select("doc_id", "norm")
-    texts = st.keep(text.join(reps.select("doc_id", "c64"), "doc_id").select("c64", "norm"))
+    texts = st.keep(docs.select("doc_id", "text").join(reps.select("doc_id", "c64"), "doc_id").select("c64", normalised(F.col("text")).alias("norm")))  # the narrow side is broadcast while it is small
     ev = placed.select("cell", "cut", F.col("e64").alias("c64")).distinct().join(texts, "c64").toDF("c64", "cell", "cut", "norm")
     tr = placed.groupBy("cell", "cut", F.col("t64").alias("c64")).agg(F.collect_list("e64").alias("wanted")).join(texts, "c64").toDF("c64", "cell", "cut", "wanted", "norm")
 
@@ -302,8 +324,8 @@ def cross_split_pairs(docs: DataFrame) -> DataFrame:
     similar text; equal rows under several ids pair each. An empty table gives no pair."""
     st = Stage(docs.sparkSession, "overlap")
     members = _members(docs)
-    slim = st.keep(members.select("doc_id", "in_train", "parent", F.md5("norm").alias("cls")))
-    similar = similar_classes(members, docs, st)
+    slim = st.keep(members.select("doc_id", "in_train", "parent", F.md5("norm").alias("cls"), F.length("norm").alias("n")))
+    similar = similar_classes(docs, members, slim, st)
     ev, tr = slim.where("not in_train"), slim.where("in_train")
     same = ev.where("cls is not null").select("cls").distinct().join(tr.where("cls is not null").select("cls").distinct(), "cls")
     links = st.keep(similar.select(F.col("e_cls").alias("eg"), F.col("t_cls").alias("tg")).union(same.select("cls", "cls")).distinct())
