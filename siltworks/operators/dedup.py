@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from siltworks.functions.text import unit_hash
@@ -77,7 +78,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", n: int
     return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, digest string, bands array<binary>")
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def jaccard_of(left: pd.Series, right: pd.Series) -> pd.Series:
     """Exact Jaccard similarity of the shingle sets of two texts; null where a text is missing."""
 
@@ -94,8 +95,8 @@ def jaccard_of(left: pd.Series, right: pd.Series) -> pd.Series:
 def near_edges(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, n: int = SHINGLE, seed: int = 42) -> DataFrame:
     """(canonical_id, duplicate_id, similarity) between the first records of equal texts that share a band and are similar enough.
 
-    Copies are reduced to one representative first, so a group of copies is one row here; each bucket is linked through all its members only
-    when it is small, a larger one by its smallest ids on both sides of a second band, verified like all others."""
+    Copies are reduced to one representative first, so a group of copies is one row here. The join is by (band, bucket), which spreads one text over all
+    its bands; pairs are between different texts that share a band, each verified once by the exact similarity."""
     spark = df.sparkSession
     st = Stage(spark, "near")
     reps = st.keep(first_of_each(df.where(F.col(text).isNotNull()).select(key, text), F.sha2(text, 256), key))
@@ -109,6 +110,18 @@ def near_edges(df: DataFrame, key: str = "doc_id", text: str = "text", similar:
     return scored.where(F.col("similarity") >= similar).select(F.col("a").alias("canonical_id"), F.col("b").alias("duplicate_id"), "similarity")
 
 
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """(key, group_id, links) of every record: smallest id of all texts linked directly or through others, and the number of different texts linked
+    directly. Copies share the group of their text; null texts are alone."""
+    st = Stage(df.sparkSession, "groups")
+    d = st.keep(df.select(F.col(key).alias("id"), F.coalesce(F.sha2(text, 256), F.concat(F.lit("id:"), F.col(key).cast("string"))).alias("digest")))
+    e = st.keep(near_edges(df, key, text, similar))
+    groups = components(e.select(F.col("canonical_id").alias("a"), F.col("duplicate_id").alias("b"))).withColumnRenamed("id", "rep")
+    degree = e.select(F.explode(F.array("canonical_id", "duplicate_id")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    reps = d.groupBy("digest").agg(F.min("id").alias("rep")).join(groups, "rep", "left").join(degree, "rep", "left")
+    return hot_join(d, reps, "digest").select(F.col("id").alias(key), F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of (a, b): the smallest id reachable. Labels flow along edges and jump to their label's label until nothing moves."""
     st = Stage(edges.sparkSession, "cc")

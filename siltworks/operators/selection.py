@@ -86,7 +86,7 @@ def greedy_two_caps(df: DataFrame, key: str, first: str, second: str, first_caps
             keep.append(ok)
         return pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
 
-    return few.groupBy(F.lit(1)).applyInPandas(run, few.schema)
+    return few.groupBy(F.lit("all")).applyInPandas(run, few.schema)
 
 
 def first_fit(df: DataFrame, key: str, size: str, budget: int) -> DataFrame:
@@ -101,7 +101,7 @@ def first_fit(df: DataFrame, key: str, size: str, budget: int) -> DataFrame:
             keep.append(ok)
         return pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
 
-    return df.where(F.col(size) <= budget).groupBy(F.lit(1)).applyInPandas(run, df.schema)
+    return df.where(F.col(size) <= budget).groupBy(F.lit("all")).applyInPandas(run, df.schema)
 
 
 def byte_targets(weights: dict[str, float], total_gb: float) -> dict[str, int]:

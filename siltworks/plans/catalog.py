@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from siltworks.plans import corpus, dialogue, reports
+
+QUERIES = {**corpus.QUERIES, **dialogue.QUERIES, **reports.QUERIES}
+ORACLE: dict[str, str] = {**corpus.ORACLE, **dialogue.ORACLE, **reports.ORACLE}
