@@ -38,8 +38,10 @@ def uncut_pairs(ranks: dict[bytes, int]) -> list[tuple[list[int], list[int]]]:
     """Pairs of ideographs between which a piece of the vocabulary can reach: (possible first, possible second) per way it does so."""
     han = {c: chr(c).encode() for c in range(_HAN[0], _HAN[1] + 1)}
     spans = {(t[max(0, i - 3) : i], t[i : i + 3]) for t in ranks for i in range(1, len(t)) if 0xE4 <= t[i] <= 0xE9 and 0x80 <= t[i - 1] < 0xC0}
+    # what a shorter pair covers need not be tested
+    least = [(a, b) for a, b in spans if not any((a, b) != (x, y) and a.endswith(x) and b.startswith(y) for x, y in spans)]
     out = []
-    for left, right in sorted(spans):
+    for left, right in sorted(least):
         first = [c for c, b in han.items() if b.endswith(left[-3:])]
         second = [c for c, b in han.items() if b.startswith(right)]
         if first and second:
@@ -53,7 +55,9 @@ def unit_pattern(ranks: dict[bytes, int]) -> str:
     # the following character is tested first: it is one range or a few characters, what precedes it can be hundreds
     together = "".join(f"(?!(?={_char_class(b)})(?<={_char_class(a)}))" for a, b in sorted(uncut_pairs(ranks), key=lambda x: len(x[0])))
     cut = f"(?={han})(?<={han}){together}"
-    return rf"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}(?:(?!{cut})\p{{L}})*| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"
+    # letters come first, as no other branch can begin with one; white space is spelled out, as Java's own class is slow in its Unicode sense
+    space = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    return rf" ?\p{{L}}(?:(?!{cut})\p{{L}})*|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+"
 
 
 def _literal(entries: dict[str, object], kind: str) -> Column:
