@@ -22,16 +22,24 @@ BUCKETS = 16_384
 _HAN = (0x4E00, 0x9FFF)
 
 
-def _char_class(chars: list[int]) -> str:
-    """A regular expression class of code points, neighbours as ranges."""
+def _char_class(chars: list[int], group: int = 18) -> str:
+    """A regular expression class of code points, neighbours as ranges. A long list becomes groups behind the range they span, so that a test takes
+    the number of groups plus the size of one, not all of them."""
     out, i = [], 0
     while i < len(chars):
         j = i
         while j + 1 < len(chars) and chars[j + 1] == chars[j] + 1:
             j += 1
-        out.append(f"\\x{{{chars[i]:x}}}" if i == j else f"\\x{{{chars[i]:x}}}-\\x{{{chars[j]:x}}}")
+        out.append((chars[i], chars[j]))
         i = j + 1
-    return "[" + "".join(out) + "]"
+
+    def span(a: int, b: int) -> str:
+        return f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}"
+
+    if len(out) <= group:
+        return "[" + "".join(span(a, b) for a, b in out) + "]"
+    groups = [out[i : i + group] for i in range(0, len(out), group)]
+    return "[" + "".join(f"[{span(g[0][0], g[-1][1])}&&[{''.join(span(a, b) for a, b in g)}]]" for g in groups) + "]"
 
 
 def uncut_pairs(ranks: dict[bytes, int]) -> list[tuple[list[int], list[int]]]:
@@ -57,7 +65,7 @@ def unit_pattern(ranks: dict[bytes, int]) -> str:
     cut = f"(?={han})(?<={han}){together}"
     # letters come first, as no other branch can begin with one; white space is spelled out, as Java's own class is slow in its Unicode sense
     space = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-    return rf" ?\p{{L}}(?:(?!{cut})\p{{L}})*|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+"
+    return rf" ?\p{{L}}(?:(?!{cut})\p{{L}})*+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{N}}++| ?[^{space}\p{{L}}\p{{N}}]++|[{space}]+(?![^{space}])|[{space}]+"
 
 
 def _literal(entries: dict[str, object], kind: str) -> Column:
