@@ -45,7 +45,10 @@ def _unstable_class(form: str) -> str:
                 spans[-1][1] = i
             else:
                 spans.append([i, i])
-    return r"[\p{M}\x{1160}-\x{11FF}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+    # most characters are told apart by one range test, the others by groups of spans behind the range they cover
+    groups = [spans[i : i + 16] for i in range(0, len(spans), 16)]
+    parts = "".join(f"[\\x{{{g[0][0]:x}}}-\\x{{{g[-1][1]:x}}}&&[{''.join(f'\\x{{{a:x}}}-\\x{{{b:x}}}' for a, b in g)}]]" for g in groups)
+    return r"[[^\x{0}-\x{9F}\x{4E00}-\x{9FFF}]&&[\p{M}\x{1160}-\x{11FF}" + parts + "]]"
 
 
 _CLASS: dict[str, str] = {}
@@ -79,7 +82,8 @@ def clean(df: DataFrame, text: str = "text", rules: CleaningRules = CleaningRule
     """Adds ``clean_text`` (null where rejected) and ``reason`` (accepted, empty, length)."""
     if {"_cleaned", "clean_text", "reason"} & set(df.columns):
         raise ValueError("clean_text and reason are taken")
-    out = df.withColumn("_cleaned", clean_text(F.col(text), rules))
+    # one row in, one row out: the generator keeps the optimizer from copying the whole chain into every later use of its result
+    out = df.select("*", F.explode(F.array(clean_text(F.col(text), rules))).alias("_cleaned"))
     n = F.length("_cleaned")
     if rules.oversize == "truncate":
         out = out.withColumn("_cleaned", F.when(n > rules.max_chars, F.regexp_replace(F.substring("_cleaned", 1, rules.max_chars), f"[{SPACE}]+$", "")).otherwise(F.col("_cleaned")))

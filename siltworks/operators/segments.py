@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltworks.runtime import Stage
+
 IGNORE = -100  # fixed value: label that takes no part in the loss
 
 
@@ -83,9 +85,12 @@ def batches(df: DataFrame, order: str, size: int, drop_last: bool = False, by: s
 
 
 def global_rank(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
-    """Adds ``rank`` 1, 2, ... in the order of a unique column, with one sort by range and a running sum over the few ranges."""
+    """Adds ``rank`` 1, 2, ... in the order of a unique column, with one sort by range and a running sum over the few ranges.
+
+    The ranges are drawn from a sample, so the partitioned rows are written once: counting and numbering must see the same ranges."""
+    st = Stage(df.sparkSession, "rank")
     parts = df.repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(order)))
+    parts = st.keep(parts.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(order))))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return parts.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
