@@ -339,7 +339,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MAX
     votes = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "annotator", "toxic").distinct()
     agreed = votes.groupBy("doc_id").agg(F.avg("toxic").alias("m")).where("m <> 0.5").select("doc_id", (F.col("m") > 0.5).cast("int").alias("y"))
     few = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.where("text is not null").select("doc_id", "text").join(few, "doc_id").select("doc_id", "text", "y").toArrow()
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").toArrow()
     got = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), rows["y"].to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
     return [(t, y) for _, t, y in got]
 
