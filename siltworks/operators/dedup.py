@@ -82,10 +82,19 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", n: int
 def jaccard_of(left: pd.Series, right: pd.Series) -> pd.Series:
     """Exact Jaccard similarity of the shingle sets of two texts; null where a text is missing."""
 
+    held: dict[str, np.ndarray] = {}
+
+    def of(t: str) -> np.ndarray:  # a text comes in many pairs of one batch
+        if t not in held:
+            if len(held) > 2000:
+                held.clear()
+            held[t] = shingle_hashes(t)
+        return held[t]
+
     def one(x: str | None, y: str | None) -> float | None:
         if x is None or y is None:
             return None
-        p, q = shingle_hashes(x), shingle_hashes(y)
+        p, q = of(x), of(y)
         both = len(np.intersect1d(p, q, assume_unique=True))
         return both / (len(p) + len(q) - both)
 
@@ -99,7 +108,9 @@ def near_edges(df: DataFrame, key: str = "doc_id", text: str = "text", similar:
     its bands; pairs are between different texts that share a band, each verified once by the exact similarity."""
     spark = df.sparkSession
     st = Stage(spark, "near")
-    reps = st.keep(first_of_each(df.where(F.col(text).isNotNull()).select(key, text), F.sha2(text, 256), key))
+    # hashing is far dearer than reading, so the texts are spread over all tasks of a shuffle rather than packed into few
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reps = st.keep(first_of_each(df.where(F.col(text).isNotNull()).select(key, text), F.sha2(text, 256), key).repartition(parts, key))
     prints = fingerprints(reps, key, text, n, seed=seed)
     buckets = st.keep(prints.select(F.col(key).alias("id"), F.posexplode("bands").alias("band", "bucket")))
     l, r = buckets.select(F.col("id").alias("a"), "band", "bucket"), buckets.select(F.col("id").alias("b"), "band", "bucket")

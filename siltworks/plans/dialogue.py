@@ -146,6 +146,10 @@ ORACLE: dict[str, str] = {
     "sft_messages": f"""with {_BASE}, m as (select sample_id, count(*) as kept, count(*) filter (role = 'user') as u, count(*) filter (role = 'assistant') as a from msg where role in ('user', 'assistant', 'system') and content <> '' group by 1)
 select sample_id, case when u > 0 and a > 0 then kept else 0 end::int as kept, case when u > 0 and a > 0 then u else 0 end::int as user_turns, coalesce(u > 1 and a > 1, false) as multi_turn from raw left join m using (sample_id)""",
     "sft_policy": f"with {_BASE} select sample_id, coalesce(reject, 'accepted') as outcome, dropped_system, reasoning from per",
+    "sft_policy_stripped": f"""with {_BASE},
+s as (select sample_id, i, role, case when role = 'assistant' then regexp_replace({_strip_sql("regexp_replace(content, '(?s)<\\|think\\|>.*?<\\|/think\\|>', '', 'g')")}, e'\\n{{{{3,}}}}', e'\\n\\n', 'g') else content end as content from kept)
+select r.sample_id, case when p.reject = 'malformed_reasoning' then p.reject when coalesce(bool_or(s.role = 'assistant' and s.content = ''), false) then 'empty_assistant' when p.reject = 'missing_role' then p.reject else 'accepted' end as outcome,
+coalesce(sum(length(s.content)) filter (s.role = 'assistant'), 0)::int as assistant_chars from raw r join per p using (sample_id) left join s on s.sample_id = r.sample_id group by r.sample_id, p.reject""".replace("{{3,}}", "{3,}"),
     "sft_rejects": f"with {_BASE} select reject, count(*) as samples from per where reject is not null group by 1",
     "sft_char_gates": f"with {_BASE} select sample_id, sum(length(content))::int as chars from kept join ok using (sample_id) group by 1 having sum(length(content)) between 200 and 1500 and coalesce(sum(length(content)) filter (role = 'user'), 0) >= 20",
     "sft_content_dedup": f"""with {_BASE}, k as (select sample_id, sha256('3' || chr(0) || string_agg(role || chr(0) || content, chr(0) order by i)) as key from kept join ok using (sample_id) group by 1)

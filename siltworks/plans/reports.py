@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltworks.operators import profiles, segments
-from siltworks.plans.corpus import _CLEAN, LEAST, OVERLAP, SIZE, prepared
-from siltworks.runtime import table
+from siltworks.plans.corpus import _CLEAN, _WINDOWS, LEAST, OVERLAP, SIZE, prepared
+from siltworks.runtime import Stage, table
 
 
 def _docs(s, d):
@@ -42,8 +42,9 @@ def _lengths(s, d):
 
 def _packing(s, d):
     out = None
+    lengths = Stage(s, "lengths").keep(_lengths(s, d))
     for m in (4, 16, 64):
-        one = segments.packing_efficiency(_lengths(s, d), "doc_id", "n", m, 2048).withColumn("micro_batch", F.lit(m))
+        one = segments.packing_efficiency(lengths, "doc_id", "n", m, 2048).withColumn("micro_batch", F.lit(m))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -122,7 +123,7 @@ def _overlap(s, d):
 
 
 def _steps(s, d):
-    return segments.optimizer_steps(_lengths(s, d), "doc_id", "n", 4, 2048, 2, 4)
+    return segments.optimizer_steps(Stage(s, "lengths").keep(_lengths(s, d)), "doc_id", "n", 4, 2048, 2, 4)
 
 
 def _losses(s, d):
@@ -142,7 +143,24 @@ def _daily_stop(s, d):
     return series.select("event_type", F.size("values").alias("evaluations"), profiles.early_stop(F.col("values"), 4).alias("stopped_at"), F.round(profiles.ema(F.col("values"), 0.1), 6).alias("smoothed"))
 
 
+def _visibility(s, d):
+    """Attention pairs of short packed batches: each position sees earlier positions of its own document."""
+    p = segments.batches(_lengths(s, d).where("n between 1 and 40"), "doc_id", 4)
+    one = p.groupBy("batch").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "n"))), lambda x: F.array_repeat(x["place"], x["n"]))).alias("segments"))
+    seen = segments.visible(F.col("segments"), F.transform("segments", lambda _: F.lit(1)))
+    return one.select("batch", F.size("segments").alias("positions"), F.aggregate(seen, F.lit(0).cast("long"), lambda a, x: a + x).alias("visible_pairs"))
+
+
+def _fragmentation(s, d):
+    """How words split into runs of one character class, per source: pieces a word, longest, and words of a single piece."""
+    words = _docs(s, d).where("text is not null").select("source", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("w"))
+    counts = words.groupBy("source", "w").agg(F.count(F.lit(1)).alias("n")).withColumn("pieces", F.size(F.regexp_extract_all("w", F.lit("[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,3}|_"), F.lit(0))))
+    return counts.groupBy("source").agg(F.sum("n").alias("words"), F.round(F.sum(F.col("n") * F.col("pieces")) / F.sum("n"), 6).alias("pieces_per_word"), F.max("pieces").alias("most_pieces"), F.round(F.sum(F.when(F.col("pieces") == 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("single_piece_rate"))
+
+
 QUERIES = {
+    "visibility_audit": _visibility,
+    "fragmentation": _fragmentation,
     "source_counters": _source_counters,
     "language_counters": _language_counters,
     "source_shares": _source_shares,
@@ -177,6 +195,22 @@ _PROFILE = f"""select language, source, count(*) as texts, sum(length(text))::bi
 round(coalesce(sum(strlen(text)) / sum(length(text)), 0), 9) as bytes_per_char from (select text, lang as language, source from documents where text is not null) group by grouping sets ((), (language), (source))"""
 
 ORACLE: dict[str, str] = {
+    "visibility_audit": f"""with {_CLEAN}, r as (select n, (row_number() over (order by doc_id) - 1) // 4 as batch from splits where n between 1 and 40)
+select batch, sum(n)::int as positions, sum(n * (n + 1) / 2)::bigint as visible_pairs from r group by 1""",
+    "fragmentation": """with w as (select source, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as w from documents where text is not null), c as (select source, len(regexp_extract_all(w, '[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,3}|_')) as pieces from w)
+select source, count(*) as words, round(sum(pieces) / count(*), 6) as pieces_per_word, max(pieces)::int as most_pieces, round(sum((pieces = 1)::int) / count(*), 6) as single_piece_rate from c group by 1""",
+    "tail_fragments": f"""with {_WINDOWS} select source, sum((long_document and segment_index = 0)::int)::bigint as long_documents, sum(case when segment_index = 0 then greatest(n - {SIZE}, 0) else 0 end)::bigint as recovered_tokens,
+sum(tail_fragment::int)::bigint as tail_fragments from w group by 1""",
+    "position_ids": f"""with {_WINDOWS} select doc_id, sum(new_tokens * (new_tokens - 1) / 2)::bigint as position_sum, (max(new_tokens) - 1)::int as last from w where n <= 2000 group by 1""",
+    "optimizer_steps": f"""with {_LEN}, m as (select i // 4 as b, sum(n) as t, greatest(1, ceil(sum(n) / 2048.0)) as q, max(total) // 32 as steps from p group by 1)
+select max(steps)::bigint as steps, round(sum(t) / max(steps), 6) as mean_content_tokens, round(sum(q) * 2048 / max(steps), 6) as mean_padded_tokens, round(sum(q) / max(steps), 6) as mean_sequences from m where b < steps * 8""",
+    "source_ratings": """with x as (select source, sum(strlen(text)) / sum(length(text)) as b, sum(length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g'))) / sum(length(text)) as l from documents where text is not null group by 1)
+select source, case when round(b, 9) <= 1.2 then 'strong' when round(b, 9) <= 2.6 then 'reasonable' else 'weak' end as density, case when round(l, 9) >= 0.7 then 'strong' when round(l, 9) >= 0.4 then 'reasonable' else 'weak' end as latin from x""",
+    "stream_pack": f"""with {_CLEAN}, r as (select text, n, (row_number() over (order by doc_id) - 1) // 8 as batch, (row_number() over (order by doc_id) - 1) % 8 as place from splits where n <= 2000),
+o as (select *, sum(n) over (partition by batch order by place) - n as base from r),
+t as (select batch, place, base + i as pos, unicode(substr(text, i::int + 1, 1)) as id from (select *, unnest(range(n)) as i from o)),
+l as (select *, lag(place) over (partition by batch order by pos) as prior from t)
+select batch, (pos // 512)::int as sequence, count(*)::int as tokens, sum(id)::bigint as input_sum, sum((pos % 512 > 0 and prior <> place)::int)::int as ignored from l group by 1, 2""",
     "source_counters": """with x as (select *, text is not null and row_number() over (partition by text order by doc_id) = 1 as first from documents)
 select source, count(*) as documents, sum(first::int)::bigint as unique_documents, sum(coalesce(length(text), 0))::bigint as chars, sum(case when first then length(text) else 0 end)::bigint as unique_chars, max(coalesce(length(text), 0))::int as longest from x group by 1""",
     "language_counters": f"""with {_CLEAN} select lang, coalesce(sum(n) filter (split = 'train'), 0)::bigint as train, coalesce(sum(n) filter (split = 'validation'), 0)::bigint as validation, coalesce(sum(n) filter (split = 'diagnostic'), 0)::bigint as diagnostic from splits group by 1""",
