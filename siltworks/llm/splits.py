@@ -122,9 +122,9 @@ def assign_splits(sizes: DataFrame, proportions: dict[str, float] = PROPORTIONS,
     wanted = {k: v / total_wanted for k, v in proportions.items()}
     main = max(wanted, key=wanted.get)
     bar = min(wanted.values()) / 2
-    total = sizes.agg(F.sum("records").alias("total"))
+    total = sizes.agg(F.sum("records")).first()[0] or 0
     bucket = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("component")), 64 - BUCKET_BITS)
-    placed = sizes.crossJoin(F.broadcast(total)).withColumns({"giant": F.col("records") > F.col("total") * bar, "bucket": bucket})
+    placed = sizes.withColumns({"giant": F.col("records") > total * bar, "bucket": bucket})
     # at most 65,536 rows from here to the cut points, whatever the corpus
     ranges = placed.groupBy("bucket").agg(F.sum(F.when(~F.col("giant"), F.col("records")).otherwise(0)).alias("n"), F.sum(F.when(F.col("giant"), F.col("records")).otherwise(0)).alias("g"))
     all_n, all_g = F.sum("n").over(W.partitionBy()), F.sum("g").over(W.partitionBy())
