@@ -32,7 +32,7 @@ def weighted_with_replacement(df: DataFrame, weight: str, n: int, seed: int, key
     table = w.select(key, hi.alias("_hi")).agg(F.sort_array(F.collect_list(F.struct(F.col("_hi"), F.col(key).alias("k")))).alias("t"))
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("u", order_key(seed, F.col("draw")))
     hit = F.filter("t", lambda x: x["_hi"] > F.col("u"))
-    return draws.crossJoin(F.broadcast(table)).select("draw", F.coalesce(F.get(hit, F.lit(0))["k"], F.element_at("t", -1)["k"]).alias(key))
+    return draws.withColumn("t", table.scalar()).select("draw", F.coalesce(F.get(hit, F.lit(0))["k"], F.element_at("t", -1)["k"]).alias(key))
 
 
 def mix_sources(df: DataFrame, group: str, weights: DataFrame, weight: str, n: int, seed: int, key: str = "doc_id") -> DataFrame:

@@ -100,8 +100,8 @@ def _char_counts(s, d):
 
 def _vocabulary(s, d):
     c = _char_counts(s, d).withColumn("bytes", F.octet_length("token"))
-    q = profiles.weighted_quantile(c, "bytes", "n", 0.5).withColumnRenamed("quantile", "median_bytes")
-    return c.agg(F.count(F.lit(1)).alias("used"), F.sum("n").alias("total"), F.round(F.sum(F.col("n") * F.col("bytes")) / F.sum("n"), 6).alias("mean_bytes"), F.sum(F.when(F.col("bytes") == 1, 1).otherwise(0)).alias("single_byte")).crossJoin(F.broadcast(q))
+    median = profiles.weighted_quantile(c, "bytes", "n", 0.5).scalar()
+    return c.agg(F.count(F.lit(1)).alias("used"), F.sum("n").alias("total"), F.round(F.sum(F.col("n") * F.col("bytes")) / F.sum("n"), 6).alias("mean_bytes"), F.sum(F.when(F.col("bytes") == 1, 1).otherwise(0)).alias("single_byte")).withColumn("median_bytes", median)
 
 
 def _top_tokens(s, d):
