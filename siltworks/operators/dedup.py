@@ -102,35 +102,40 @@ def jaccard_of(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def near_edges(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, n: int = SHINGLE, seed: int = 42) -> DataFrame:
-    """(canonical_id, duplicate_id, similarity) between the first records of equal texts that share a band and are similar enough.
+    """(canonical_id, duplicate_id, similarity): verified links that connect all similar texts which share a band, copies being one text.
 
-    Copies are reduced to one representative first, so a group of copies is one row here. The join is by (band, bucket), which spreads one text over all
-    its bands; pairs are between different texts that share a band, each verified once by the exact similarity."""
+    Within a bucket every text is first compared with the smallest id. Only those it doesn't match are compared with all others: two texts that both match
+    the smallest are connected through it, so no connection is lost and a bucket of n near-copies costs n comparisons, not n squared."""
     spark = df.sparkSession
     st = Stage(spark, "near")
     # hashing is far dearer than reading, so the texts are spread over all tasks of a shuffle rather than packed into few
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reps = st.keep(first_of_each(df.where(F.col(text).isNotNull()).select(key, text), F.sha2(text, 256), key).repartition(parts, key))
     prints = fingerprints(reps, key, text, n, seed=seed)
-    buckets = st.keep(prints.select(F.col(key).alias("id"), F.posexplode("bands").alias("band", "bucket")))
-    l, r = buckets.select(F.col("id").alias("a"), "band", "bucket"), buckets.select(F.col("id").alias("b"), "band", "bucket")
-    pairs = st.keep(l.join(r, ["band", "bucket"]).where("a < b").select("a", "b").distinct())
-    t = reps.select(F.col(key).alias("a"), F.col(text).alias("ta"))
-    u = reps.select(F.col(key).alias("b"), F.col(text).alias("tb"))
-    scored = pairs.join(t, "a").join(u, "b").select("a", "b", jaccard_of("ta", "tb").alias("similarity"))
-    return scored.where(F.col("similarity") >= similar).select(F.col("a").alias("canonical_id"), F.col("b").alias("duplicate_id"), "similarity")
+    members = st.keep(prints.select(F.col(key).alias("id"), F.posexplode("bands").alias("band", "bucket")).select("id", F.sha2(F.concat(F.col("band").cast("string").cast("binary"), "bucket"), 256).alias("k")))
+    first = members.groupBy("k").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "low")
+    led = st.keep(hot_join(members, first, "k"))
+    t, u = reps.select(F.col(key).alias("a"), F.col(text).alias("ta")), reps.select(F.col(key).alias("b"), F.col(text).alias("tb"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return hot_join(hot_join(pairs, t, "a"), u, "b").select("a", "b", jaccard_of("ta", "tb").alias("similarity")).where(F.col("similarity") >= similar)
+
+    to_first = st.keep(scored(st.keep(led.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())))
+    matched = to_first.select(F.col("a").alias("low"), F.col("b").alias("id"))
+    rest = led.where("id <> low").join(matched, ["low", "id"], "left_anti").select("k", F.col("id").alias("x"))
+    others = led.where("id <> low").select("k", F.col("id").alias("y"))
+    more = rest.join(others, "k").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return to_first.unionByName(scored(st.keep(more))).distinct().select(F.col("a").alias("canonical_id"), F.col("b").alias("duplicate_id"), "similarity")
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """(key, group_id, links) of every record: smallest id of all texts linked directly or through others, and the number of different texts linked
-    directly. Copies share the group of their text; null texts are alone."""
+    """(key, group_id) of every record: smallest id of all texts linked directly or through others. Copies share the group of their text; null texts are alone."""
     st = Stage(df.sparkSession, "groups")
     d = st.keep(df.select(F.col(key).alias("id"), F.coalesce(F.sha2(text, 256), F.concat(F.lit("id:"), F.col(key).cast("string"))).alias("digest")))
-    e = st.keep(near_edges(df, key, text, similar))
+    e = near_edges(df, key, text, similar)
     groups = components(e.select(F.col("canonical_id").alias("a"), F.col("duplicate_id").alias("b"))).withColumnRenamed("id", "rep")
-    degree = e.select(F.explode(F.array("canonical_id", "duplicate_id")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    reps = d.groupBy("digest").agg(F.min("id").alias("rep")).join(groups, "rep", "left").join(degree, "rep", "left")
-    return hot_join(d, reps, "digest").select(F.col("id").alias(key), F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    reps = d.groupBy("digest").agg(F.min("id").alias("rep")).join(groups, "rep", "left")
+    return hot_join(d, reps, "digest").select(F.col("id").alias(key), F.coalesce("component", "rep").alias("group_id"))
 
 
 def components(edges: DataFrame) -> DataFrame:

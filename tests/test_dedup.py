@@ -42,3 +42,14 @@ def test_hot_join_keeps_every_row(spark):
     assert hot_keys(left, "k") == [1]
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert sorted(map(str, hot_join(left, right, "k", how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_near_groups_of_many_near_copies(spark):
+    import random
+
+    rnd = random.Random(2)
+    words = [f"word{i}" for i in range(300)]
+    bases = [" ".join(rnd.sample(words, 120)) for _ in range(6)]
+    texts = [b.replace(rnd.choice(b.split()), "changed", rnd.randrange(0, 2)) for b in bases for _ in range(25)]
+    got = {r["doc_id"]: r["group_id"] for r in dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i // 25 * 25 for i in range(150)}
