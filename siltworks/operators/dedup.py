@@ -184,11 +184,15 @@ def record_id(source: Column, path: Column, ordinal: Column, record: Column) ->
     return F.sha2(F.concat(source, nul, path, nul, ordinal.cast("string"), nul, F.coalesce(record, ordinal.cast("string"))), 256)
 
 
-def exact_near_accounting(docs: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Duplicates per source, exact where the digest equals that of the canonical record, else near."""
+def exact_near_accounting(docs: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text", others: DataFrame | None = None) -> DataFrame:
+    """Duplicates per source, exact where the digest equals that of the canonical record, else near.
+
+    ``others`` are records outside of ``docs`` that may be canonical; they belong to no source, so they aren't counted."""
     d = docs.select(F.col(key).alias("id"), "source", F.sha2(text, 256).alias("digest"))
     m = members.where(F.col(key) != F.col("canonical_id")).select(F.col(key).alias("id"), F.col("canonical_id").alias("c"))
     c = d.select(F.col("id").alias("c"), F.col("digest").alias("c_digest"))
+    if others is not None:
+        c = c.unionByName(others.select(F.col(key).alias("c"), F.sha2(text, 256).alias("c_digest")))
     return hot_join(d.join(m, "id"), c, "c").groupBy("source").agg(
         F.sum(F.when(F.col("digest") == F.col("c_digest"), 1).otherwise(0)).alias("exact"), F.sum(F.when(F.col("digest") == F.col("c_digest"), 0).otherwise(1)).alias("near")
     )

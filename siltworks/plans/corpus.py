@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.text import fold_name
 from siltworks.operators import cleaning, dedup, sampling, segments, selection
-from siltworks.runtime import table
+from siltworks.operators.skew import hot_join
+from siltworks.runtime import Stage, table
 
 SIZE, OVERLAP, LEAST = 256, 32, 16
 
@@ -19,11 +20,22 @@ def prepared(s, d) -> DataFrame:
     return ok.select("doc_id", "source", "lang", "source_priority", F.col("clean_text").alias("text"), F.length("clean_text").alias("n"), cluster.alias("cluster")).withColumn("split", dedup.hash_split(F.col("cluster")))
 
 
+def _references(s, d) -> DataFrame:
+    """Reference documents, kept outside of ``documents`` in the same id space; they have no priority."""
+    return table(s, d, "canonical_documents").select("doc_id", "text", F.lit(None).cast("int").alias("source_priority"))
+
+
+def _records(s, d) -> DataFrame:
+    """Everything a checked pair may refer to."""
+    return table(s, d, "documents").select("doc_id", "text", "source_priority").unionByName(_references(s, d))
+
+
 def _confirmed(s, d) -> DataFrame:
     e = table(s, d, "duplicate_edges")
-    ids = table(s, d, "documents").select(F.col("doc_id").alias("a"))
+    ids = _records(s, d).select(F.col("doc_id").alias("a"))
     good = e.where(fold_name(F.col("reason")).isin("exact", "near") & (F.col("canonical_id") != F.col("duplicate_id"))).select(F.least("canonical_id", "duplicate_id").alias("a"), F.greatest("canonical_id", "duplicate_id").alias("b")).distinct()
-    return good.join(ids, "a", "left_semi").join(ids.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
+    known = hot_join(Stage(s, "confirmed").keep(good), ids, "a", "left_semi")
+    return hot_join(known, ids.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
 
 
 def _clean(s, d):
@@ -56,7 +68,7 @@ def _segment_stats(s, d):
 
 
 def _members(s, d):
-    return dedup.canonical_members(table(s, d, "documents"), dedup.components(_confirmed(s, d)))
+    return dedup.canonical_members(_records(s, d), dedup.components(_confirmed(s, d)))
 
 
 def _minhash(s, d):
@@ -64,8 +76,9 @@ def _minhash(s, d):
 
 
 def _pair_jaccard(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text")
-    e = _confirmed(s, d).join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    texts = _records(s, d)
+    e = hot_join(_confirmed(s, d), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    e = hot_join(e, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return e.select("a", "b", F.round(dedup.jaccard_of("ta", "tb"), 9).alias("similarity"))
 
 
@@ -152,7 +165,7 @@ QUERIES = {
     "minhash_near_groups": _minhash,
     "duplicate_components": lambda s, d: dedup.components(_confirmed(s, d)),
     "canonical_members": _members,
-    "duplicate_accounting": lambda s, d: dedup.exact_near_accounting(table(s, d, "documents"), _members(s, d)),
+    "duplicate_accounting": lambda s, d: dedup.exact_near_accounting(table(s, d, "documents"), _members(s, d), others=_references(s, d)),
     "cluster_splits": lambda s, d: prepared(s, d).select("doc_id", "cluster", "split"),
     "split_leak_audit": lambda s, d: dedup.leak_audit(table(s, d, "documents").withColumn("split", fold_name(F.col("split"))).where("split is not null"), "parent_document_id", "split"),
     "record_ids": lambda s, d: table(s, d, "documents").select("doc_id", dedup.record_id(F.coalesce("source_name", F.lit("")), F.coalesce("source_path", F.lit("")), F.coalesce("source_index", F.lit(0)), F.col("doc_id").cast("string")).alias("record_key")),
