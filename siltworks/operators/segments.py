@@ -153,6 +153,11 @@ def visible(segments: Column, mask: Column) -> Column:
     return F.transform(segments, lambda s, i: F.size(F.filter(F.sequence(F.lit(0), i), lambda j: (s >= 0) & (F.get(segments, j) == s) & (F.get(mask, j) == 1))))
 
 
+def visible_pairs(n: Column) -> Column:
+    """Sum of :func:`visible` over a segment of n unmasked positions, without its arrays."""
+    return (n.cast("long") * (n.cast("long") + 1) / 2).cast("long")
+
+
 def packing_efficiency(lengths: DataFrame, order: str, n: str, size: int, length: int) -> DataFrame:
     """Padding of micro-batches of ``size`` rows packed into sequences of ``length``; an incomplete last batch is dropped. One row."""
     per = batches(lengths.select(order, n), order, size, drop_last=True).groupBy("batch").agg(F.sum(n).alias("t"))

@@ -144,11 +144,9 @@ def _daily_stop(s, d):
 
 
 def _visibility(s, d):
-    """Attention pairs of short packed batches: each position sees earlier positions of its own document."""
-    p = segments.batches(_lengths(s, d).where("n between 1 and 40"), "doc_id", 4)
-    one = p.groupBy("batch").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "n"))), lambda x: F.array_repeat(x["place"], x["n"]))).alias("segments"))
-    seen = segments.visible(F.col("segments"), F.transform("segments", lambda _: F.lit(1)))
-    return one.select("batch", F.size("segments").alias("positions"), F.aggregate(seen, F.lit(0).cast("long"), lambda a, x: a + x).alias("visible_pairs"))
+    """Attention pairs of packed batches: each position sees earlier positions of its own document and itself."""
+    p = segments.batches(_lengths(s, d), "doc_id", 4)
+    return p.groupBy("batch").agg(F.sum("n").cast("int").alias("positions"), F.sum(segments.visible_pairs(F.col("n"))).alias("visible_pairs"))
 
 
 def _fragmentation(s, d):
