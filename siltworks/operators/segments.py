@@ -104,9 +104,11 @@ def stream_pack(df: DataFrame, order: str, ids: str, length: int, size: int) ->
     flat = F.flatten(F.transform("rows", lambda r: r[ids]))
     docs = F.flatten(F.transform("rows", lambda r: F.array_repeat(r["place"], F.size(r[ids]))))
     out = one.select("batch", flat.alias("ids"), docs.alias("docs")).where(F.size("ids") > 0)
-    out = out.withColumn("sequence", F.explode(F.expr(f"sequence(0, cast(ceil(size(ids) / {length}) as int) - 1)")))
-    cut = lambda c: F.slice(F.col(c), F.col("sequence") * length + 1, F.lit(length))
-    out = out.select("batch", "sequence", cut("ids").alias("input_ids"), cut("docs").alias("document_ids"))
+    # only the cut stretches are exploded: a row of each sequence must not carry all ids of its micro-batch
+    cut = lambda c, k: F.slice(F.col(c), k * length + 1, F.lit(length))
+    count = F.ceil(F.size("ids") / length).cast("int")
+    cuts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(k.alias("sequence"), cut("ids", k).alias("input_ids"), cut("docs", k).alias("document_ids")))
+    out = out.select("batch", F.explode(cuts).alias("c")).select("batch", "c.sequence", "c.input_ids", "c.document_ids")
     return out.withColumn("labels", F.transform("input_ids", lambda x, i: F.when((i > 0) & (F.get("document_ids", i) != F.get("document_ids", i - 1)), IGNORE).otherwise(x)))
 
 

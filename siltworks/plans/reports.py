@@ -50,14 +50,16 @@ def _packing(s, d):
 
 
 def _stream_pack(s, d):
-    p = prepared(s, d).where("n <= 2000").select("doc_id", segments.code_points(F.col("text")).alias("ids"))
+    p = prepared(s, d).select("doc_id", segments.code_points(F.col("text")).alias("ids"))
     x = segments.stream_pack(p, "doc_id", "ids", 512, 8)
     return x.select("batch", "sequence", F.size("input_ids").alias("tokens"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("input_sum"), F.size(F.filter("labels", lambda v: v == -100)).alias("ignored"))
 
 
 def _isolated(s, d):
-    p = segments.batches(_lengths(s, d).where("n <= 2048"), "doc_id", 64)
-    return segments.isolated_pack(p, "batch", "doc_id", "n", 2048).select("batch", "sequence", "doc_id")
+    """Texts above the capacity are cut into windows without overlap, so every sample fits and no token is left out or repeated."""
+    w = segments.sliding_windows(_lengths(s, d), "n", 2048, 0).select("doc_id", "new_tokens", F.struct("doc_id", "segment_index").alias("sample"))
+    p = segments.batches(w, "sample", 64).drop("sample")
+    return segments.isolated_pack(p, "batch", "place", "new_tokens", 2048).select("batch", "sequence", "doc_id")
 
 
 def _padded(s, d):
@@ -66,9 +68,9 @@ def _padded(s, d):
 
 
 def _positions(s, d):
-    w = segments.sliding_windows(_lengths(s, d), "n", SIZE, OVERLAP, LEAST).where("n <= 2000")
-    runs = w.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("segment_index", "new_tokens"))), lambda x: F.array_repeat(x["segment_index"], x["new_tokens"]))).alias("segments"))
-    return runs.select("doc_id", F.aggregate(segments.position_ids(F.col("segments")), F.lit(0).cast("long"), lambda a, b: a + b).alias("position_sum"), F.array_max(segments.position_ids(F.col("segments"))).alias("last"))
+    w = segments.sliding_windows(_lengths(s, d), "n", SIZE, OVERLAP, LEAST)
+    n = F.col("new_tokens").cast("long")  # each window is a run, in which positions go from 0 to n - 1
+    return w.groupBy("doc_id").agg(F.sum(n * (n - 1) / 2).cast("long").alias("position_sum"), (F.max("new_tokens") - 1).alias("last"))
 
 
 def _quantiles(s, d):
