@@ -107,7 +107,7 @@ def _vocabulary(s, d):
 
 
 def _top_tokens(s, d):
-    return _char_counts(s, d).where(F.col("token").rlike("[a-z]")).orderBy(F.desc("n"), "token").limit(20)
+    return _char_counts(s, d).orderBy(F.desc("n"), "token").limit(20)
 
 
 def _profile(s, d):
