@@ -232,11 +232,24 @@ def language_of(text: str) -> str | None:
     return best if votes[best] >= 1.5 and votes[best] > second else None
 
 
+_NAMED = {n: lang for lang, names in LANGUAGE_NAMES.items() for n in names}
+_LATIN, _HAN = ("|".join(sorted((n for n in _NAMED if n.isascii() == ascii_), key=len, reverse=True)) for ascii_ in (True, False))
+#: A request next to the name of a language: a preposition before it, a verb up to four words before it in the same sentence, or what is done in it.
+_TIED = re.compile(
+    rf"\b(?:in|into|to|en|al|auf|ins)\s+(?:(?:plain|simple|fluent|proper|good|clear|formal)\s+)?(?P<a>{_LATIN})\b"
+    rf"|\b(?:translat\w*|answer|reply|respond|write|say|speak|use|using|give|explain|summari[sz]e)(?:[^\S\n]+[\w'’-]+){{0,4}}?[^\S\n]+(?P<b>{_LATIN})\b|\b(?P<c>{_LATIN})\s+(?:translation|version|only|please)\b"
+    rf"|(?:用|译成|译为|译作|翻成|写成|改写|改成|改为|换成|转成|翻译|回答|回复)[^\S\n]*[为成到]?(?:简单|流利|标准|正式)?的?[^\S\n]*(?P<d>{_HAN}|{_LATIN})|(?P<e>{_HAN}|{_LATIN})(?:语|文)?[^\S\n]*(?:回答|作答|回复|答复|翻译|改写|写|说)"
+)
+
+
 def asked_language(question: str) -> str | None:
-    """The language that the question's own words ask for."""
-    head = question if len(question) < 160 else question[:80] + " " + question[-80:]
-    low = head.lower()
-    if not _ASKS.search(low):
+    """The language that the question's own words ask for.
+
+    All of the question is read. A request is tied to the name; in a question of under 160 characters they may also stand apart."""
+    low = question.lower()
+    if m := _TIED.search(low):
+        return _NAMED[next(n for n in m.groups() if n)]
+    if len(low) >= 160 or not _ASKS.search(low):
         return None
     for lang, names in LANGUAGE_NAMES.items():
         if any(n in low for n in names):
