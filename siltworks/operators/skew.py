@@ -16,14 +16,23 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = 100
     return [r[0] for r in counts.where(F.col("_n") > bar).select(key).collect()]
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None, merge: bool = False) -> DataFrame:
     """``left.join(right, key, how)`` for inner, left, left_semi and left_anti with ``right`` unique on ``key``.
 
     Rows of ``left`` with a hot key meet the at most ``1 / HOT_SHARE`` rows of ``right`` with those keys by broadcast, a proven bound;
-    all other rows take the shuffled join. No row is dropped or repeated."""
+    all other rows take the shuffled join. No row is dropped or repeated. ``merge`` forbids the optimizer to broadcast the other rows of ``right`` on
+    an estimate, for tables that are rewritten in rounds."""
     hot = hot_keys(left, key) if hot is None else hot
+    other = right.hint("merge") if merge else right
     if not hot:
-        return left.join(right, key, how)
+        return left.join(other, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     few = F.broadcast(right.where(F.col(key).isin(hot)))
-    return left.where(~is_hot).join(right, key, how).unionByName(left.where(is_hot).join(few, key, how))
+    return left.where(~is_hot).join(other, key, how).unionByName(left.where(is_hot).join(few, key, how))
+
+
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table with a broadcast hint if it has at most ``most`` rows, which is counted; else as it is, so that the join is shuffled.
+
+    Meant for tables of groups or files: the table should be kept or cheap, as it is counted first."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -32,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the one the cluster names, a local one only where none is named."""
+    """The folder all executors share: the one the cluster names. Only a local master, whose tasks all see this machine, may do without."""
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
     made = spark.conf.get("siltworks.shared.dir", None)
     if not made:
         made = "file://" + tempfile.mkdtemp(prefix="siltworks-")
@@ -67,11 +68,3 @@ class Stage:
             if path:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def cpu_slots(spark: SparkSession) -> int:
-    return max(2, spark.sparkContext.defaultParallelism)
-
-
-def repo_env(name: str, default: str) -> str:
-    return os.environ.get(name, default)
