@@ -1,15 +1,16 @@
 """Problem 3: splitting oversized items at natural boundaries.
 
-A text above the limit is parsed into a structure tree: headed sections, blank-line paragraphs (fenced code stays whole as long
-as it fits), lines or list items, sentences. Sibling subtrees are merged bottom-up while they fit, and only nodes that are too large are
-descended into; a sentence above the limit is cut at commas, then spaces, then anywhere. Each piece but the first starts with
-the last ``overlap`` characters of the piece before. Only rows above the limit reach Python.
+A text above the limit is parsed into a structure tree: sections nested by the depth of their headings, blank-line paragraphs (fenced code stays whole as long
+as it fits), list items nested by indentation, lines, sentences. Sibling subtrees are merged bottom-up while they fit together; only a node that is too
+large itself is descended into, and its pieces never run into its siblings. A sentence above the limit is cut at commas, then spaces, then
+anywhere. Each piece but the first starts with the last ``overlap`` characters of the piece before. Only rows above the limit reach Python.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,98 +19,188 @@ from pyspark.sql import types as T
 
 LIMIT, OVERLAP = 6000, 200
 PIECES = "doc_id long, piece int, start long, end long, overlap int, forced_cut boolean, forced int, text string"
+DEEPEST = 40  # lists nested deeper than this are siblings at this depth
 
-_HEADING = re.compile(r"^(?:#{1,6}[ \t]|=+[^=\n]+=+[ \t]*$|\\(?:sub)*section\b|<h[1-6]\b)", re.M)
+_HEADING = re.compile(r"^(?:(#{1,6})[ \t]|(={1,6})[^=\n]+=+[ \t]*$|\\((?:sub)*)section\b|<h([1-6])\b)", re.M)
 _PARAGRAPH = re.compile(r"\n[ \t]*\n\s*")
 _FENCE = re.compile(r"^```.*?(?:^```[^\n]*\n?|\Z)", re.M | re.S)
+_ITEM = re.compile(r"^([ \t]*)(?:[-*+•]|\d{1,9}[.)、])[ \t]+", re.M)
 _LINE = re.compile(r"\n")
-_SENTENCE = re.compile(r"[.!?。！？]+[\"'”’」』)\]]*\s*")
+# what closes a sentence stays with it, but only a few characters of it: the rest belongs to the stretch that follows
+_SENTENCE = re.compile(r"[.!?。！？]+[\"'”’」』)\]]{0,4}\s{0,4}")
 _CLAUSE = re.compile(r"[,;:，、；：]\s*")
 _SPACE = re.compile(r"\s+")
 #: A natural boundary: a line feed or the end of a sentence.
 _NATURAL = re.compile(r"[\n.!?。！？]")
 
 
-def _cuts_after(pattern: re.Pattern, text: str, lo: int, hi: int) -> list[int]:
-    return [m.end() for m in pattern.finditer(text, lo, hi) if lo < m.end() < hi]
-
-
-def _sections(text: str, lo: int, hi: int) -> list[int]:
-    return [m.start() for m in _HEADING.finditer(text, lo, hi) if lo < m.start() < hi]
-
-
-def _paragraphs(text: str, lo: int, hi: int) -> list[int]:
-    fences = [m.span() for m in _FENCE.finditer(text, lo, hi)]
-    cuts, k = [], 0
-    for c in sorted({*_cuts_after(_PARAGRAPH, text, lo, hi), *(e for f in fences for e in f if lo < e < hi)}):
-        while k < len(fences) and fences[k][1] < c:
+@dataclass
+class Node:
+    """A span of the text and the inner nodes that start inside it, in order; what lies before the first of them is a leaf of its own."""
+
+    lo: int
+    depth: int
+    hi: int = 0
+    inner: list[Node] = field(default_factory=list)
+
+    def parts(self) -> list[tuple[int, int, Node | None]]:
+        """The span as adjacent parts: the opening text, if any, and each inner node."""
+        out: list[tuple[int, int, Node | None]] = []
+        first = self.inner[0].lo if self.inner else self.hi
+        if first > self.lo:
+            out.append((self.lo, first, None))
+        out.extend((n.lo, n.hi, n) for n in self.inner)
+        return out
+
+
+def _nest(starts: list[tuple[int, int]], lo: int, hi: int) -> Node:
+    """A tree of (position, depth): a node reaches up to the next one of the same or a lower depth."""
+    root = Node(lo, -1)
+    stack = [root]
+    for at, depth in starts:
+        while stack[-1].depth >= depth:
+            stack.pop().hi = at
+        node = Node(at, depth)
+        stack[-1].inner.append(node)
+        stack.append(node)
+    for node in stack:
+        node.hi = hi
+    return root
+
+
+def _fences(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    return [m.span() for m in _FENCE.finditer(text, lo, hi)]
+
+
+def _outside(cuts: list[int], fences: list[tuple[int, int]]) -> list[int]:
+    """The positions, in order, that lie in no fenced block."""
+    out, k = [], 0
+    for c in cuts:
+        while k < len(fences) and fences[k][1] <= c:
             k += 1
         if not (k < len(fences) and fences[k][0] < c < fences[k][1]):
-            cuts.append(c)
-    return cuts
-
-
-#: Levels of the tree from the outside in; the first four end at natural boundaries.
-_LEVELS = [
-    _sections,
-    _paragraphs,
-    lambda t, lo, hi: _cuts_after(_LINE, t, lo, hi),
-    lambda t, lo, hi: _cuts_after(_SENTENCE, t, lo, hi),
-    lambda t, lo, hi: _cuts_after(_CLAUSE, t, lo, hi),
-    lambda t, lo, hi: _cuts_after(_SPACE, t, lo, hi),
-]
-_NATURAL_LEVELS = 4
-
-
-def _pack(text: str, lo: int, hi: int, level: int, room: int, limit: int) -> list[tuple[int, int, bool]]:
-    """Spans that cover [lo, hi): siblings merged up to ``room``, oversized nodes descended into. The flag tells that the span's end is not natural."""
-    if hi - lo <= room:
-        return [(lo, hi, False)]
-    if level == _NATURAL_LEVELS and hi - lo <= limit:
-        return [(lo, hi, False)]  # one sentence that fits the limit, only not with the full overlap
-    if level == len(_LEVELS):
-        at = [*range(lo + room, hi, room), hi]
-        return [(a, b, b != hi) for a, b in zip([lo, *at[:-1]], at, strict=True)]
-    bounds = [lo, *_LEVELS[level](text, lo, hi), hi]
-    out: list[tuple[int, int, bool]] = []
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        forced_end = level >= _NATURAL_LEVELS and b != hi
-        for x, y, f in _pack(text, a, b, level + 1, room, limit) if b - a > room else [(a, b, False)]:
-            flag = f or (forced_end and y == b)
-            if out and y - out[-1][0] <= room:
-                out[-1] = (out[-1][0], y, flag)
-            else:
-                out.append((x, y, flag))
+            out.append(c)
     return out
 
 
-def longest_stretch(text: str) -> int:
-    """Characters of the longest stretch without a line feed or the end of a sentence."""
-    last, best = 0, 0
-    for m in _NATURAL.finditer(text):
-        if m.start() - last > best:
-            best = m.start() - last
-        last = m.end()
-    return max(best, len(text) - last)
-
-
-def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, bool]]:
-    """(start, end, overlap, forced) of the pieces; ``start`` counts the overlap in, so ``text[start:end]`` is the piece.
-
-    A single sentence that would fit the limit but not together with the overlap keeps its end and gets a shorter overlap."""
-    spans = _pack(text, 0, len(text), 0, limit - overlap, limit)
-    out = []
-    for a, b, f in spans:
-        back = min(overlap, a, limit - (b - a))
-        out.append((a - back, b, back, f))
-    return out
+def sections(text: str, lo: int, hi: int) -> Node:
+    """Sections by the depth of their headings; what looks like a heading inside fenced code isn't one."""
+    found = {}
+    for m in _HEADING.finditer(text, lo, hi):
+        marks, equals, sub, tag = m.groups()
+        found[m.start()] = len(marks) if marks else len(equals) if equals else int(tag) if tag else len(sub or "") // 3 + 1
+    inside = _outside(sorted(found), _fences(text, lo, hi))
+    return _nest([(at, found[at]) for at in inside], lo, hi)
+
+
+def list_items(text: str, lo: int, hi: int) -> Node:
+    """List items by their indentation; an item holds the lines up to the next item that isn't deeper."""
+    starts = [(m.start(), min(len(m[1].expandtabs(4)), DEEPEST)) for m in _ITEM.finditer(text, lo, hi)]
+    return _nest(starts, lo, hi)
+
+
+def _flat(cuts: list[int], lo: int, hi: int) -> list[tuple[int, int]]:
+    at = [lo, *(c for c in cuts if lo < c < hi), hi]
+    return list(zip(at, at[1:], strict=False))
+
+
+def _paragraphs(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    fences = _fences(text, lo, hi)
+    ends = {m.end() for m in _PARAGRAPH.finditer(text, lo, hi)} | {e for f in fences for e in f}
+    return _flat(_outside(sorted(ends), fences), lo, hi)
+
+
+def _after(pattern: re.Pattern):
+    return lambda text, lo, hi: _flat([m.end() for m in pattern.finditer(text, lo, hi)], lo, hi)
+
+
+_LINES, _SENTENCES, _CLAUSES, _WORDS = (_after(p) for p in (_LINE, _SENTENCE, _CLAUSE, _SPACE))
+
+
+class Packer:
+    """Packs one text into spans of at most ``room``; ``widest`` is the longest stretch without a natural boundary that it had to cut."""
+
+    def __init__(self, text: str, room: int):
+        self.text, self.room = text, room
+        self.widest = 0
+        self.out: list[tuple[int, int, bool]] = []
+
+    def spans(self) -> list[tuple[int, int, bool]]:
+        """(start, end, cut) that cover the text; ``cut`` tells that the end of the span isn't natural."""
+        if self.text:
+            self._level(0, len(self.text), 0)
+        return self.out
+
+    def _merge(self, parts: list[tuple[int, int, object]], descend, forced: bool = False) -> None:
+        """Adjacent siblings share a span while they fit; one that is too large alone goes to ``descend`` and shares with none.
+
+        ``forced`` tells that the boundaries between these siblings aren't natural."""
+        open_at = open_to = None
+        last = parts[-1][1] if parts else 0
+        for a, b, inner in parts:
+            if open_at is not None and (b - a > self.room or b - open_at > self.room):
+                self.out.append((open_at, open_to, forced and open_to != last))
+                open_at = None
+            if b - a > self.room:
+                descend(a, b, inner)
+                if forced and b != last and self.out:
+                    self.out[-1] = (*self.out[-1][:2], True)
+                continue
+            open_at = a if open_at is None else open_at
+            open_to = b
+        if open_at is not None:
+            self.out.append((open_at, open_to, forced and open_to != last))
+
+    def _tree(self, node: Node, below) -> None:
+        """A node of a heading or list tree that is too large: its parts, each with its own tree, are merged or descended into."""
+        self._merge(node.parts(), lambda a, b, inner: below(a, b) if inner is None else self._tree(inner, below) if inner.inner else below(a, b))
+
+    def _level(self, lo: int, hi: int, level: int) -> None:
+        text, here = self.text, lambda a, b, _=None: self._level(a, b, level + 1)
+        if hi - lo <= self.room:
+            self.out.append((lo, hi, False))
+        elif level == 0:
+            self._tree(sections(text, lo, hi), here)
+        elif level == 1:
+            self._merge([(a, b, None) for a, b in _paragraphs(text, lo, hi)], here)
+        elif level == 2:
+            # inside a fenced block a line that starts like a list item is code
+            fenced = text.startswith("```", lo)
+            self._tree(Node(lo, -1, hi) if fenced else list_items(text, lo, hi), here)
+        elif level in (3, 4):
+            self._merge([(a, b, None) for a, b in (_LINES, _SENTENCES)[level - 3](text, lo, hi)], here)
+        elif level in (5, 6):
+            if level == 5:
+                self.widest = max(self.widest, self._stretch(lo))
+            self._merge([(a, b, None) for a, b in (_CLAUSES, _WORDS)[level - 5](text, lo, hi)], here, forced=True)
+        else:
+            at = [*range(lo, hi, self.room), hi]
+            self.out.extend((a, b, b != hi) for a, b in zip(at, at[1:], strict=False))
+
+    def _stretch(self, lo: int) -> int:
+        """Length of the stretch without a natural boundary that a sentence node lies in: closing signs of the sentence before belong to it."""
+        start = lo
+        while start > 0 and not _NATURAL.match(self.text[start - 1]):
+            start -= 1
+        m = _NATURAL.search(self.text, lo)
+        return (m.start() if m else len(self.text)) - start
+
+
+def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int, bool]], bool]:
+    """((start, end, overlap, cut) of the pieces, whether a stretch above the limit had to be cut).
+
+    ``start`` counts the overlap in, so ``text[start:end]`` is the piece. Every piece but the first repeats exactly ``overlap`` characters (all that is
+    before it where that is less): room for it is kept free in every piece."""
+    packer = Packer(text, limit - overlap)
+    spans = packer.spans()
+    return [(a - min(overlap, a), b, min(overlap, a), cut) for a, b, cut in spans], packer.widest > limit
 
 
 def split_oversized(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """One row per piece of every text above ``limit`` code points (whatever the recorded token counts say).
 
-    Shorter, empty and null texts have no rows. ``forced`` is 1 for all pieces of a text with a stretch above the limit that offers no natural
-    boundary, ``forced_cut`` marks the pieces that end in one. Repeated ids are split independently."""
+    Shorter, empty and null texts have no rows. ``forced`` is 1 for all pieces of a text of which the packer had to cut a stretch above the limit that
+    offers no natural boundary, ``forced_cut`` marks the pieces that end at no natural boundary. Repeated ids are split independently."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be below limit")
 
@@ -121,13 +212,13 @@ def split_oversized(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
             held = 0
             for i in range(b.num_rows):
                 doc, text = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                forced = int(longest_stretch(text) > limit)
-                for k, (lo, hi, back, cut) in enumerate(split_text(text, limit, overlap)):
-                    rows.append((doc, k, lo, hi, back, cut, forced, text[lo:hi]))
+                pieces, forced = split_text(text, limit, overlap)
+                for k, (lo, hi, back, cut) in enumerate(pieces):
+                    rows.append((doc, k, lo, hi, back, cut, int(forced), text[lo:hi]))
                     held += hi - lo
-                if held > 8_000_000:
-                    yield _batch(rows, names, kinds)
-                    rows, held = [], 0
+                    if held > 8_000_000:
+                        yield _batch(rows, names, kinds)
+                        rows, held = [], 0
             if rows:
                 yield _batch(rows, names, kinds)
 
@@ -139,5 +230,5 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """One row per oversized text: its first piece carries the finding of the whole tree."""
+    """One row per oversized text: its first piece carries what the packer met in the whole tree."""
     return split_oversized(docs).where("piece = 0").select("doc_id", "forced")
