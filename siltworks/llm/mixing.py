@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import fold_name, unit_hash
+from siltworks.operators.skew import broadcast_if_small
+from siltworks.runtime import Stage
 
 PLAN_ROWS_MAX = 20_000  # the plan table is written by hand; beyond this it is joined by a shuffle instead of a broadcast
 
@@ -38,11 +40,6 @@ def plan_targets(configs: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast hint only after counting that the plan is as small as plans are."""
-    return F.broadcast(df) if df.limit(PLAN_ROWS_MAX + 1).count() <= PLAN_ROWS_MAX else df
-
-
 def _sized(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.col("source").alias("name"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
 
@@ -55,9 +52,9 @@ def source_rates(docs: DataFrame, configs: DataFrame, sources: DataFrame) -> Dat
     """Per plan and source: target, available bytes (texts within the plan's length bounds), repetition rate and whether the target
     can be reached with ``max_repeats``. A source without eligible text has rate 0 and cannot reach; null texts have no bytes;
     a null ``max_repeats`` counts as 1."""
-    plan = plan_targets(configs, sources)
+    plan = Stage(docs.sparkSession, "plan").keep(plan_targets(configs, sources))
     # lengths are first reduced to one row per source and plan bounds: the bounds are few, the documents many
-    bounds = _bounded(plan.select("config_id", "name", "min_chars", "max_chars"))
+    bounds = broadcast_if_small(plan.select("config_id", "name", "min_chars", "max_chars"), PLAN_ROWS_MAX)
     have = (
         _sized(docs).join(bounds, "name").where(_in_range())
         .groupBy("config_id", "name")
@@ -81,11 +78,17 @@ def copies(rate: Column, seed: Column, config_id: Column, doc_id: Column) -> Col
     return whole + F.when(draw < rate - whole, 1).otherwise(0)
 
 
-def mix(docs: DataFrame, configs: DataFrame, sources: DataFrame) -> DataFrame:
+def kept_rates(docs: DataFrame, configs: DataFrame, sources: DataFrame) -> DataFrame:
+    """:func:`source_rates` as a table: one row per plan and source, computed by one pass over the documents."""
+    return Stage(docs.sparkSession, "rates").keep(source_rates(docs, configs, sources))
+
+
+def mix(docs: DataFrame, configs: DataFrame, sources: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     """(config_id, name, doc_id, bytes, copies) of every record that a plan uses at least once."""
-    rates = source_rates(docs, configs, sources).select("config_id", "name", "seed", "rate", "min_chars", "max_chars").where("rate > 0")
+    rates = kept_rates(docs, configs, sources) if rates is None else rates
+    used = rates.select("config_id", "name", "seed", "rate", "min_chars", "max_chars").where("rate > 0")
     return (
-        _sized(docs).join(_bounded(rates), "name").where(_in_range())
+        _sized(docs).join(broadcast_if_small(used, PLAN_ROWS_MAX), "name").where(_in_range())
         .select("config_id", "name", "doc_id", "bytes", copies(F.col("rate"), F.col("seed"), F.col("config_id"), F.col("doc_id")).alias("copies"))
         .where("copies > 0")
     )
@@ -93,8 +96,9 @@ def mix(docs: DataFrame, configs: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix_shares(docs: DataFrame, configs: DataFrame, sources: DataFrame) -> DataFrame:
     """Reached against planned: bytes emitted per plan and source, and the share each has of its plan."""
-    rates = source_rates(docs, configs, sources)
-    got = mix(docs, configs, sources).groupBy("config_id", "name").agg(F.sum(F.col("bytes") * F.col("copies")).alias("mixed_bytes"), F.sum("copies").alias("mixed_records"))
+    st = Stage(docs.sparkSession, "shares")
+    rates = kept_rates(docs, configs, sources)
+    got = st.keep(mix(docs, configs, sources, rates).groupBy("config_id", "name").agg(F.sum(F.col("bytes") * F.col("copies")).alias("mixed_bytes"), F.sum("copies").alias("mixed_records")))
     total = got.groupBy("config_id").agg(F.sum("mixed_bytes").alias("plan_bytes"))
     return (
         rates.join(got, ["config_id", "name"], "left").join(total, "config_id", "left")

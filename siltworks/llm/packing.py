@@ -25,24 +25,30 @@ PLACED = "container_id string, doc_id long, part int, start long, n_tokens int,
 
 
 class Windows:
-    """At most ``limit`` open windows ordered by free room; ``put`` returns the window an item went to and the one that had to be emitted, if any."""
+    """At most ``limit`` open windows ordered by free room; ``put`` returns the window an item went to and those it closed."""
 
     def __init__(self, capacity: int, limit: int, name: str):
         self.capacity, self.limit, self.name = capacity, limit, name
         self.room: list[tuple[int, int]] = []  # (free room, number), sorted
         self.made = 0
 
-    def put(self, size: int) -> tuple[int, int | None]:
+    def put(self, size: int) -> tuple[int, list[int]]:
+        """The window of an item of 1 to ``capacity``, and the windows that are closed by it: full ones and the one that makes room."""
+        if size == self.capacity:  # fills a window alone, the open ones stay open
+            self.made += 1
+            return self.made - 1, [self.made - 1]
         at = bisect.bisect_left(self.room, (size, -1))
+        sealed = []
         if at < len(self.room):
             free, w = self.room.pop(at)
-            sealed = None
         else:
-            sealed = self.room.pop(0)[1] if len(self.room) >= self.limit else None
+            if len(self.room) >= self.limit:
+                sealed.append(self.room.pop(0)[1])
             free, w, self.made = self.capacity, self.made, self.made + 1
         if free == size:
-            return w, w if sealed is None else sealed  # an exactly full window closes itself
-        bisect.insort(self.room, (free - size, w))
+            sealed.append(w)
+        else:
+            bisect.insort(self.room, (free - size, w))
         return w, sealed
 
 
@@ -71,14 +77,13 @@ def place_items(sizes: DataFrame, capacity: int = CAPACITY, open_windows: int =
                 start = part * capacity
                 w, sealed = win.put(n - start)
                 inside.setdefault(w, []).append((doc, part, start, n - start))
-                if sealed is not None:
-                    out.extend((f"{prefix}{sealed}", *item, True) for item in inside.pop(sealed))
+                for closed in sealed:
+                    out.extend((f"{prefix}{closed}", *item, True) for item in inside.pop(closed))
             if len(out) > 20_000:
                 yield _batch(out)
                 out = []
         for w, items in inside.items():
-            full = all(x[1] != w for x in win.room)
-            out.extend((f"{prefix}{w}", *item, full) for item in items)
+            out.extend((f"{prefix}{w}", *item, False) for item in items)
         if out:
             yield _batch(out)
 

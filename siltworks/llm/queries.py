@@ -27,6 +27,7 @@ QUERIES = {
     "p1_found": lambda s, d: splits.found(_docs(s, d)),
     "p1_splits": lambda s, d: splits.document_splits(_docs(s, d)),
     "p2_found": lambda s, d: token_budget.found(_docs(s, d)),
+    "p2_counts": lambda s, d: token_budget.token_report(_docs(s, d)),
     "p2_token_cube": lambda s, d: token_budget.token_cube(_docs(s, d), table(s, d, "sampling_sources")),
     "p3_found": lambda s, d: oversized.found(_docs(s, d)),
     "p3_pieces": lambda s, d: oversized.split_oversized(_docs(s, d)),

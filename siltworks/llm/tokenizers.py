@@ -18,11 +18,21 @@ def read_ranks(name: str = BYTE_BPE, folder: str = DEFAULT_DIR) -> dict[bytes, i
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def byte_encoder(name: str = BYTE_BPE, folder: str = DEFAULT_DIR):
-    """``encode(text) -> list[int]`` of a byte-level vocabulary; the second call in a worker is free."""
+def _encoding(name: str, folder: str):
     key = (name, folder)
     if key not in _loaded:
         import tiktoken
 
         _loaded[key] = tiktoken.Encoding(name, pat_str=WORD_PATTERN, mergeable_ranks=read_ranks(name, folder), special_tokens={})
-    return _loaded[key].encode_ordinary
+    return _loaded[key]
+
+
+def byte_encoder(name: str = BYTE_BPE, folder: str = DEFAULT_DIR):
+    """``encode(text) -> list[int]`` of a byte-level vocabulary; the second call in a worker is free."""
+    return _encoding(name, folder).encode_ordinary
+
+
+def batch_encoder(name: str = BYTE_BPE, folder: str = DEFAULT_DIR):
+    """``encode(texts) -> list[list[int]]``; a task has one core, so one thread."""
+    encoding = _encoding(name, folder)
+    return lambda texts: encoding.encode_ordinary_batch(texts, num_threads=1)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,13 +44,21 @@ def test_token_counts_and_flags(spark):
     docs = spark.createDataFrame([(*r, " Web-Moss_EN.jsonl", None, "webmoss_en", "en") for r in rows], "doc_id long, text string, raw_tokens long, cleaned_tokens long, source_name string, language string, source string, lang string").withColumn("n_tokens", F.lit("clash"))
     assert sorted(r[0] for r in token_budget.found(docs).collect()) == [2, 3, 4, 5, 6, 9]
     rep = {r["doc_id"]: r for r in token_budget.token_report(docs).collect()}
-    assert rep[1]["n_tokens"] == 2 and rep[8]["n_tokens"] == 0 and rep[1]["source_key"] == "web_moss_en" and rep[1]["language_key"] == "en" and rep[10]["usable_tokens"] == 0
+    assert rep[1]["n_tokens"] == 2 and rep[8]["n_tokens"] == 0 and rep[1]["source_key"] == "web_moss_en" and rep[1]["language_key"] == "en" and rep[10]["recorded_tokens"] == 2
     sources = spark.createDataFrame([("WEB_moss_en", "web"), (None, "x")], "name string, domain string")
     cube = token_budget.token_cube(docs, sources).where("level = 7").first()
     assert cube["documents"] == 10 and cube["tokens"] == sum(r["n_tokens"] for r in rep.values())
     assert token_budget.token_cube(docs.limit(0), sources).count() <= 1
 
 
+def test_batches_of_texts_keep_their_order(monkeypatch):
+    monkeypatch.setattr(token_budget, "BATCH_TEXTS", 3)
+    monkeypatch.setattr(token_budget, "BATCH_CHARS", 10)
+    texts = ["a", None, "b" * 30, "c", "", "d" * 9, "ee", "f", "g", "h"]
+    got = list(token_budget.text_batches(pa.array(texts, pa.string())))
+    assert [t for b in got for t in b] == [t or "" for t in texts] and all(len(b) <= 3 for b in got)
+
+
 def test_suffix_automaton_against_brute_force():
     rnd = random.Random(3)
     for _ in range(60):
@@ -142,6 +151,15 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), 100).count() == 0
 
 
+def test_items_of_exactly_the_capacity_leave_nothing_open():
+    win = packing.Windows(100, 4, "")
+    first, _ = win.put(60)
+    for _ in range(50):
+        w, closed = win.put(100)
+        assert closed == [w] and len(win.room) == 1
+    assert win.put(40) == (first, [first]) and not win.room
+
+
 def test_abuse_is_learned_and_neutral_use_is_not(spark):
     rnd = random.Random(7)
     insult = ["you are a stupid clown and nobody likes you", "shut up you stupid rat", "get lost you worthless clown", "你这个蠢货赶紧滚出去", "所有外乡人都是蠢货"]
