@@ -25,6 +25,7 @@ def _regroup(s, d):
 
 QUERIES = {
     "p1_found": lambda s, d: splits.found(_docs(s, d)),
+    "p1_torn": lambda s, d: splits.torn_report(_docs(s, d)),
     "p1_splits": lambda s, d: splits.document_splits(_docs(s, d)),
     "p2_found": lambda s, d: token_budget.found(_docs(s, d)),
     "p2_counts": lambda s, d: token_budget.token_report(_docs(s, d)),

@@ -26,7 +26,17 @@ both_ways as (select a, b from e union select b, a from e),
 reach as (select a as v, a as r from both_ways union select b, r from reach join both_ways on a = v),
 groups as (select v as doc_id, min(r) as group_id from reach group by 1)"""
 
+_SPLIT = """case lower(trim(split, e' \\t\\n\\r')) when 'train' then 1 when 'training' then 1 when 'trn' then 1 when 'tr' then 1 when 'validation' then 2 when 'valid' then 2 when 'val' then 2 when 'dev' then 2
+  when 'diagnostic' then 4 when 'diagnostics' then 4 when 'diag' then 4 else 0 end"""
+
 ORACLE: dict[str, str] = {
+    "p1_torn": f"""with recursive keyed as (select doc_id, 'c' || nullif(lower(trim(cluster_id, e' \\t\\n\\r')), '') as c, case when trim(parent_document_id, e' \\t\\n\\r') <> '' then 'p' || parent_document_id end as p, {_SPLIT} as bit from documents),
+ties as (select distinct c as a, p as b from keyed where c is not null and p is not null), both_ways as (select a, b from ties union select b, a from ties),
+reach as (select a as v, a as r from both_ways union select b, r from reach join both_ways on a = v), top as (select v, min(r) as r from reach group by 1),
+of_doc as (select k.*, coalesce(t.r, k.c, k.p, 'r' || doc_id) as component from keyed k left join top t on t.v = coalesce(k.c, k.p)),
+per as (select component, c, count(*) as n, bit_or(bit) as bits from of_doc group by 1, 2),
+comp as (select component, count(c) as clusters, sum(n) as n, bit_or(bits) as bits, max(case when c is not null then bit_count(bits) else 0 end) as worst from per group by 1)
+select count(*) as components, coalesce(sum(clusters), 0)::bigint as clusters, coalesce(sum(n), 0)::bigint as records, count(*) filter (worst < 2) as torn_only_by_links from comp where bit_count(bits) >= 2""",
     "p1_found": r"""
 select lower(trim(cluster_id, e' \t\n\r')) as cluster_id from (select cluster_id, case lower(trim(split, e' \t\n\r')) when 'train' then 1 when 'training' then 1 when 'trn' then 1
   when 'tr' then 1 when 'validation' then 2 when 'valid' then 2 when 'val' then 2 when 'dev' then 2 when 'diagnostic' then 3 when 'diagnostics' then 3 when 'diag' then 3 end as s from documents)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -89,6 +90,34 @@ def test_splits_keep_groups_and_proportions(spark):
     assert [r["new_split"] for r in out.where("component = 'cluster=big'").select("new_split").distinct().collect()] == ["train"]
 
 
+def test_a_giant_moves_the_cut_points():
+    rnd = random.Random(3)
+    wanted = {"validation": 0.05, "diagnostic": 0.05, "train": 0.9}
+
+    def shares(sizes):
+        got, covered = dict.fromkeys(wanted, 0), []
+        for name, lo, hi in splits.arcs(sizes, wanted):
+            got[name] += int(sizes[lo:hi].sum())
+            covered.extend(range(lo, hi))
+        assert sorted(covered) == list(range(len(sizes)))
+        return {k: v / max(1, sizes.sum()) for k, v in got.items()}
+
+    small = np.array([rnd.randrange(0, 5) for _ in range(4096)])
+    assert splits.arcs(small, wanted)[0][:2] == ("validation", 0)  # without a giant nothing moves
+    for at in (0, 10, 150, 300, 4000):
+        sizes = small.copy()
+        sizes[at] = small.sum() // 2  # a third of all records
+        got = shares(sizes)
+        assert abs(got["validation"] - 0.05) < 0.002 and abs(got["diagnostic"] - 0.05) < 0.002
+    assert shares(np.zeros(16, np.int64)) == dict.fromkeys(wanted, 0)
+
+
+def test_torn_report(spark):
+    rows = [(1, "a", "x", "train"), (2, "b", "x", "val"), (3, "c", "y", "train"), (4, "c", None, "diag"), (5, None, "z", "train"), (6, None, "z", "val"), (7, "d", None, "train"), (8, None, None, None)]
+    assert tuple(splits.torn_report(_records(spark, rows)).first()) == (3, 3, 6, 2)
+    assert tuple(splits.torn_report(_records(spark, [])).first()) == (0, 0, 0, 0)
+
+
 def test_torn_clusters(spark):
     rows = [(1, " A ", None, "Train"), (2, "a", "x", " VAL"), (3, "b", "x", "train"), (4, "b", None, "unassigned"), (5, None, None, "diag"), (6, "", None, "train"), (7, "c", None, "diag"), (8, "C", None, "training"), (9, "d", None, None)]
     assert sorted(r[0] for r in splits.found(_records(spark, rows)).collect()) == ["a", "c"]

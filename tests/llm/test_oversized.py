@@ -31,7 +31,7 @@ def test_random_texts_against_the_definition(limit, overlap):
 
 
 def test_a_piece_never_runs_from_one_section_into_the_next_of_its_parent():
-    text = "# A\nintro.\n## A1\n" + "a b. " * 10 + "\n## A2\n" + "c d. " * 12 + "\n# B\n" + "e f. " * 8 + "\n## B1\nshort.\n## B2\nalso short.\n"
+    text = "# A\nintro.\n## A1\n" + "a b. " * 10 + "\n## A2\n" + "c d. " * 12 + "\n# B\n" + "e f. " * 13 + "\n## B1\nshort.\n## B2\nalso short.\n"
     parts = [text[lo + back : hi] for lo, hi, back, _ in oversized.split_text(text, 90, 10)[0]]
     assert parts[0].startswith("# A\nintro.\n## A1") and parts[1].startswith("## A2") and parts[1].rstrip().endswith("c d.")
     assert parts[2].startswith("# B") and any(p.startswith("## B1") and "## B2" in p for p in parts)  # small siblings share a piece
