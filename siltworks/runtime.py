@@ -61,6 +61,12 @@ class Stage:
         kept._stage_path = path
         return kept
 
+    def plain(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Some columns of a kept table, still droppable as that table."""
+        out = df.select(*columns)
+        out._stage_path = df._stage_path
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in frames:
