@@ -51,7 +51,7 @@ def _rank_chains(st: Stage, two: DataFrame) -> DataFrame:
 
     State per arc s->d: the arc it reaches after 2^k steps, or the end, and the smallest chain id passed."""
     arcs = two.select("v", F.explode(F.array("n1", "n2")).alias("d")).withColumnRenamed("v", "s")
-    look = two.select(F.col("v").alias("d"), "n1", "n2")
+    look = two.select(F.col("v").alias("d"), "n1", "n2").hint("merge")
     cur = st.keep(
         arcs.join(look, "d", "left").select(
             "s", "d",
@@ -68,7 +68,7 @@ def _rank_chains(st: Stage, two: DataFrame) -> DataFrame:
             break  # all ends are known, or only rings are left and their minima are settled
         left = n
         t = cur.select(F.col("s").alias("ts"), F.col("d").alias("td"), F.col("ts").alias("us"), F.col("td").alias("ud"), F.col("end").alias("uend"), F.col("lo").alias("ulo"))
-        step = cur.where("td is not null").join(t, ["ts", "td"]).select(
+        step = cur.where("td is not null").join(t.hint("merge"), ["ts", "td"]).select(
             "s", "d", F.col("us").alias("ts"), F.col("ud").alias("td"), F.col("uend").alias("end"),
             F.least("lo", "ulo").alias("lo"), (F.col("ulo") < F.col("lo")).alias("moved"),
         )
@@ -86,57 +86,66 @@ def _solve_core(st: Stage, edges: DataFrame) -> DataFrame:
     both = st.keep(edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.*"))
     lab = st.keep(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("root")))
     while True:
-        near = hot_join(both.withColumnRenamed("w", "k"), lab.select(F.col("v").alias("k"), F.col("root").alias("r")), "k").groupBy("v").agg(F.min("r").alias("r"))
+        near = hot_join(both.withColumnRenamed("w", "k"), lab.select(F.col("v").alias("k"), F.col("root").alias("r")), "k", merge=True).groupBy("v").agg(F.min("r").alias("r"))
         # a root learns of the smaller labels its members have seen, so whole trees hook at once
-        hook = lab.join(near, "v").groupBy(F.col("root").alias("v")).agg(F.min("r").alias("h"))
-        met = lab.join(near, "v").join(hook, "v", "left").select("v", "root", F.least("root", "r", F.coalesce("h", "root")).alias("new"))
-        met = st.keep(met)
-        jump = hot_join(met.withColumnRenamed("new", "k"), met.select(F.col("v").alias("k"), F.col("new").alias("k2")), "k", "left")
+        told = st.keep(lab.join(near.hint("merge"), "v"))
+        hook = told.groupBy(F.col("root").alias("v")).agg(F.min("r").alias("h"))
+        met = st.keep(told.join(hook.hint("merge"), "v", "left").select("v", "root", F.least("root", "r", F.coalesce("h", "root")).alias("new")))
+        jump = hot_join(met.withColumnRenamed("new", "k"), met.select(F.col("v").alias("k"), F.col("new").alias("k2")), "k", "left", merge=True)
         nxt = st.keep(jump.select("v", F.least("k", F.coalesce("k2", "k")).alias("root"), (F.least("k", F.coalesce("k2", "k")) < F.col("root")).alias("moved")))
-        st.drop(met, lab)
+        st.drop(told, met, lab)
         lab = nxt
         if lab.where("moved").limit(1).count() == 0:
             st.drop(both)
-            return lab.select("v", "root")
+            return st.plain(lab, "v", "root")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(v, group_id) for every id with at least one link; ``group_id`` is the smallest id linked directly or through others.
 
     ``links`` has distinct pairs (a, b) with a != b, both non-null. An empty table gives an empty result. Runs jobs while the plan is built."""
-    spark = links.sparkSession
-    st = Stage(spark, "components")
+    st = Stage(links.sparkSession, "components")
     edges = st.keep(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
-    everyone = None
+    deg = everyone = st.keep(_degrees(edges))
     removed: list[DataFrame] = []  # (v, parent), in the order of removal
-    for _ in range(ROUNDS_MAX):
+    chains: list[DataFrame] = []
+
+    def swap(new_edges: DataFrame) -> None:
+        """The next edges and degrees; the tables of the finished step go, but for the first degrees, which name all vertices."""
+        nonlocal edges, deg
+        old, old_deg = edges, deg
+        edges = st.keep(new_edges)
         deg = st.keep(_degrees(edges))
-        if everyone is None:
-            everyone = deg
+        st.drop(old, *([] if old_deg is everyone else [old_deg]))
+
+    for _ in range(ROUNDS_MAX):
         n, ones, twos = deg.agg(F.count(F.lit(1)), F.count(F.when(F.col("deg") == 1, 1)), F.count(F.when(F.col("deg") == 2, 1))).first()
         if n == 0 or (ones + twos) * 8 < n:
             break
         if twos:
             ends = _rank_chains(st, deg.where("deg = 2").select("v", "n1", "n2"))
             removed.append(ends.select("v", F.coalesce("e1", "lo").alias("parent")))
+            chains.append(ends)
             # the edges of a chain vertex are known in full, so the pair is the key and a hub's edges spread over all partitions
             spent = deg.where("deg = 2").select("v", F.explode(F.array("n1", "n2")).alias("n")).select(F.least("v", "n").alias("a"), F.greatest("v", "n").alias("b")).distinct()
-            rest = edges.join(spent, ["a", "b"], "left_anti")
-            edges = st.keep(rest.union(ends.where("e1 < e2").select("e1", "e2")).distinct())
-            deg = st.keep(_degrees(edges))
+            rest = edges.join(spent.hint("merge"), ["a", "b"], "left_anti")
+            swap(rest.union(ends.where("e1 < e2").select("e1", "e2")).distinct())
         # two ends of a single edge are both of degree one: the larger goes
         pair = deg.where("deg = 1").groupBy(F.least("v", "n1").alias("lo"), F.greatest("v", "n1").alias("hi")).agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v"), F.min("n1").alias("n1"))
         gone = st.keep(pair.select(F.when(F.col("n") == 2, F.col("hi")).otherwise(F.col("v")).alias("v"), F.when(F.col("n") == 2, F.col("lo")).otherwise(F.col("n1")).alias("parent")))
         removed.append(gone)
         cut = gone.select(F.least("v", "parent").alias("a"), F.greatest("v", "parent").alias("b"))
-        edges = st.keep(edges.join(cut, ["a", "b"], "left_anti"))
+        swap(edges.join(cut.hint("merge"), ["a", "b"], "left_anti"))
     labels = _solve_core(st, edges)
     for batch in reversed(removed):
-        up = hot_join(batch.withColumnRenamed("parent", "k"), labels.select(F.col("v").alias("k"), "root"), "k", "left")
+        up = hot_join(batch.withColumnRenamed("parent", "k"), labels.select(F.col("v").alias("k"), "root"), "k", "left", merge=True)
+        old = labels
         labels = st.keep(labels.unionByName(up.select("v", F.coalesce("root", "k").alias("root"))))
-    rooted = st.keep(everyone.select("v").join(labels, "v", "left").select("v", F.coalesce("root", "v").alias("k")))
-    least = rooted.groupBy("k").agg(F.min("v").alias("group_id"))
-    return hot_join(rooted, least, "k").select("v", "group_id")
+        st.drop(old)
+    rooted = st.keep(everyone.select("v").join(labels.hint("merge"), "v", "left").select("v", F.coalesce("root", "v").alias("k")))
+    least = st.keep(rooted.groupBy("k").agg(F.min("v").alias("group_id")))
+    st.drop(edges, deg, everyone, labels, *removed, *chains)
+    return hot_join(rooted, least, "k", merge=True).select("v", "group_id")
 
 
 def found(checks: DataFrame, *members: DataFrame) -> DataFrame:
