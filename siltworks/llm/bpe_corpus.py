@@ -2,8 +2,10 @@
 
 All in Spark expressions: texts are cut into words by the vocabulary's own pattern, and further between ideographs where no piece of the vocabulary reaches
 across. The distinct words of the corpus are folded once: higher-order functions merge the pair of bytes or pieces with the lowest rank until none is
-in the literal rank map. The most frequent words, at most ``CACHE_WORDS``, form a second literal map by which texts become ids; any other word
-is folded where it stands, so the result is exact at every size. Decoding looks pieces up by id, joins their bytes and reads them as UTF-8.
+in the literal rank map. A long word is folded window by window: a list of pieces is the encoding of its bytes exactly if each two neighbours are the encoding
+of theirs, so a window that starts with the last pieces found and leaves the first of them as it was extends the encoding exactly; if it doesn't, it
+starts further back. So the work is linear in the length of the word. The most frequent short words, at most ``CACHE_WORDS`` of at most ``CACHE_BYTES``, form a
+second literal map by which texts become ids; any other word is folded where it stands, so the result is exact at every size. Decoding looks pieces up by id, joins their bytes and reads them as UTF-8.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from siltworks.llm.tokenizers import BYTE_BPE, DEFAULT_DIR, read_ranks
 from siltworks.runtime import Stage
 
 CACHE_WORDS = 65_536  # bound of the literal word map, about 3 MB
+CACHE_BYTES = 48  # longer words aren't in it, whatever their frequency
+WINDOW = 48  # bytes by which a long word is folded on
+BACK = (4, 16)  # pieces with which a window starts, the second number where the first doesn't do; then all
 BUCKETS = 16_384
 _HAN = (0x4E00, 0x9FFF)
 
@@ -86,6 +91,11 @@ def _bytes_as_text(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class ByteBpe:
     """Expressions of one vocabulary."""
 
@@ -100,25 +110,89 @@ class ByteBpe:
     def units(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def fold(self, word: Column) -> Column:
-        """Token ids of one word: the word itself where it is a piece, else ranked merges over its bytes."""
-        whole = _bytes_as_text(word)
+    def _merged(self, whole: Column, rank: Column) -> Column:
+        """Pieces of a short string of bytes by ranked merges; the ranks of neighbours are kept, so that a merge looks up two."""
 
-        def merge(state: Column, _: Column) -> Column:
-            pieces = state["pieces"]
-            # ranks of neighbours, then the first pair of the lowest rank
-            ranks = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: _find(self.rank, F.concat(p, F.get(pieces, i + 1))))
-            found = F.transform(F.array(ranks), lambda r: F.array_position(r, F.array_min(r)).cast("int"))
-            joined = F.transform(
-                F.filter(found, lambda p: p > 0),
-                lambda p: F.concat(F.slice(pieces, F.lit(1), p - 1), F.array(F.concat(F.get(pieces, p - 1), F.get(pieces, p))), F.slice(pieces, p + 2, F.size(pieces))),
-            )
-            return F.when(state["done"], state).otherwise(F.struct(F.coalesce(F.get(joined, F.lit(0)), pieces).alias("pieces"), ((F.size(joined) == 0) | (F.size(pieces) <= 2)).alias("done")))
-
-        start = F.struct(F.split(whole, "").alias("pieces"), (F.length(whole) < 2).alias("done"))
+        def step(state: Column, place: Column) -> Column:
+            pieces, ranks = state["pieces"], state["ranks"]
+            joined = F.concat(F.get(pieces, place - 1), F.get(pieces, place))
+
+            def replaced(piece: Column) -> Column:
+                left = F.when(place > 1, F.array(_find(rank, F.concat(F.get(pieces, place - 2), piece)))).otherwise(none)
+                right = F.when(place + 1 < F.size(pieces), F.array(_find(rank, F.concat(piece, F.get(pieces, place + 1))))).otherwise(none)
+                return F.struct(
+                    F.concat(F.slice(pieces, F.lit(1), place - 1), F.array(piece), F.slice(pieces, place + 2, F.size(pieces))).alias("pieces"),
+                    F.concat(F.slice(ranks, F.lit(1), F.greatest(place - 2, F.lit(0))), left, right, F.slice(ranks, place + 2, F.size(pieces))).alias("ranks"),
+                )
+
+            return _let(joined, replaced)
+
+        none = F.array().cast("array<int>")
+        letters = F.split(whole, "")
+        start = _let(letters, lambda p: F.struct(p.alias("pieces"), F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: _find(rank, F.concat(x, F.get(p, i + 1)))).alias("ranks")))
         steps = F.sequence(F.lit(1), F.greatest(F.length(whole) - 1, F.lit(1)))
-        merged = F.aggregate(steps, start, merge, lambda s: F.transform(s["pieces"], lambda p: _find(self.rank, p)))
-        return F.coalesce(F.transform(F.array(_find(self.rank, whole)), lambda r: F.when(r.isNotNull(), F.array(r)))[0], merged)
+
+        def merge(state: Column, _: Column) -> Column:
+            # the first pair of the lowest rank; without one the state stays
+            place = F.array_position(state["ranks"], F.array_min(state["ranks"])).cast("int")
+            return _let(place, lambda p: F.when(F.coalesce(p, F.lit(0)) > 0, step(state, p)).otherwise(state))
+
+        return F.aggregate(steps, start, merge, lambda s: s["pieces"])
+
+    def _long(self, whole: Column, rank: Column) -> Column:
+        """Pieces of a long string of bytes, window by window. State: finished pieces in lists, and the last ones, with which the next window can start."""
+        chunks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
+        most = BACK[-1]
+        text = "array<string>"
+
+        def onward(state: Column, chunk: Column) -> Column:
+            last = state["last"]
+
+            def attempt(back: tuple[int, ...]) -> Column:
+                if not back:  # from the very start
+                    return _let(F.concat(F.flatten(state["done"]), last), lambda all_: kept(F.array().cast(f"array<{text}>"), self._merged(F.concat(F.array_join(all_, ""), chunk), rank)))
+                k = F.least(F.lit(back[0]), F.size(last))
+
+                def opened(tail: Column) -> Column:
+                    def judged(new: Column) -> Column:
+                        # all pieces there are, or the first one again as it was
+                        fits = ((F.size(tail) == F.size(last)) & (F.size(state["done"]) == 0)) | (F.get(new, F.lit(0)) == F.get(tail, F.lit(0)))
+                        held = F.concat(F.slice(last, F.lit(1), F.size(last) - F.size(tail)), new)
+                        return F.when(fits, kept(state["done"], held)).otherwise(attempt(back[1:]))
+
+                    return _let(self._merged(F.concat(F.array_join(tail, ""), chunk), rank), judged)
+
+                return _let(F.slice(last, F.size(last) - k + 1, k), opened)
+
+            return attempt(BACK)
+
+        def kept(done: Column, pieces: Column) -> Column:
+            """All but the last pieces are finished."""
+            return _let(pieces, lambda p: _let(F.greatest(F.size(p) - most, F.lit(0)), lambda n: F.struct(F.when(n > 0, F.concat(done, F.array(F.slice(p, F.lit(1), n)))).otherwise(done).alias("done"), F.slice(p, n + 1, F.size(p)).alias("last"))))
+
+        start = F.struct(F.array().cast(f"array<{text}>").alias("done"), F.array().cast(text).alias("last"))
+        return F.aggregate(chunks, start, onward, lambda s: F.concat(F.flatten(s["done"]), s["last"]))
+
+    def fold(self, word: Column) -> Column:
+        """Token ids of one word."""
+        return self.folding(lambda fold: fold(word))
+
+    def folding(self, body) -> Column:
+        """``body(fold)`` with a ``fold`` for any number of words; the literal rank map stands in the plan once.
+
+        A word that is a piece itself is that piece, else ranked merges over its bytes give its pieces."""
+
+        def with_ranks(rank: Column) -> Column:
+            def fold(word: Column) -> Column:
+                def of(whole: Column) -> Column:
+                    pieces = F.when(F.length(whole) <= 2 * WINDOW, self._merged(whole, rank)).otherwise(self._long(whole, rank))
+                    return _let(_find(rank, whole), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.transform(pieces, lambda p: _find(rank, p))))
+
+                return _let(_bytes_as_text(word), of)
+
+            return body(fold)
+
+        return _let(self.rank, with_ranks)
 
     def decode(self, ids: Column) -> Column:
         """Text of a list of ids; null stays null, an empty list is the empty text."""
@@ -137,7 +211,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", name
     bpe = ByteBpe(name, folder)
     st = Stage(docs.sparkSession, "bpe")
     table = st.keep(word_table(docs, bpe, text))
-    top = table.orderBy(F.desc("documents"), "word").limit(CACHE_WORDS).select("word", "ids").collect()
+    top = table.where(F.octet_length("word") <= CACHE_BYTES).orderBy(F.desc("documents"), "word").limit(CACHE_WORDS).select("word", "ids").collect()
     cache = _literal({r["word"]: list(r["ids"]) for r in top}, "array<int>")
-    ids = F.flatten(F.transform(bpe.units(F.col(text)), lambda u: F.coalesce(_find(cache, u), bpe.fold(u))))
+    ids = bpe.folding(lambda fold: _let(cache, lambda held: F.flatten(F.transform(bpe.units(F.col(text)), lambda u: F.coalesce(_find(held, u), fold(u))))))
     return docs.select(key, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))

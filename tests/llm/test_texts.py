@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -39,6 +40,34 @@ def test_words_beyond_the_cache_are_folded_in_place(spark, monkeypatch):
     assert got == [byte_encoder()(t) for t in texts]
 
 
+def test_long_words_are_folded_in_windows(spark, monkeypatch):
+    rnd = random.Random(11)
+    monkeypatch.setattr(bpe_corpus, "CACHE_WORDS", 3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["a" * 5000, "ab" * 700, "".join(rnd.choice(letters) for _ in range(3000)), "".join(rnd.choice(["the", "quick", "international", "responsibility"]) for _ in range(300)), "=" * 999, "กขฃคฅฆงจ" * 60, "".join(chr(rnd.randrange(0x3041, 0x30FF)) for _ in range(400))]
+    texts += ["".join(rnd.choice(letters[:4]) for _ in range(n)) for n in range(90, 110)]
+    got = [r["ids"] for r in bpe_corpus.encode_corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [byte_encoder()(t) for t in texts]
+
+
+def test_a_window_that_changes_its_first_piece_starts_further_back(spark, monkeypatch):
+    monkeypatch.setattr(bpe_corpus, "WINDOW", 3)
+    monkeypatch.setattr(bpe_corpus, "BACK", (1, 2))
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice(["ing", "tion", "er", "the", "a", "s", "q"]) for _ in range(12)) for _ in range(60)]
+    bpe = bpe_corpus.ByteBpe()
+    got = [r["ids"] for r in spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", bpe.fold(F.col("text")).alias("ids")).orderBy("i").collect()]
+    assert got == [byte_encoder()(t) for t in texts]
+
+
+def test_a_word_of_a_hundred_thousand_letters_ends_in_seconds(spark):
+    rnd = random.Random(13)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(100_000))
+    start = time.time()
+    got = bpe_corpus.encode_corpus(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["ids"]
+    assert got == byte_encoder()(text) and time.time() - start < 90
+
+
 def test_token_counts_and_flags(spark):
     rows = [(1, "hello world", 2, 2), (2, "hello", None, 1), (3, "hello", 0, 0), (4, "hello", 3, 4), (5, "hello", 6, 1), (6, "x" * 81, 2, 2), (7, " ", None, None), (8, None, -1, 5), (9, "ok", 1, -1), (10, "x" * 80, 2, 0)]
     docs = spark.createDataFrame([(*r, " Web-Moss_EN.jsonl", None, "webmoss_en", "en") for r in rows], "doc_id long, text string, raw_tokens long, cleaned_tokens long, source_name string, language string, source string, lang string").withColumn("n_tokens", F.lit("clash"))
