@@ -4,7 +4,8 @@ A factorization machine over hashed terms (words and word pairs, Chinese charact
 besides the weight of each term it learns an inner product for each pair of terms, so an insult next to a group or a person counts differently
 from either alone. Labels are per document and noisy, so training alternates between fitting stretches and choosing, in each positive
 document, those stretches that carry the label. A document's score is that of its worst stretch. The model is fitted on a bounded
-sample of the labels; all documents are scored in full, with NumPy over Arrow batches.
+sample of the labels, whose texts are turned into terms by the executors: the driver gets term numbers, never texts. All documents are scored in full,
+with NumPy over Arrow batches.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED_MAX = 12_000  # documented bound of the training sample: documents in hash order of their id
+LABELLED_MAX = 12_000  # documented bounds of the training sample: documents in hash order of their id,
+LABELLED_CHARS_MAX = 20_000_000  # and the characters of their texts
 SLOT_BITS = 20
 FACTORS = 6
 BLOCK = 12  # tokens; a stretch is two neighbouring blocks of one sentence
@@ -34,18 +36,20 @@ _table: dict = {}
 
 
 def _char_table() -> tuple[np.ndarray, np.ndarray]:
-    """(character to folded character, class) for the basic plane: 0 other, 1 letter of a word, 2 ideograph, 3 end of a sentence, 4 white space, 5 dropped, 6 digit."""
+    """(character to folded character, class) for all code points: 0 other, 1 letter of a word, 2 ideograph, 3 end of a sentence, 4 white space, 5 dropped, 6 digit.
+
+    Compatibility forms (full width, mathematical alphabets, enclosed letters) count as the letter they stand for."""
     if not _table:
         import unicodedata
 
-        fold = np.arange(65536, dtype=np.uint32)
-        kind = np.zeros(65536, np.uint8)
-        for i in range(65536):
-            if 0xD800 <= i < 0xE000:
-                continue
+        fold = np.arange(0x110000, dtype=np.uint32)
+        kind = np.zeros(0x110000, np.uint8)
+        # beyond the second plane there are only ideographs, of which some are compatibility forms
+        kind[0x20000:0x40000] = 2
+        for i in [*range(0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)]:
             c = chr(i)
             n = unicodedata.normalize("NFKC", c).lower()
-            n = n if len(n) == 1 and ord(n) < 65536 else c.lower() if len(c.lower()) == 1 else c
+            n = n if len(n) == 1 else c.lower() if len(c.lower()) == 1 else c
             n = _LOOKALIKE.get(n, n)
             d = unicodedata.normalize("NFD", n)
             if len(d) > 1 and d[0].isascii():
@@ -54,7 +58,7 @@ def _char_table() -> tuple[np.ndarray, np.ndarray]:
             cat = unicodedata.category(n)
             if cat in ("Cf", "Mn") or i == 0x00AD:
                 kind[i] = 5
-            elif 0x3400 <= ord(n) <= 0x9FFF or 0xF900 <= ord(n) <= 0xFAFF or 0x3040 <= ord(n) <= 0x30FF:
+            elif 0x3400 <= ord(n) <= 0x9FFF or 0xF900 <= ord(n) <= 0xFAFF or 0x3040 <= ord(n) <= 0x30FF or 0x20000 <= ord(n) < 0x40000:
                 kind[i] = 2
             elif n == "*" or n == "'" or cat[0] == "L":
                 kind[i] = 1
@@ -86,8 +90,6 @@ def featurise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     gap = np.array([10, 10], np.uint32)
     cp = np.concatenate([x for r in raw for x in (r, gap)])
     owner = np.repeat(np.arange(len(texts)), sizes)
-    big = cp >= 65536
-    cp = np.where(big, 0xFFFC, cp)
     k, c = kind[cp], fold[cp]
     keep = k != 5
     c, k, owner = c[keep], k[keep], owner[keep]
@@ -144,19 +146,15 @@ def featurise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _word_hash(c: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of each run c[first:last], the same wherever it stands: all words a letter at a time, longest words last."""
-    h = np.full(len(first), 0xCBF29CE484222325, np.uint64)
+    """Hash of each run c[first:last], the same wherever it stands: a polynomial over all its letters, for all words at once."""
     size = last - first
-    live = np.arange(len(first))
-    i = 0
-    while len(live):
-        live = live[size[live] > i]
-        if i >= 48:  # what is longer than 48 letters is told apart by its first 48 and its length
-            h[live] = _mix(h[live] + size[live].astype(np.uint64))
-            break
-        h[live] = (h[live] ^ c[first[live] + i].astype(np.uint64)) * _BASE
-        i += 1
-    return _mix(h)
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    start = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(start, size)
+    letters = _mix(c[np.repeat(first, size) + place].astype(np.uint64) + np.uint64(0x9E37))
+    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(size.max()), _BASE)]))
+    return _mix(np.add.reduceat(letters * power[place], start) + size.astype(np.uint64))
 
 
 class Model:
@@ -234,36 +232,58 @@ def _chunks(sizes: list[int], most: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 6, least: int = 3, seed: int = 1) -> Model:
-    """Fits on documents with labels 0 or 1. Terms found in fewer than ``least`` documents are left out. Without a positive and a negative document the
-    model says 0 for everything.
+def fit(texts: list[str], labels: list[int], **options) -> Model:
+    """Fits on documents with labels 0 or 1; see :func:`fit_stretches`."""
+    slots, bound, owner = _stretches(list(texts))
+    return fit_stretches(slots.astype(np.int32), np.diff(bound).astype(np.int32), owner.astype(np.int32), np.asarray(labels, np.int64), **options)
+
+
+def _document_frequencies(slots: np.ndarray, sizes: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents with each term, positive ones among them), some documents at a time; ``owner`` is sorted."""
+    df, hits = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
+    bound = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    edges = np.searchsorted(owner, np.arange(0, len(y) + 256, 256))
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        if hi > lo:
+            pairs = np.unique(np.repeat(owner[lo:hi].astype(np.int64), sizes[lo:hi]) * (1 << SLOT_BITS) + slots[bound[lo] : bound[hi]])
+            term, doc = pairs & ((1 << SLOT_BITS) - 1), pairs >> SLOT_BITS
+            np.add.at(df, term, 1)
+            np.add.at(hits, term, y[doc])
+    return df, hits
+
+
+def fit_stretches(slots: np.ndarray, sizes: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = 6, least: int = 3, seed: int = 1, factors: bool = True) -> Model:
+    """Fits on stretches of documents: their terms in a row, terms per stretch, document of each stretch (in order), label of each document.
+
+    Terms found in fewer than ``least`` documents are left out. Without a positive and a negative document the model says 0 for everything. ``factors`` false
+    leaves the interactions out, which shows what they add.
 
     Which stretches of the positive documents carry the label is first read off smoothed log odds of the terms (a term that few documents support
     counts little, so names don't matter), then off the machine itself. Positive documents whose label no stretch explains are left out;
     stretches of negative documents all count, so that what also stands in clean texts is unlearned."""
-    y = np.asarray(labels, np.int64)
-    slots, bound, owner = _stretches(list(texts))
     slot_row = np.zeros(1 << SLOT_BITS, np.int32)
     if not len(owner) or y.sum() == 0 or y.sum() == len(y):
         return Model(slot_row, np.zeros(1), np.zeros((1, FACTORS)), -30.0)
-    sizes = np.diff(bound)
-    pairs = np.unique(np.repeat(owner, sizes) * (1 << SLOT_BITS) + slots)
-    term, doc = pairs & ((1 << SLOT_BITS) - 1), pairs >> SLOT_BITS
-    df = np.bincount(term, minlength=1 << SLOT_BITS)
-    hits = np.bincount(term, y[doc], 1 << SLOT_BITS)
+    df, hits = _document_frequencies(slots, sizes, owner, y)
     prior = y.mean()
     # the document itself doesn't count as evidence for its own stretches, so what stands in one mislabelled document proves nothing
     p = (hits - 1 + SMOOTHING * prior) / (df - 1 + SMOOTHING)
     # against even odds: what is merely commoner in a rough forum doesn't count
-    odds = np.where((df >= least) & (p > 0.6), np.log(np.maximum(p, 1e-9) / np.maximum(1 - p, 1e-9)), 0.0)
+    odds = np.where((df >= least) & (p > 0.6), np.log(np.maximum(p, 1e-9) / np.maximum(1 - p, 1e-9)), 0.0).astype(np.float32)
     seen = np.flatnonzero(df >= least)
     slot_row[seen] = np.arange(1, len(seen) + 1)
+    # rare terms are dropped for good
+    known = slot_row[slots] > 0
+    at = np.repeat(np.arange(len(owner), dtype=np.int32), sizes)[known]
+    slots = slots[known]
+    del known
     rows = slot_row[slots]
-    at = np.repeat(np.arange(len(owner)), sizes)
+    bound = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(owner)))])
     logit = np.bincount(at, odds[slots], len(owner)) - EVIDENCE
     rng = np.random.default_rng(seed)
     # clean stretches are alike: those that share no suspicious term are thinned to one in four
-    plain = np.bincount(at, ((p > 0.35) & (df >= least))[slots], len(owner)) == 0
+    plain = np.bincount(at, (p > 0.35)[slots], len(owner)) == 0
+    del at, slots
     thinned = plain & (rng.random(len(owner)) > 0.25)
     half = (np.bitwise_xor(np.arange(len(y)), np.arange(len(y)) >> 3) & 1)[owner]
 
@@ -275,7 +295,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, least: int = 3, se
         mass = np.where(part & ~unexplained & ~(thinned & ~chosen), 1.0, 0.0)
         if not (chosen & part).any():
             chosen, mass = (y[owner] == 1) & (logit >= best[owner]), part.astype(float)
-        return _fit_rows(rows, bound, chosen.astype(float), mass, len(seen) + 1, slot_row, epochs, rng)
+        return _fit_rows(rows, bound, chosen.astype(float), mass, len(seen) + 1, slot_row, epochs, rng, factors=factors)
 
     # each half's stretches are chosen by the machine of the other half
     crossed = np.empty(len(owner))
@@ -301,10 +321,12 @@ def _score_rows(m: Model, rows: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fit_rows(rows, bound, target, mass, n_rows, slot_row, epochs, rng, rate=0.08, l2=1e-4, batch=1024) -> Model:
+def _fit_rows(rows, bound, target, mass, n_rows, slot_row, epochs, rng, rate=0.08, l2=1e-4, batch=1024, factors=True) -> Model:
     """Adaptive gradient descent on the logistic loss of stretches; row 0 (unknown terms) stays 0."""
     weight, factor = np.zeros(n_rows), rng.normal(0, 0.02, (n_rows, FACTORS))
     factor[0] = 0
+    if not factors:
+        factor[:] = 0
     gw, gf = np.full(n_rows, 1e-3), np.full((n_rows, FACTORS), 1e-3)
     live = np.flatnonzero(mass > 0)
     share = max(1e-3, (target[live] * mass[live]).sum() / max(1.0, mass[live].sum()))
@@ -329,25 +351,54 @@ def _fit_rows(rows, bound, target, mass, n_rows, slot_row, epochs, rng, rate=0.0
             cross = g[w][:, None] * (s[w] - v)
             df = np.stack([np.bincount(inv, cross[:, f], len(u)) for f in range(FACTORS)], 1) + l2 * factor[u]
             gw[u] += dw**2
-            gf[u] += df**2
             weight[u] -= rate * dw / np.sqrt(gw[u])
-            factor[u] -= 0.5 * rate * df / np.sqrt(gf[u])
+            if factors:
+                gf[u] += df**2
+                factor[u] -= 0.5 * rate * df / np.sqrt(gf[u])
             db = g.sum()
             gb += db**2
             bias -= rate * db / np.sqrt(gb)
     return Model(slot_row, weight, factor, bias)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MAX) -> list[tuple[str, int]]:
-    """(text, label) of at most ``most`` documents, in hash order of the id.
+def training_labels(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MAX, most_chars: int = LABELLED_CHARS_MAX) -> list[tuple[int, int]]:
+    """(doc_id, label) of the training sample: documents in hash order of the id, at most ``most`` and as long as their texts sum to at most ``most_chars``.
 
     Null labels and labels other than 0 and 1 are left out, repeated rows of one annotator count once, the majority decides, a tie decides nothing."""
     votes = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "annotator", "toxic").distinct()
     agreed = votes.groupBy("doc_id").agg(F.avg("toxic").alias("m")).where("m <> 0.5").select("doc_id", (F.col("m") > 0.5).cast("int").alias("y"))
     few = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").toArrow()
-    got = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), rows["y"].to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
-    return [(t, y) for _, t, y in got]
+    lengths = docs.where("text is not null").select("doc_id", F.length("text").alias("n")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.sum("n").alias("n"))
+    out, total = [], 0
+    for r in lengths.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        total += r["n"]
+        if total > most_chars:
+            break
+        out.append((r["doc_id"], r["y"]))
+    return out
+
+
+def training_stretches(docs: DataFrame, sample: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, terms per stretch, document of each stretch, labels) of the sampled documents, featurised on the executors, documents in order of id."""
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(sample, "doc_id long, y int"))  # at most LABELLED_MAX rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc, text, y in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                slots, bound, _ = _stretches([text.as_py()])
+                rows.append((doc.as_py(), y.as_py(), slots.astype(np.int32).tobytes(), np.diff(bound).astype(np.int32).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["doc_id", "y", "slots", "sizes"])
+
+    got = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, slots binary, sizes binary").toArrow()
+    slots, sizes = ([np.frombuffer(x.as_buffer() or b"", np.int32) for x in got[name]] for name in ("slots", "sizes"))
+    keys = list(zip(got["doc_id"].to_pylist(), map(len, slots), map(len, sizes), strict=True))
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    labels = np.array(got["y"].to_pylist(), np.int64)[order] if order else np.zeros(0, np.int64)
+    none = np.zeros(0, np.int32)
+    owner = np.repeat(np.arange(len(order), dtype=np.int32), [len(sizes[i]) for i in order]) if order else none
+    return np.concatenate([none, *[slots[i] for i in order]]), np.concatenate([none, *[sizes[i] for i in order]]), owner, labels
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -369,8 +420,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def trained_model(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MAX) -> Model:
-    sample = training_sample(docs, labels, most)
-    return fit([t for t, _ in sample], [y for _, y in sample])
+    sample = training_labels(docs, labels, most)
+    return fit_stretches(*training_stretches(docs, sample))
 
 
 def found(docs: DataFrame, labels: DataFrame) -> DataFrame:

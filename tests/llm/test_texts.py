@@ -210,3 +210,40 @@ def test_abuse_is_learned_and_neutral_use_is_not(spark):
     assert len(want & got) >= 0.9 * len(want) and len((got & set(held)) - want) <= 0.05 * len(held)
     assert got & {900, 901, 902, 903, 904} == {903, 904}
     assert toxicity.found(d, lab.limit(0)).count() == 0 and toxicity.found(d.limit(0), lab).count() == 0
+
+
+def test_only_interactions_tell_insult_from_neutral_use():
+    """Every term stands in as many positive as negative stretches; only who meets whom says which is which."""
+    rnd = random.Random(9)
+    texts, labels = [], []
+    for _ in range(3000):
+        first, second = rnd.choice(["wretch", "maggot"]), rnd.choice(["neighbours", "orchids"])
+        bad = (first == "wretch") == (second == "neighbours")
+        texts.append(" ".join([first, *[rnd.choice(WORDS) for _ in range(4)], second]))
+        labels.append(int(bad))
+    right = {}
+    for factors in (True, False):
+        model = toxicity.fit(texts[:2400], labels[:2400], factors=factors, epochs=12)
+        scores = model.document_scores(texts[2400:])
+        best = max(sum((s >= bar) == bool(y) for s, y in zip(scores, labels[2400:], strict=True)) for bar in sorted(set(scores)))
+        right[factors] = best / 600
+    assert right[True] >= 0.9 and right[False] <= 0.75, right
+
+
+def test_disguised_and_long_words():
+    plain, *_ = toxicity.featurise(["you are a kill"])
+    for same in ("𝐲𝐨𝐮 𝐚𝐫𝐞 𝐚 𝐤𝐢𝐥𝐥", "ｙｏｕ ａｒｅ ａ ｋｉｌｌ"):
+        assert sorted(toxicity.featurise([same])[0]) == sorted(plain)
+    assert len(toxicity.featurise(["𠀀𠀁"])[0]) == 3  # two ideographs beyond the basic plane and their pair
+    long = ["xy" * 40 + end for end in ("a", "b", "a")]
+    a, b, c = (toxicity.featurise([t])[0].tolist() for t in long)
+    assert a == c != b
+    assert toxicity.featurise(["word " + long[0]])[0][1] == a[0]  # the same wherever it stands
+
+
+def test_the_sample_is_bounded_in_documents_and_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "x", i % 2) for i in range(60)], "doc_id long, annotator string, toxic int")
+    assert len(toxicity.training_labels(docs, labels)) == 50
+    assert len(toxicity.training_labels(docs, labels, most=20)) <= 20
+    assert len(toxicity.training_labels(docs, labels, most_chars=1_050)) == 10
