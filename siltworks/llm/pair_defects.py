@@ -23,6 +23,7 @@ _INVISIBLE = re.compile(r"[​-‏⁠-⁤﻿­]")
 _CJK = re.compile(r"[㐀-鿿豈-﫿]")
 _SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?。！？]+[\"'”’」』）)]*|\n|\Z)")
 _LETTER = re.compile(r"\w", re.U)
+_CLAUSE_END = re.compile(r"[;:—]|, (?:but|so|and|which|because)\b")
 
 #: Texts that only stand for a missing answer, in lower case without surrounding brackets and punctuation.
 PLACEHOLDERS = frozenset(
@@ -30,20 +31,28 @@ PLACEHOLDERS = frozenset(
     "not available|not provided|answer|content|response|missing|待补充|待定|待填写|暂无|暂无内容|暂无回答|暂无答案|无|空|空白|无内容|无回答|无答案|没有内容|没有回答|略|此处留空|内容为空|回答为空|未提供|未填写".split("|")
 )
 
-#: Phrases by which a sentence declines; "we cannot" of a third party isn't among them.
+#: First-person beginnings that deny the ability or the will, and the verbs of answering that they must meet for a refusal. "I can't see your file" or
+#: "smoking is not permitted to passengers" decline nothing that was asked.
+DENIALS = [
+    "i can't", "i cannot", "i can not", "i won't", "i will not", "i'm unable to", "i am unable to", "i'm not able to", "i am not able to", "i won't be able to", "i will not be able to", "i'm not allowed to", "i am not allowed to",
+    "i'm not permitted to", "i am not permitted to", "i'm not going to", "i am not going to", "i'm not comfortable", "i am not comfortable", "i'm not in a position to", "i am not in a position to", "i must decline to", "i have to decline to", "i decline to", "i refuse to",
+    "i'd rather not", "i would rather not", "i prefer not to", "i'd prefer not to", "i would prefer not to", "it's not possible for me to", "it is not possible for me to", "it would not be appropriate for me to", "it wouldn't be appropriate for me to", "it isn't appropriate for me to", "it is not appropriate for me to",
+]
+ANSWERING = [
+    "help", "assist", "answer", "provide", "discuss", "talk", "respond", "reply", "comply", "do that", "do this", "tell", "share", "give", "engage", "support", "write", "advise", "comment", "say", "speak", "offer", "fulfill", "fulfil", "go into this", "go into that",
+    "get into this", "get into that", "address this", "address that", "continue with this", "take this", "take that", "answering", "discussing", "talking", "helping", "providing", "sharing", "giving", "writing", "assisting", "with this", "with that", "be of help", "explain", "participate", "generate", "create", "produce", "describe", "touch",
+]
+#: Whole phrases by which a first person declines.
 REFUSALS = [
-    "i can't help", "i cannot help", "i can not help", "i'm unable to", "i am unable to", "i'm not able to", "i am not able to", "i can't assist", "i cannot assist", "not something i can",
-    "i won't be able to", "i will not be able to", "i can't answer", "i cannot answer", "i can't provide", "i cannot provide", "i can't discuss", "i cannot discuss", "i can't talk", "i cannot talk",
-    "i can't respond", "i cannot respond", "i can't do that", "i cannot do that", "i can't comply", "i cannot comply", "i can't tell", "i cannot tell", "i can't share", "i cannot share", "i can't give", "i cannot give",
-    "i must decline", "i have to decline", "i decline", "i refuse", "i won't", "i will not answer", "i'd rather not", "i would rather not", "i prefer not", "i'd prefer not",
-    "break my guidelines", "against my guidelines", "violate my guidelines", "breaks my guidelines", "violates my", "against my policy", "against my rules", "my guidelines", "allowed to talk", "allowed to discuss", "allowed to answer",
-    "not permitted to", "have to pass on", "i'll pass on", "i pass on", "asked to stay away", "nothing i can tell", "nothing i can say", "outside of what i can", "beyond what i am", "beyond what i'm", "beyond what i can", "let's skip this", "let us skip this",
-    "let's not discuss", "let us not discuss", "talk about something different", "talk about something else", "change the subject", "not comfortable", "can't be of help", "cannot be of help", "can't engage", "cannot engage", "can't support", "cannot support", "unable to help", "unable to answer", "unable to assist", "not able to answer", "not able to help",
-    "not be appropriate for me", "not appropriate for me", "inappropriate for me", "no comment on", "only a language model", "just a language model", "as a language model", "find someone else", "isn't for me", "is not for me", "ask someone else", "i have nothing to say", "leave this one", "no answer from me",
+    "i must decline", "i have to decline", "i respectfully decline", "i decline.", "i refuse.", "not something i can", "not something i'm able", "break my guidelines", "breaks my guidelines", "against my guidelines", "violate my guidelines", "violates my guidelines", "goes against my", "against my policy", "violates my", "against my rules", "my guidelines don't", "my guidelines do not",
+    "i'm not allowed", "i am not allowed", "i'll pass on this", "i'll pass on that", "i'll have to pass on", "i will have to pass on", "i have to pass on", "i must pass on", "i pass on this", "i pass on that", "i'll pass on", "i was asked to stay away", "i've been asked to stay away", "i have been asked to stay away", "nothing i can tell", "nothing i can say", "outside of what i can", "beyond what i am", "beyond what i'm", "beyond what i can",
+    "let's skip this", "let us skip this", "let's not discuss", "let us not discuss", "can we talk about something", "let's talk about something", "let us talk about something", "rather talk about something", "please change the subject", "let's change the subject", "let us change the subject", "rather change the subject", "i have no comment", "no comment on this", "no comment on that",
+    "i'm only a language model", "i am only a language model", "i'm just a language model", "i am just a language model", "as a language model", "please find someone else", "find someone else for", "this isn't for me", "this one isn't for me", "this is not for me", "that isn't for me", "that is not for me", "please ask someone else", "you should ask someone else", "better ask someone else", "ask someone else about", "ask someone else,", "i have nothing to say", "i'll leave this one", "i will leave this one", "no answer from me",
     "没有办法就", "没办法就", "没有办法回答", "没办法回答", "没有办法提供", "没办法提供", "没有办法帮", "没办法帮", "我没有办法", "我没办法", "无法就", "不能就", "不便就", "不予置评", "只是一个语言模型", "只是语言模型", "作为语言模型", "请找别人", "另请高明",
-    "无法回答", "不能回答", "不便回答", "无法提供", "不能提供", "无法满足", "不能满足", "无法协助", "不能协助", "无法帮助", "不能帮助", "不能帮你", "无法帮你", "不能讨论", "无法讨论", "不便讨论", "不便发表", "不便对", "不方便说", "不方便回答", "不方便透露", "不方便讨论", "不能作答", "无法作答", "不予回答", "拒绝回答",
-    "违反我的", "使用准则", "使用政策", "帮不上忙", "帮不了", "换一个话题", "换个话题", "聊点别的", "话题不太合适", "话题不合适", "我不能说", "我不能谈", "我无法谈", "恕我不能", "恕我无法", "恕不", "恕难", "不在我能", "超出我能", "超出了我", "我不便", "无可奉告", "不能告诉", "无法告诉", "不能透露", "无法透露", "我不能参与", "我无法参与", "去问别人", "跳过这个",
+    "无法回答", "不能回答", "不便回答", "无法提供", "不能提供", "无法满足您", "无法满足你", "不能满足您", "不能满足你", "无法满足这", "不能满足这", "无法协助", "不能协助", "无法帮助", "不能帮助", "不能帮你", "无法帮你", "不能讨论", "无法讨论", "不便讨论", "不便发表", "我不便对", "不方便说", "不方便回答", "不方便透露", "不方便讨论", "不能作答", "无法作答", "不予回答", "拒绝回答",
+    "违反我的", "使用准则", "使用政策", "帮不上忙", "帮不了你", "帮不了您", "我帮不了", "换一个话题", "换个话题", "聊点别的", "话题不太合适", "话题不合适", "我不能说", "我不能谈", "我无法谈", "恕我不能", "恕我无法", "恕不", "恕难", "不在我能", "超出我能", "超出了我", "我不便", "无可奉告", "不能告诉你", "不能告诉您", "无法告诉你", "无法告诉您", "我不能透露", "我无法透露", "我不能参与", "我无法参与", "去问别人", "跳过这个",
 ]
+DENIED_WITHIN = 40  # characters between a denial and its verb of answering
 #: Sentences that neither decline nor answer: greetings, apologies, offers.
 POLITE = [
     "hello", "hi there", "hi!", "thank you for", "thanks for", "my apologies", "i'm sorry", "i am sorry", "apologies", "sorry", "anything else", "please ask", "ask a professional", "please consult", "unfortunately", "good question", "great question", "i understand",
@@ -54,20 +63,37 @@ _automata: dict = {}
 
 
 def _phrases():
-    """The two sets of phrases as one automaton; built once per worker."""
+    """All phrases as one automaton, each with its kind and length; built once per worker."""
     if not _automata:
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for p in POLITE:
-            a.add_word(p, "polite")
-        for p in REFUSALS:
-            a.add_word(p, "refusal")
+        for kind, phrases in (("polite", POLITE), ("answering", ANSWERING), ("denial", DENIALS), ("refusal", REFUSALS)):
+            for p in phrases:
+                a.add_word(p, (kind, len(p)))
         a.make_automaton()
         _automata["a"] = a
     return _automata["a"]
 
 
+def _speech(sentence: str) -> set[str]:
+    """polite and refusal, as far as the sentence is either: a whole phrase of refusal, or a denial of which a verb of answering follows in the same clause."""
+    kinds: set[str] = set()
+    denied = -1
+    for end, (kind, size) in _phrases().iter(sentence):
+        start = end - size + 1
+        if sentence[start].isascii() and ((start and sentence[start - 1].isalnum()) or (kind == "denial" and sentence[end + 1 : end + 2].isalnum())):
+            continue  # inside a longer word
+        if kind == "denial":
+            denied = end
+        elif kind == "answering":
+            if 0 <= denied and start - denied <= DENIED_WITHIN and not _CLAUSE_END.search(sentence, denied, start):
+                kinds.add("refusal")
+        else:
+            kinds.add(kind)
+    return kinds
+
+
 def readable(answer: str | None) -> str:
     """The answer without thinking, invisible characters and outer white space."""
     return _INVISIBLE.sub("", _THINK.sub("", answer or "")).strip()
@@ -88,7 +114,7 @@ def is_refusal(text: str) -> bool:
         s = m.group()
         if not s.strip():
             continue
-        kinds = {k for _, k in _phrases().iter(s)}
+        kinds = _speech(s)
         if "refusal" in kinds and not _quoted(s):
             declined = True
         elif "polite" in kinds and len(s) < 60 and not _quoted(s):
@@ -135,10 +161,13 @@ class SuffixAutomaton:
                     self.link[q] = self.link[cur] = clone
             last = cur
 
-    def covered(self, text: str, least: int) -> int:
-        """Characters of ``text`` inside matches of at least ``least`` characters."""
+    def covered(self, text: str, least: int, enough: float = 0.0) -> int:
+        """Characters of ``text`` inside matches of at least ``least`` characters; -1 as soon as it is certain that fewer than ``enough`` are."""
         state, n, end, total = 0, 0, 0, 0
         for i, ch in enumerate(text, 1):
+            # what lies before the running match and isn't covered will stay so
+            if len(text) - (i - 1 - n - total if i - 1 - n > end else end - total) < enough:
+                return -1
             while state and ch not in self.next[state]:
                 state = self.link[state]
                 n = self.length[state]
@@ -157,6 +186,7 @@ _INTRO = re.compile(
 )
 _REPEAT = re.compile(r"(?i)\b(?:repeat|copy|echo|quote|say back)\b.*?[:：]|原样重复|重复下面|复述下面|照抄|逐字重复")
 COPY_MATCH, COPY_SHARE, ASKED_SHARE = 5, 0.8, 0.6
+COPY_OPENING = 16  # letters from which on a verbatim beginning of the question is a copy, if it is a third of it
 
 
 def _letters(s: str) -> str:
@@ -164,17 +194,20 @@ def _letters(s: str) -> str:
 
 
 def is_copy(question: str, answer: str) -> bool:
-    """At least 0.8 of the answer (without an introduction) lies in stretches of the question, and they make up at least 0.6 of the question.
+    """At least 0.8 of the answer (without an introduction) lies in stretches of the question, and they make up at least 0.6 of the question; or the answer is the
+    beginning of the question word for word, at least a third of it.
 
     Where the question asks to repeat something, giving that back is the answer; giving back the whole request isn't."""
     q, a = _letters(question), _letters(_INTRO.sub("", answer))
-    if not q or len(a) < 4 or len(a) * 2 < len(q):
-        return False
-    cover = SuffixAutomaton(q).covered(a, min(COPY_MATCH, len(q)))
-    if cover < COPY_SHARE * len(a):
-        return False
-    if SuffixAutomaton(a).covered(q, min(COPY_MATCH, len(a))) < ASKED_SHARE * len(q):
+    if not q or len(a) < 4 or len(a) * 3 < len(q):
         return False
+    opening = q.startswith(a) and len(a) >= COPY_OPENING  # the beginning of the question word for word
+    if not opening:
+        cover = SuffixAutomaton(q).covered(a, min(COPY_MATCH, len(q)), COPY_SHARE * len(a))
+        if cover < COPY_SHARE * len(a):
+            return False
+        if SuffixAutomaton(a).covered(q, min(COPY_MATCH, len(a)), ASKED_SHARE * len(q)) < ASKED_SHARE * len(q):
+            return False
     if m := _REPEAT.search(question):
         payload = _letters(re.split(r"[:：]", question[m.start() :], maxsplit=1)[-1])
         return len(a) > len(payload) + 0.5 * (len(q) - len(payload))
@@ -203,7 +236,7 @@ LANGUAGE_NAMES = {
     "en": ("english", "英文", "英语"), "zh": ("chinese", "mandarin", "中文", "汉语", "chino", "chinesisch"), "es": ("spanish", "西班牙"), "de": ("german", "德文", "德语"),
     "fr": ("french", "法文", "法语"), "it": ("italian", "意大利"), "pt": ("portuguese", "葡萄牙"), "ja": ("japanese", "日文", "日语"), "ko": ("korean", "韩文", "韩语"), "ru": ("russian", "俄文", "俄语"),
 }
-_ASKS = re.compile(r"(?i)\b(?:translat\w*|in|into|to|answer in|write (?:this|it) in|reply in|say (?:this|it) in)\b|翻译|译成|用|写成|改写|回答")
+_ASKS = re.compile(r"\b(?:translat\w*|answer|reply|respond|write|say|speak|explain|summari[sz]e|rewrite|rephrase)\b|翻译|译成|用|写成|改写|回答|回复")
 
 
 def language_of(text: str) -> str | None:
@@ -234,6 +267,7 @@ def language_of(text: str) -> str | None:
 
 _NAMED = {n: lang for lang, names in LANGUAGE_NAMES.items() for n in names}
 _LATIN, _HAN = ("|".join(sorted((n for n in _NAMED if n.isascii() == ascii_), key=len, reverse=True)) for ascii_ in (True, False))
+_ANY_NAME = re.compile(rf"\b(?:{_LATIN})\b|{_HAN}")
 #: A request next to the name of a language: a preposition before it, a verb up to four words before it in the same sentence, or what is done in it.
 _TIED = re.compile(
     rf"\b(?:in|into|to|en|al|auf|ins)\s+(?:(?:plain|simple|fluent|proper|good|clear|formal)\s+)?(?P<a>{_LATIN})\b"
@@ -243,17 +277,17 @@ _TIED = re.compile(
 
 
 def asked_language(question: str) -> str | None:
-    """The language that the question's own words ask for.
-
-    All of the question is read. A request is tied to the name; in a question of under 160 characters they may also stand apart."""
+    """The language that the question's own words ask for: a request tied to the name, or a verb of asking and a name in one sentence. All of the question is read,
+    and short and long questions are treated alike."""
     low = question.lower()
     if m := _TIED.search(low):
         return _NAMED[next(n for n in m.groups() if n)]
-    if len(low) >= 160 or not _ASKS.search(low):
+    if not _ANY_NAME.search(low):
         return None
-    for lang, names in LANGUAGE_NAMES.items():
-        if any(n in low for n in names):
-            return lang
+    for m in _SENTENCE.finditer(low):
+        s = m.group()
+        if (name := _ANY_NAME.search(s)) and _ASKS.search(s):
+            return _NAMED[name.group()]
     return None
 
 
