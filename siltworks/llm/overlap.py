@@ -1,6 +1,8 @@
 """Problem 6: same or near-same records across splits.
 
-Texts are lower-cased with single spaces; records with equal text form one class. Passages of the evaluation records, sharded into Aho-Corasick automata of
+Texts are lower-cased with single spaces, once; records with equal text form one class, and all that follows is about classes: which class of evaluation texts is
+linked with which class of training texts, how much of it is covered, and which document is in which class. Pairs of documents are expanded from that only where
+they are asked for. Passages of the evaluation records, sharded into Aho-Corasick automata of
 bounded size, scan the training texts; matched intervals are merged into the coverage of each evaluation record, and what passes the coverage that
 0.8 similarity implies is settled by the exact Jaccard similarity of the 13-character substrings.
 
@@ -81,13 +83,13 @@ def prefix_keys(text: str, table: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _members(docs: DataFrame) -> DataFrame:
-    """Documents with a known split: side, class of equal normalised text (null below 60 characters), parent."""
+    """Documents with a known split: side, parent, class of equal normalised text, its length and the text (all three null below 60 characters)."""
     split = canonical_split(F.col("split"))
-    norm = normalised(F.col("text"))
     return (
-        docs.select("doc_id", split.alias("known"), F.when(not_blank(F.col("parent_document_id")), F.col("parent_document_id")).alias("parent"), norm.alias("norm"))
+        docs.select("doc_id", split.alias("known"), "source", F.when(not_blank(F.col("parent_document_id")), F.col("parent_document_id")).alias("parent"), F.explode(F.array(normalised(F.col("text")))).alias("norm"))
         .where("known is not null")
-        .select("doc_id", (F.col("known") == "train").alias("in_train"), "parent", F.when(F.length("norm") >= LEAST_CHARS, F.col("norm")).alias("norm"))
+        .withColumn("norm", F.when(F.length("norm") >= LEAST_CHARS, F.col("norm")))
+        .select("doc_id", "known", (F.col("known") == "train").alias("in_train"), "source", "parent", F.md5("norm").alias("cls"), F.length("norm").alias("n"), "norm")
     )
 
 
@@ -154,7 +156,7 @@ def _entries(members: DataFrame, table: np.ndarray, groups: int) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return members.where("norm is not null").select("in_train", F.xxhash64(F.md5("norm")).alias("c64"), "norm").mapInArrow(run, "shard long, in_train boolean, keys binary, numbers binary, classes binary, sizes binary")
+    return members.where("norm is not null").select("in_train", F.xxhash64("cls").alias("c64"), "norm").mapInArrow(run, "shard long, in_train boolean, keys binary, numbers binary, classes binary, sizes binary")
 
 
 def _candidates(entries: DataFrame, groups: int) -> DataFrame:
@@ -270,8 +272,9 @@ def scan_cell(evals: list[tuple[int, str]], trains: Iterator[tuple[int, str, lis
                 yield e, t, both / either, _coverage(texts[e], passages[e], found, ids)
 
 
-def similar_classes(docs: DataFrame, members: DataFrame, slim: DataFrame, st: Stage) -> DataFrame:
+def similar_classes(members: DataFrame, st: Stage) -> DataFrame:
     """(e_cls, t_cls, similarity, coverage) for different classes of equal text, one with evaluation and one with training documents."""
+    slim = members.select("doc_id", "in_train", "cls", "n")
     count, chars = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     sample = members.where("norm is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, count // SAMPLE_DOCS))) == 0).select("norm").limit(2 * SAMPLE_DOCS)
     table = common_table([t for t in sample.toArrow()["norm"].to_pylist()])
@@ -287,7 +290,7 @@ def similar_classes(docs: DataFrame, members: DataFrame, slim: DataFrame, st: St
     # a cell to which many training texts are routed is cut, its automaton being built once per cut
     load = placed.select("cell", "t64").distinct().join(t, "t64").groupBy("cell").agg(F.ceil(F.sum("tn") / TRAIN_CHARS_PER_CELL).cast("int").alias("cuts"))
     placed = st.keep(placed.join(load, "cell").withColumn("cut", F.pmod(F.xxhash64("t64", F.lit(9)), F.col("cuts"))))
-    texts = st.keep(docs.select("doc_id", "text").join(reps.select("doc_id", "c64"), "doc_id").select("c64", normalised(F.col("text")).alias("norm")))  # the narrow side is broadcast while it is small
+    texts = st.keep(members.select("doc_id", "norm").join(reps.select("doc_id", "c64"), "doc_id").select("c64", "norm"))  # the narrow side is broadcast while it is small
     ev = placed.select("cell", "cut", F.col("e64").alias("c64")).distinct().join(texts, "c64").toDF("c64", "cell", "cut", "norm")
     tr = placed.groupBy("cell", "cut", F.col("t64").alias("c64")).agg(F.collect_list("e64").alias("wanted")).join(texts, "c64").toDF("c64", "cell", "cut", "wanted", "norm")
 
@@ -317,36 +320,89 @@ def _expand(links: DataFrame, ev: DataFrame, tr: DataFrame) -> DataFrame:
     return ev.join(wide.drop("cuts"), "eg").join(salted, ["tg", "cut"]).select("e_id", "t_id", "eg", "tg")
 
 
+class Overlap:
+    """Linked classes of one corpus. ``members`` (doc_id, known, in_train, source, parent, cls), ``links`` (eg, tg, similarity, coverage) between the class of
+    evaluation texts ``eg`` and the class of training texts ``tg``, equal ones being linked with themselves at 1."""
+
+    def __init__(self, docs: DataFrame):
+        st = self.st = Stage(docs.sparkSession, "overlap")
+        kept = st.keep(_members(docs))
+        self.members = kept.drop("norm", "n")
+        self.ev, self.tr = self.members.where("not in_train"), self.members.where("in_train")
+        similar = similar_classes(kept, st)
+        named = lambda d: d.where("cls is not null").select("cls").distinct()
+        same = named(self.ev).join(named(self.tr), "cls").select("cls", F.col("cls").alias("tg"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage"))
+        self.links = st.keep(similar.select("e_cls", "t_cls", "similarity", "coverage").toDF("eg", "tg", "similarity", "coverage").union(same).groupBy("eg", "tg").agg(F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage")))
+
+    def parents(self) -> DataFrame:
+        """Parents on both sides."""
+        named = lambda d: d.where("parent is not null").select("parent").distinct()
+        return named(self.ev).join(named(self.tr), "parent")
+
+    def pairs(self) -> DataFrame:
+        """(doc_a, doc_b) of all linked documents, by text or by parent, each pair once."""
+        links, ev, tr = self.links.select("eg", "tg"), self.ev, self.tr
+        by_text = _expand(links, ev.select(F.col("doc_id").alias("e_id"), F.col("cls").alias("eg")), tr.select(F.col("doc_id").alias("t_id"), F.col("cls").alias("tg"))).select("e_id", "t_id")
+        # every document is in one class, so pairs by text are distinct already; pairs by parent only add those whose classes aren't linked
+        both = self.parents().select(F.col("parent").alias("eg"), F.col("parent").alias("tg"))
+        by_parent = _expand(both, ev.select(F.col("doc_id").alias("e_id"), F.col("parent").alias("eg")), tr.select(F.col("doc_id").alias("t_id"), F.col("parent").alias("tg")))
+        cls = self.members.select("doc_id", "cls")
+        more = (
+            by_parent.select("e_id", "t_id").join(cls.select(F.col("doc_id").alias("e_id"), F.col("cls").alias("eg")), "e_id").join(cls.select(F.col("doc_id").alias("t_id"), F.col("cls").alias("tg")), "t_id")
+            .join(links, ["eg", "tg"], "left_anti").select("e_id", "t_id")
+        )
+        return by_text.unionByName(more).select(F.least("e_id", "t_id").alias("doc_a"), F.greatest("e_id", "t_id").alias("doc_b"))
+
+    def classes(self) -> DataFrame:
+        """One row per linked class of evaluation texts: its documents, linked training classes and their documents, best similarity, coverage by the training
+        text that covers most of it."""
+        size = lambda d, name, n: d.where("cls is not null").groupBy(F.col("cls").alias(name)).agg(F.count(F.lit(1)).alias(n))
+        per = self.links.join(size(self.tr, "tg", "m"), "tg").groupBy("eg").agg(
+            F.count(F.lit(1)).alias("train_classes"), F.sum("m").alias("train_documents"), F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage")
+        )
+        return per.join(size(self.ev, "eg", "documents"), "eg").select(F.col("eg").alias("text_class"), "documents", "train_classes", "train_documents", "similarity", "coverage")
+
+    def report(self) -> DataFrame:
+        """Per evaluation split and source: documents, those that also stand in train, their share, pairs, and the mean coverage of those with a similar text.
+
+        Everything is counted by class, and by class and parent; no pair of documents is formed. A text linked only by its parent has no coverage."""
+        total = self.ev.groupBy(F.col("known").alias("split_key"), "source").agg(F.count(F.lit(1)).alias("documents"))
+        by_text = self.st.keep(self.classes())
+        # parents on both sides, each with its classes and their documents; classes that are linked count as text
+        groups = lambda d, *by: d.where("parent is not null").groupBy("parent", F.coalesce("cls", F.lit("")).alias("c"), *by).agg(F.count(F.lit(1)).alias("m"))
+        e = groups(self.ev, "known", "source").join(self.parents(), "parent").withColumnRenamed("c", "eg").withColumnRenamed("m", "e_n")
+        t = groups(self.tr).join(self.parents(), "parent").withColumnRenamed("c", "tg").withColumnRenamed("m", "t_n")
+        extra = self.st.keep(e.join(t, "parent").join(self.links.select("eg", "tg"), ["eg", "tg"], "left_anti").groupBy("parent", "eg", "known", "source").agg(F.max("e_n").alias("e_n"), F.sum("t_n").alias("t_n")))
+        texts = self.ev.join(by_text.select(F.col("text_class").alias("cls"), "train_documents", "coverage"), "cls")
+        one = texts.groupBy(F.col("known").alias("split_key"), "source").agg(F.count(F.lit(1)).alias("linked"), F.sum("train_documents").alias("pairs"), F.sum("coverage").alias("covered"))
+        two = extra.join(by_text.select(F.col("text_class").alias("eg"), F.lit(True).alias("counted")), "eg", "left").groupBy(F.col("known").alias("split_key"), "source").agg(
+            F.sum(F.when(F.col("counted").isNull(), F.col("e_n")).otherwise(0)).alias("linked2"), F.sum(F.col("e_n") * F.col("t_n")).alias("pairs2")
+        )
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        on = lambda d: (total["split_key"] == d["split_key"]) & total["source"].eqNullSafe(d["source"])
+        overlapping = zero(one["linked"]) + zero(two["linked2"])
+        return total.join(one, on(one), "left").join(two, on(two), "left").select(
+            total["split_key"], total["source"], total["documents"], overlapping.alias("overlapping"), F.round(overlapping / total["documents"], 6).alias("rate"),
+            (zero(one["pairs"]) + zero(two["pairs2"])).alias("pairs"), F.round(one["covered"] / one["linked"], 6).alias("mean_coverage"),
+        )
+
+
 def cross_split_pairs(docs: DataFrame) -> DataFrame:
     """(doc_a, doc_b), smaller id first: one of them in train, the other in validation or diagnostic, with the same parent or almost the same text.
 
     Documents without a known split take no part; null and blank parents are no parent; texts below 60 normalised characters (null and empty ones too) have no
     similar text; equal rows under several ids pair each. An empty table gives no pair."""
-    st = Stage(docs.sparkSession, "overlap")
-    members = _members(docs)
-    slim = st.keep(members.select("doc_id", "in_train", "parent", F.md5("norm").alias("cls"), F.length("norm").alias("n")))
-    similar = similar_classes(docs, members, slim, st)
-    ev, tr = slim.where("not in_train"), slim.where("in_train")
-    same = ev.where("cls is not null").select("cls").distinct().join(tr.where("cls is not null").select("cls").distinct(), "cls")
-    links = st.keep(similar.select(F.col("e_cls").alias("eg"), F.col("t_cls").alias("tg")).union(same.select("cls", "cls")).distinct())
-    by_text = _expand(links, ev.select(F.col("doc_id").alias("e_id"), F.col("cls").alias("eg")), tr.select(F.col("doc_id").alias("t_id"), F.col("cls").alias("tg"))).select("e_id", "t_id")
-    # every document is in one class, so pairs by text are distinct already; pairs by parent only add those whose classes aren't linked
-    both = ev.where("parent is not null").select("parent").distinct().join(tr.where("parent is not null").select("parent").distinct(), "parent").select(F.col("parent").alias("eg"), F.col("parent").alias("tg"))
-    by_parent = _expand(both, ev.select(F.col("doc_id").alias("e_id"), F.col("parent").alias("eg")), tr.select(F.col("doc_id").alias("t_id"), F.col("parent").alias("tg")))
-    cls = slim.select("doc_id", "cls")
-    more = (
-        by_parent.select("e_id", "t_id").join(cls.select(F.col("doc_id").alias("e_id"), F.col("cls").alias("eg")), "e_id").join(cls.select(F.col("doc_id").alias("t_id"), F.col("cls").alias("tg")), "t_id")
-        .join(links, ["eg", "tg"], "left_anti").select("e_id", "t_id")
-    )
-    return by_text.unionByName(more).select(F.least("e_id", "t_id").alias("doc_a"), F.greatest("e_id", "t_id").alias("doc_b"))
+    return Overlap(docs).pairs()
+
+
+def overlap_classes(docs: DataFrame) -> DataFrame:
+    return Overlap(docs).classes()
+
+
+def class_members(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_class, split_key) of every document with a known split and at least 60 characters: the membership that goes with the classes."""
+    return _members(docs).where("cls is not null").select("doc_id", F.col("cls").alias("text_class"), F.col("known").alias("split_key"))
 
 
 def overlap_report(docs: DataFrame) -> DataFrame:
-    """Per evaluation split and source: documents, those that also stand in train, and pairs."""
-    info = docs.select("doc_id", canonical_split(F.col("split")).alias("split_key"), "source").where("split_key in ('validation', 'diagnostic')")
-    pairs = cross_split_pairs(docs)
-    ends = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"))
-    return (
-        info.join(ends, "doc_id", "left").groupBy("split_key", "source")
-        .agg(F.count(F.lit(1)).alias("documents"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
-    )
+    return Overlap(docs).report()

@@ -43,6 +43,8 @@ QUERIES = {
     "p10_found": lambda s, d: toxicity.found(_docs(s, d), table(s, d, "content_labels")),
     "p10_rates": lambda s, d: toxicity.source_rates(_docs(s, d), table(s, d, "content_labels")),
     "p6_found": lambda s, d: overlap.cross_split_pairs(_docs(s, d)),
+    "p6_classes": lambda s, d: overlap.overlap_classes(_docs(s, d)),
+    "p6_members": lambda s, d: overlap.class_members(_docs(s, d)),
     "p6_report": lambda s, d: overlap.overlap_report(_docs(s, d)),
     "p8_ids": lambda s, d: bpe_corpus.encode_corpus(_docs(s, d)),
     "p5_shares": lambda s, d: mixing.mix_shares(*_mix(s, d)),

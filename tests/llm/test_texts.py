@@ -153,15 +153,30 @@ def test_overlap_against_brute_force(spark):
             rows.append((" ".join(w).upper() if rnd.random() < 0.2 else "  ".join(w), rnd.choice(["train", " Training", "VAL", "diag", None, "other"]), rnd.choice([None, "", f"p{k}"])))
     rows += [("", "train", "q"), (None, "val", "q"), ("short", "val", None), ("short", "train", None)]
     rows = [(i, *r) for i, r in enumerate(rows, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, split string, parent_document_id string").withColumn("norm", F.lit("clash"))
-    assert {tuple(r) for r in overlap.cross_split_pairs(docs).collect()} == brute_overlap(rows)
-    assert overlap.cross_split_pairs(docs.limit(0)).count() == 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string, split string, parent_document_id string").withColumn("norm", F.lit("clash")).withColumn("source", F.when(F.col("doc_id") % 3 > 0, "s"))
+    o = overlap.Overlap(docs)
+    pairs = brute_overlap(rows)
+    assert {tuple(r) for r in o.pairs().collect()} == pairs
+    kind = {"val": "validation", "validation": "validation", "diag": "diagnostic"}
+    side = {i: kind.get((s or "").strip().lower()) for i, _, s, _ in rows}
+    want = {}
+    for i, k in side.items():
+        if k:
+            n, hit, p = want.get((k, "s" if i % 3 else None), (0, 0, 0))
+            mine = sum(i in q for q in pairs)
+            want[(k, "s" if i % 3 else None)] = (n + 1, hit + (mine > 0), p + mine)
+    got = {(r["split_key"], r["source"]): (r["documents"], r["overlapping"], r["pairs"]) for r in o.report().collect()}
+    assert got == want
+    classes = o.classes().collect()
+    assert classes and all(0.8 <= r["similarity"] <= 1 and 0 < r["coverage"] <= 1 for r in classes)
+    assert overlap.class_members(docs).join(o.classes(), "text_class").where("split_key <> 'train'").count() == sum(r["documents"] for r in classes)
+    assert overlap.cross_split_pairs(docs.limit(0)).count() == 0 and overlap.overlap_report(docs.limit(0)).count() == 0
 
 
 def test_copies_beyond_one_cell_are_all_paired(spark, monkeypatch):
     monkeypatch.setattr(overlap, "MEMBERS_PER_CELL", 7)
     same = "one text that a great many records have in common, word for word and letter for letter"
-    docs = spark.createDataFrame([(i, same, "val" if i % 10 == 0 else "train", None) for i in range(60)], "doc_id long, text string, split string, parent_document_id string")
+    docs = spark.createDataFrame([(i, same, "val" if i % 10 == 0 else "train", None, "s") for i in range(60)], "doc_id long, text string, split string, parent_document_id string, source string")
     got = overlap.cross_split_pairs(docs)
     assert got.count() == got.distinct().count() == 6 * 54
 
