@@ -126,7 +126,11 @@ def chat_template(messages: Column, generation: bool = False, keep_reasoning: bo
 
 
 def fit_history(sizes: Column, budget: int) -> Column:
-    """Number of newest turns whose sizes sum to at most ``budget``; the newest always stays."""
-    tail = F.reverse(sizes)
-    run = F.transform(tail, lambda _, i: F.aggregate(F.slice(tail, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
-    return F.greatest(F.size(F.filter(run, lambda s: s <= budget)), F.least(F.size(sizes), F.lit(1)))
+    """Number of newest turns whose sizes sum to at most ``budget``; the newest always stays. One pass from the newest turn on."""
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("kept"))
+
+    def step(s: Column, x: Column) -> Column:
+        total = s["sum"] + x
+        return F.struct(total.alias("sum"), (s["kept"] + F.when(total <= budget, 1).otherwise(0)).alias("kept"))
+
+    return F.greatest(F.aggregate(F.reverse(sizes), start, step, lambda s: s["kept"]), F.least(F.size(sizes), F.lit(1)))

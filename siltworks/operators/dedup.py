@@ -19,6 +19,8 @@ from siltworks.operators.skew import hot_join
 from siltworks.runtime import Stage
 
 SHINGLE, HASHES, BANDS, SIMILAR = 13, 128, 16, 0.8
+PAIRS_PER_RUN = 20_000  # pairs of one text that are verified in a row
+BUCKET_PER_CELL = 10_000
 _BASE = np.uint64(1099511628211)  # fixed value: base of the rolling hash
 
 
@@ -52,80 +54,105 @@ def shingle_hashes(text: str, n: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
+# fixed values: digests that the multipliers and offsets of the signature are read from
 def _signature_parameters(seed: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     digests = [hashlib.sha256(f"minhash:{seed}:{i}".encode()).digest() for i in range(hashes)]
     return np.array([int.from_bytes(d[:8], "little") | 1 for d in digests], np.uint64), np.array([int.from_bytes(d[8:16], "little") for d in digests], np.uint64)
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, hashes: int = HASHES, bands: int = BANDS, seed: int = 42) -> DataFrame:
-    """(key, digest, bands): one Arrow pass; band keys are 128-bit BLAKE2 digests of the rows of a band."""
+    """(key, digest, shingles, bands): one Arrow pass; ``shingles`` is their number, band keys are 128-bit BLAKE2 digests of the rows of a band."""
     a, b = _signature_parameters(seed, hashes)
     rows = hashes // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                x = shingle_hashes(t, n)
+            out, sizes = [], []
+            for t in batch.column(1):
+                x = shingle_hashes(t.as_py(), n)
                 low = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(x), 4096):
-                    low = np.minimum(low, (x[at : at + 4096, None] * a + b).min(0))
+                for at in range(0, len(x), 2048):
+                    # one row per hash, so that the minimum runs along memory
+                    low = np.minimum(low, (a[:, None] * x[None, at : at + 2048] + b[:, None]).min(1))
+                sizes.append(len(x))
                 out.append([hashlib.blake2b(i.to_bytes(4, "little") + low[i * rows : (i + 1) * rows].astype("<u8").tobytes(), digest_size=16).digest() for i in range(bands)])
-            digest = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.string()), pa.array(out, pa.list_(pa.binary()))], names=[key, "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.binary()))], names=[key, "digest", "shingles", "bands"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, digest string, bands array<binary>")
+    return df.where(F.col(text).isNotNull()).select(key, text, F.sha2(text, 256).alias("digest")).mapInArrow(run, f"{key} {kind}, digest string, shingles int, bands array<binary>")
 
 
 @pandas_udf(T.DoubleType())
 def jaccard_of(left: pd.Series, right: pd.Series) -> pd.Series:
     """Exact Jaccard similarity of the shingle sets of two texts; null where a text is missing."""
+    return pd.Series([None if x is None or y is None else jaccard(shingle_hashes(x), shingle_hashes(y)) for x, y in zip(left, right, strict=True)], dtype="object").astype("float64")
 
-    held: dict[str, np.ndarray] = {}
 
-    def of(t: str) -> np.ndarray:  # a text comes in many pairs of one batch
-        if t not in held:
-            if len(held) > 2000:
-                held.clear()
-            held[t] = shingle_hashes(t)
-        return held[t]
+def jaccard(p: np.ndarray, q: np.ndarray) -> float:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both / (len(p) + len(q) - both)
 
-    def one(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        p, q = of(x), of(y)
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        return both / (len(p) + len(q) - both)
 
-    return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="object").astype("float64")
+def verified(pairs: DataFrame, texts: DataFrame, st: Stage, similar: float = SIMILAR, n: int = SHINGLE) -> DataFrame:
+    """(a, b, similarity) of the distinct ``pairs`` (a, b) whose texts are similar enough; ``texts`` is (id, text), unique by id.
+
+    Pairs are brought together by ``a``: its text travels once per at most ``PAIRS_PER_RUN`` of its pairs and its shingles are computed once for them. A task reads its
+    pairs as a stream in order, so no group is held, and an ``a`` with a third of all pairs is spread over many runs."""
+    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_RUN).cast("int").alias("runs")).where("runs > 1")
+    placed = st.keep(hot_join(pairs, load, "a", "left").withColumn("run", F.when(F.col("runs").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("runs"))).cast("int")).select("a", "run", "b"))
+    heads = placed.select("a", "run").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "run", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "text")
+    rest = hot_join(placed, texts.withColumnRenamed("id", "b"), "b").select("a", "run", "b", "text")
+    rows = heads.unionByName(rest).repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own = None, None
+        for batch in batches:
+            left, right, score = [], [], []
+            for a, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = shingle_hashes(t.as_py(), n)
+                if b is None:
+                    head, own = a, x
+                    continue
+                assert a == head
+                if min(len(own), len(x)) >= similar * max(len(own), len(x)) and (s := jaccard(own, x)) >= similar:
+                    left.append(a)
+                    right.append(b)
+                    score.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(left, batch.column(0).type), pa.array(right, batch.column(1).type), pa.array(score, pa.float64())], names=["a", "b", "similarity"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return rows.select("a", "b", "text").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
 def near_edges(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, n: int = SHINGLE, seed: int = 42) -> DataFrame:
     """(canonical_id, duplicate_id, similarity): verified links that connect all similar texts which share a band, copies being one text.
 
-    Within a bucket every text is first compared with the smallest id. Only those it doesn't match are compared with all others: two texts that both match
-    the smallest are connected through it, so no connection is lost and a bucket of n near-copies costs n comparisons, not n squared."""
-    spark = df.sparkSession
-    st = Stage(spark, "near")
-    # hashing is far dearer than reading, so the texts are spread over all tasks of a shuffle rather than packed into few
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    reps = st.keep(first_of_each(df.where(F.col(text).isNotNull()).select(key, text), F.sha2(text, 256), key).repartition(parts, key))
-    prints = fingerprints(reps, key, text, n, seed=seed)
-    members = st.keep(prints.select(F.col(key).alias("id"), F.posexplode("bands").alias("band", "bucket")).select("id", F.sha2(F.concat(F.col("band").cast("string").cast("binary"), "bucket"), 256).alias("k")))
-    first = members.groupBy("k").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "low")
+    Within a bucket every text is first compared with the smallest id. Only those it doesn't match are compared with the others of a size that can be similar:
+    two texts that both match the smallest are connected through it, so no connection is lost and a bucket of n near-copies costs n comparisons, not n squared.
+    Texts are read for the members of shared buckets only, and keys of large buckets are salted."""
+    st = Stage(df.sparkSession, "near")
+    docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    # hashing is far dearer than reading, so the texts are spread over all tasks of a shuffle where the input has fewer partitions
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = st.keep(fingerprints(docs if docs.rdd.getNumPartitions() >= parts else docs.repartition(parts), "id", "text", n, seed=seed))
+    reps = prints.groupBy("digest").agg(F.min(F.struct("id", "shingles", "bands")).alias("r")).select("r.*")
+    members = reps.select("id", "shingles", F.posexplode("bands").alias("band", "bucket")).select("id", "shingles", F.xxhash64("band", "bucket").alias("k"))
+    members = st.keep(members)
+    first = members.groupBy("k").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     led = st.keep(hot_join(members, first, "k"))
-    t, u = reps.select(F.col(key).alias("a"), F.col(text).alias("ta")), reps.select(F.col(key).alias("b"), F.col(text).alias("tb"))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        return hot_join(hot_join(pairs, t, "a"), u, "b").select("a", "b", jaccard_of("ta", "tb").alias("similarity")).where(F.col("similarity") >= similar)
-
-    to_first = st.keep(scored(st.keep(led.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())))
+    texts = st.keep(docs.join(led.select("id").distinct(), "id"))
+    to_first = st.keep(verified(led.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), texts, st, similar, n))
     matched = to_first.select(F.col("a").alias("low"), F.col("b").alias("id"))
-    rest = led.where("id <> low").join(matched, ["low", "id"], "left_anti").select("k", F.col("id").alias("x"))
-    others = led.where("id <> low").select("k", F.col("id").alias("y"))
-    more = rest.join(others, "k").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return to_first.unionByName(scored(st.keep(more))).distinct().select(F.col("a").alias("canonical_id"), F.col("b").alias("duplicate_id"), "similarity")
+    others = led.where("id <> low")
+    rest = st.keep(others.join(matched, ["low", "id"], "left_anti").select("k", "n", F.col("id").alias("x"), F.col("shingles").alias("sx")))
+    # the members of a large bucket are dealt to cells, to each of which its unmatched ones go
+    cells = F.ceil(F.col("n") / BUCKET_PER_CELL).cast("int")
+    wide = rest.withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1))).select("k", "cell", "x", "sx")
+    dealt = others.join(rest.select("k").distinct(), "k", "left_semi").select("k", F.pmod(F.xxhash64("id"), cells).cast("int").alias("cell"), F.col("id").alias("y"), F.col("shingles").alias("sy"))
+    fits = (F.col("x") != F.col("y")) & (F.least("sx", "sy") >= similar * F.greatest("sx", "sy"))
+    more = wide.join(dealt, ["k", "cell"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    out = to_first.unionByName(verified(st.keep(more), texts, st, similar, n)).distinct()
+    return out.select(F.col("a").alias("canonical_id"), F.col("b").alias("duplicate_id"), "similarity")
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -164,6 +191,18 @@ def canonical_members(docs: DataFrame, comps: DataFrame, key: str = "doc_id", pr
     return hot_join(d, best, "component").select(F.col("id").alias(key), "component", F.col("best.id").alias("canonical_id"))
 
 
+def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """(key, canonical_id) of every record: exact and near duplicates directly or through others, the canonical one having the smallest (priority, id)."""
+    groups = near_groups(docs, key, text, similar).select(F.col(key).alias("id"), F.col("group_id").alias("component"))
+    return canonical_members(docs, groups, key).select(key, "canonical_id")
+
+
+def assign_clusters(docs: DataFrame, members: DataFrame, key: str = "doc_id", parent: str = "parent_document_id", seed: int = 42) -> DataFrame:
+    """(key, canonical_id, cluster, split): all members of a group take the cluster of the canonical record's parent (its own id where it has none) and so one split."""
+    of = docs.select(F.col(key).alias("canonical_id"), cluster_id(F.coalesce(F.col(parent), F.col(key).cast("string"))).alias("cluster"))
+    return hot_join(members, of, "canonical_id").select(key, "canonical_id", "cluster").withColumn("split", hash_split(F.col("cluster"), seed=seed))
+
+
 def cluster_id(parent: Column) -> Column:
     return F.concat(F.lit("cluster-"), F.substring(F.sha2(parent, 256), 1, 24))
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltworks.operators.segments import global_rank
+
 #: Quantile rules differ on purpose; each keeps its own name.
 
 
@@ -93,10 +99,17 @@ def loss_summary(df: DataFrame, loss: str, tokens: str, bytes_: str | None = Non
     return df.agg(*cols)
 
 
-def recent_window(df: DataFrame, order: str, value: str, n: int = 100) -> DataFrame:
-    """Per row mean, variance (population) and first-to-last change of the last n values in order."""
-    w = W.orderBy(order).rowsBetween(-(n - 1), 0)
-    return df.withColumn("window_mean", F.avg(value).over(w)).withColumn("window_variance", F.var_pop(value).over(w)).withColumn("window_change", F.col(value) - F.first(value).over(w))
+def recent_window(df: DataFrame, order: str, value: str, n: int = 100, block: int = 100_000) -> DataFrame:
+    """Per row mean, variance (population) and first-to-last change of the last n values in the order of a unique column.
+
+    Rows are numbered over ranges and cut into blocks; the last n - 1 rows of a block are also read in front of the next one, so no task sees the whole table."""
+    ranked = global_rank(df.select(order, value), order)
+    here = F.floor((F.col("rank") - 1) / block)
+    ahead = F.floor((F.col("rank") + n - 2) / block)
+    d = ranked.withColumn("_own", here).withColumn("_block", F.explode(F.array_distinct(F.array(here, ahead))))
+    w = W.partitionBy("_block").orderBy("rank").rowsBetween(-(n - 1), 0)
+    out = d.withColumn("window_mean", F.avg(value).over(w)).withColumn("window_variance", F.var_pop(value).over(w)).withColumn("window_change", F.col(value) - F.first(value).over(w))
+    return out.where(F.col("_own") == F.col("_block")).drop("_own", "_block", "rank")
 
 
 def early_stop(values: Column, patience: int, min_delta: float = 0.0, mode: str = "min") -> Column:
@@ -116,3 +129,18 @@ def early_stop(values: Column, patience: int, min_delta: float = 0.0, mode: str
 def ema(values: Column, alpha: float) -> Column:
     """Exponential moving average at the end of a series; the first value starts it."""
     return F.aggregate(values, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(a * (1 - alpha) + v * alpha))
+
+
+def character_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(token, n) of all characters of all texts. Each task counts its batches, so a few thousand rows per batch are shuffled, not one per character."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.zeros(0x110000, np.int64)
+            for t in batch.column(0):
+                cp = np.frombuffer(t.as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
+                total[: 0 if not len(cp) else int(cp.max()) + 1] += np.bincount(cp) if len(cp) else 0
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(map(chr, used), pa.string()), pa.array(total[used], pa.int64())], names=["token", "n"])
+
+    return df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltworks.operators.segments import global_rank
+from siltworks.operators.segments import global_rank, running_sum
 from siltworks.operators.selection import order_key
+from siltworks.operators.skew import broadcast_if_small
+from siltworks.runtime import Stage
 
 
 def bernoulli_to_target(df: DataFrame, group: str, size: str, targets: DataFrame, seed: int, key: str = "doc_id", validation: float = 0.0) -> DataFrame:
@@ -15,7 +17,7 @@ def bernoulli_to_target(df: DataFrame, group: str, size: str, targets: DataFrame
 
     ``targets`` has (group, target); a target above what is available keeps all."""
     have = df.groupBy(group).agg(F.sum(size).alias("_have")).join(targets, group)
-    out = df.join(F.broadcast(have), group).where(order_key(seed, F.col(group), F.col(key)) < F.col("target") / F.col("_have"))
+    out = df.join(broadcast_if_small(have), group).where(order_key(seed, F.col(group), F.col(key)) < F.col("target") / F.col("_have"))
     return out.withColumn("routed", F.when(order_key(seed + 1, F.col(group), F.col(key)) < validation, "validation").otherwise("train")).drop("_have", "target")
 
 
@@ -26,13 +28,21 @@ def weighted_without_replacement(df: DataFrame, weight: str, k: int, seed: int,
 
 
 def weighted_with_replacement(df: DataFrame, weight: str, n: int, seed: int, key: str) -> DataFrame:
-    """n draws from a small weighted table: (draw, key). Draw i falls into the cumulated weight of exactly one row."""
-    w = df.where(F.col(weight) > 0)
-    hi = F.sum(weight).over(W.orderBy(key).rowsBetween(W.unboundedPreceding, 0)) / F.sum(weight).over(W.partitionBy())
-    table = w.select(key, hi.alias("_hi")).agg(F.sort_array(F.collect_list(F.struct(F.col("_hi"), F.col(key).alias("k")))).alias("t"))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("u", order_key(seed, F.col("draw")))
-    hit = F.filter("t", lambda x: x["_hi"] > F.col("u"))
-    return draws.withColumn("t", table.scalar()).select("draw", F.coalesce(F.get(hit, F.lit(0))["k"], F.element_at("t", -1)["k"]).alias(key))
+    """n draws from a weighted table: (draw, key). Draw i falls into the cumulated weight of exactly one row; rows with null or non-positive weight never come.
+
+    Weights are cumulated over ranges. Draws and intervals meet by cells of the unit interval, of which there are about as many as rows, so no row is compared with
+    all draws and a heavy row is spread over its cells. An empty table gives no draw."""
+    w = Stage(df.sparkSession, "draws").keep(df.where(F.col(weight) > 0).select(key, weight))
+    m, total = w.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    if not m:
+        return w.select(F.lit(0).cast("long").alias("draw"), key)
+    cells = min(max(m, 64), 1 << 20)
+    ends = running_sum(w, key, F.col(weight)).join(w, key).select(key, (F.col("before") / total).alias("_lo"), ((F.col("before") + F.col(weight)) / total).alias("_hi"))
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
+    spans = ends.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("u", order_key(seed, F.col("draw"))).withColumn("_cell", cell(F.col("u")))
+    # rounding can leave a gap at a boundary: the first row that ends above the draw is the one
+    return draws.join(spans, "_cell").where("u < _hi").groupBy("draw").agg(F.min_by(key, "_hi").alias(key))
 
 
 def mix_sources(df: DataFrame, group: str, weights: DataFrame, weight: str, n: int, seed: int, key: str = "doc_id") -> DataFrame:
@@ -40,7 +50,7 @@ def mix_sources(df: DataFrame, group: str, weights: DataFrame, weight: str, n: i
     ranked = global_rank(df.withColumn("_o", F.concat_ws("\x00", group, F.lpad(F.col(key).cast("string"), 20, "0"))), "_o")
     span = ranked.groupBy(group).agg(F.min("rank").alias("_lo"), F.count(F.lit(1)).alias("_n"))
     some = weights.join(span.select(group), group, "left_semi")
-    draws = weighted_with_replacement(some, weight, n, seed, group).join(F.broadcast(span), group)
+    draws = weighted_with_replacement(some, weight, n, seed, group).join(broadcast_if_small(span), group)
     draws = draws.withColumn("rank", F.col("_lo") + F.floor(order_key(seed + 1, F.col("draw")) * F.col("_n")).cast("long")).select("draw", group, "rank")
     return draws.join(ranked.select("rank", key), "rank").select("draw", group, key)
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltworks.operators.skew import broadcast_if_small
 from siltworks.runtime import Stage
 
+ROWS_PER_RANGE = 250_000
 IGNORE = -100  # fixed value: label that takes no part in the loss
 
 
@@ -84,16 +86,26 @@ def batches(df: DataFrame, order: str, size: int, drop_last: bool = False, by: s
     return out.drop("rank")
 
 
-def global_rank(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
-    """Adds ``rank`` 1, 2, ... in the order of a unique column, with one sort by range and a running sum over the few ranges.
+def running_sum(df: DataFrame, order: str, value: Column) -> DataFrame:
+    """(order, before): the sum of ``value`` over all rows in front, in the order of a unique column; narrow rows only.
 
-    The ranges are drawn from a sample, so the partitioned rows are written once: counting and numbering must see the same ranges."""
-    st = Stage(df.sparkSession, "rank")
-    parts = df.repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id())
-    parts = st.keep(parts.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(order))))
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return parts.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    The ranges are drawn from a sample, so the partitioned rows are written once: summing and numbering must see the same ranges. Their number follows
+    from the number of rows, so a range stays of one size whatever the table."""
+    st = Stage(df.sparkSession, "running")
+    ranges = max(1, -(-df.count() // ROWS_PER_RANGE))
+    parts = df.select(order, value.alias("_v")).repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id())
+    upto = F.coalesce(F.sum("_v").over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = st.keep(parts.withColumn("_in", upto))
+    sums = parts.groupBy("_part").agg(F.sum("_v").alias("_s"))
+    # one row per range
+    front = sums.withColumn("_front", F.coalesce(F.sum("_s").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    return parts.join(broadcast_if_small(st.keep(front)), "_part").select(order, (F.col("_front") + F.col("_in")).alias("before"))
+
+
+def global_rank(df: DataFrame, order: str) -> DataFrame:
+    """Adds ``rank`` 1, 2, ... in the order of a unique column. Only that column is sorted by range; wide rows meet their rank in a join."""
+    ranks = running_sum(df, order, F.lit(1).cast("long")).select(order, (F.col("before") + 1).alias("rank"))
+    return ranks if df.columns == [order] else df.join(ranks, order)
 
 
 def stream_pack(df: DataFrame, order: str, ids: str, length: int, size: int) -> DataFrame:

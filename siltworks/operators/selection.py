@@ -10,7 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import unit_hash
+from siltworks.operators.segments import running_sum
+from siltworks.operators.skew import broadcast_if_small
+from siltworks.runtime import Stage
 
+ROWS_PER_SLICE = 250_000
+FOLD_ROWS = 200_000  # rows of (key, size) that one task may fold
 REALLOCATION_SHARE = 0.01  # fixed value: largest share of the target that may move between sources
 
 
@@ -38,16 +43,19 @@ def rebalance(quotas: DataFrame, available: DataFrame, name: str, target: int) -
     return t.withColumn("effective", eff.cast("long")).select(name, "quota", "available", "effective")
 
 
-def within_budget(df: DataFrame, group: str, key: Column, size: str, quota: DataFrame, quota_column: str = "quota", slices: int = 64) -> DataFrame:
+def within_budget(df: DataFrame, group: str, key: Column, size: str, quota: DataFrame, quota_column: str = "quota") -> DataFrame:
     """Rows of each group in the order of ``key`` while the sum of the sizes before them is below the group's quota (the last may overshoot).
 
-    ``key`` must be uniform in [0, 1). Running sums are taken in two steps, over hash slices and within a slice, so a group with a third of all rows is cut into
-    ``slices`` windows."""
+    ``key`` must be uniform in [0, 1). Running sums are taken in two steps, over slices of the key and within a slice. A slice of a group with all rows would
+    hold about ``ROWS_PER_SLICE`` rows, whatever the table. Rows meet what lies in front of their slice by (group, slice), so no group is one task."""
+    slices = max(1, -(-df.count() // ROWS_PER_SLICE))
     d = df.withColumn("_key", key).withColumn("_slice", F.floor(F.col("_key") * slices).cast("int"))
-    sums = d.groupBy(group, "_slice").agg(F.sum(size).alias("_s"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(W.partitionBy(group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    sums = d.groupBy(group, "_slice").agg(F.sum(size).alias("_s")).join(quota.select(group, quota_column), group)
+    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(W.partitionBy(group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # slices in front of which the quota is spent already are out before the rows are sorted
+    open_ = before.where(F.col("_before") < F.col(quota_column)).drop("_s")
     inside = F.coalesce(F.sum(size).over(W.partitionBy(group, "_slice").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    out = d.withColumn("_inside", inside).join(F.broadcast(before), [group, "_slice"]).join(F.broadcast(quota.select(group, quota_column)), group)
+    out = d.join(open_, [group, "_slice"]).withColumn("_inside", inside)
     return out.where(F.col("_before") + F.col("_inside") < F.col(quota_column)).drop("_slice", "_before", "_inside", quota_column).withColumnRenamed("_key", "selection_key")
 
 
@@ -62,7 +70,7 @@ def bottom_k(df: DataFrame, group: str, key: Column, k: int | Column, tie: str,
 def stratified_holdout(df: DataFrame, stratum: str, ratio: float, key: Column, tie: str) -> DataFrame:
     """Adds ``holdout``: in each stratum of N >= 2 rows the clamp(round half even(N * ratio), 1, N - 1) rows with the smallest key."""
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).withColumn("_take", F.when(F.col("_n") < 2, 0).otherwise(F.least(F.greatest(F.bround(F.col("_n") * ratio), F.lit(1)), F.col("_n") - 1)).cast("long"))
-    d = df.join(F.broadcast(counts.select(F.col(stratum).alias("_s"), "_take")), F.col(stratum).eqNullSafe(F.col("_s")))
+    d = df.join(broadcast_if_small(counts.select(F.col(stratum).alias("_s"), "_take")), F.col(stratum).eqNullSafe(F.col("_s")))
     picked = bottom_k(d, stratum, key, F.col("_take"), tie).select(F.col(tie).alias("_tie")).withColumn("_hit", F.lit(True))
     return d.join(picked, F.col(tie) == F.col("_tie"), "left").withColumn("holdout", F.col("_hit").isNotNull()).drop("_s", "_take", "_tie", "_hit")
 
@@ -90,18 +98,33 @@ def greedy_two_caps(df: DataFrame, key: str, first: str, second: str, first_caps
 
 
 def first_fit(df: DataFrame, key: str, size: str, budget: int) -> DataFrame:
-    """Rows in key order, each taken if it still fits the budget. Only the rows before the budget is certainly spent can be taken by order alone; the fold runs over
-    (key, size) in one task, its memory being the narrow rows that fit at all."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, keep = budget, []
+    """Rows in key order (unique), each taken if it still fits the budget; sizes are positive, null sizes never fit.
+
+    All rows up to the first that doesn't fit are taken by a running sum over ranges; then only the rows behind it that fit what is left matter, and so on, each round
+    with less budget and fewer rows. Once at most ``FOLD_ROWS`` narrow rows are left, one task folds them."""
+    st = Stage(df.sparkSession, "fit")
+    left, taken = budget, []
+    rest = st.keep(df.select(key, size).where(F.col(size) <= left))
+    while rest.count() > FOLD_ROWS:
+        run = st.keep(running_sum(rest, key, F.col(size)).join(rest, key))
+        over = run.where(F.col("before") + F.col(size) > left).agg(F.min(key)).first()[0]
+        head = run if over is None else run.where(F.col(key) < over)
+        taken.append(head.select(key))
+        left -= head.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+        rest = st.keep(rest.where((F.lit(False) if over is None else F.col(key) > over) & (F.col(size) <= left)))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        room, keep = left, []
         for n in (pdf := pdf.sort_values(key, kind="stable"))[size]:
-            ok = n <= left
-            left -= n if ok else 0
+            ok = n <= room
+            room -= n if ok else 0
             keep.append(ok)
-        return pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+        return pdf[pd.Series(keep, index=pdf.index, dtype=bool)][[key]]
 
-    return df.where(F.col(size) <= budget).groupBy(F.lit("all")).applyInPandas(run, df.schema)
+    got = rest.groupBy(F.lit("all")).applyInPandas(fold, rest.select(key).schema)
+    for t in taken:
+        got = got.unionByName(t)
+    return df.join(got, key, "left_semi")
 
 
 def byte_targets(weights: dict[str, float], total_gb: float) -> dict[str, int]:

@@ -13,11 +13,35 @@ from siltworks.runtime import Stage, table
 SIZE, OVERLAP, LEAST = 256, 32, 16
 
 
-def prepared(s, d) -> DataFrame:
-    """Accepted documents with clean text, digest, cluster of the source record and hash split."""
+def accepted(s, d) -> DataFrame:
+    """Documents that cleaning accepts, with clean text and its length."""
     ok, _ = cleaning.quarantine(cleaning.clean(table(s, d, "documents").select("doc_id", "text", "source", "lang", "parent_document_id", "source_priority")))
-    cluster = dedup.cluster_id(F.coalesce("parent_document_id", F.col("doc_id").cast("string")))
-    return ok.select("doc_id", "source", "lang", "source_priority", F.col("clean_text").alias("text"), F.length("clean_text").alias("n"), cluster.alias("cluster")).withColumn("split", dedup.hash_split(F.col("cluster")))
+    return ok.select("doc_id", "source", "lang", "source_priority", "parent_document_id", F.col("clean_text").alias("text"), F.length("clean_text").alias("n"))
+
+
+_prepared: dict[tuple, DataFrame] = {}
+
+
+def _version(s, path: str) -> tuple:
+    """What tells one state of a file or folder from another."""
+    p = s._jvm.org.apache.hadoop.fs.Path(path)
+    f = p.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(p)
+    return (s.sparkContext.applicationId, path, f.getModificationTime(), f.getLen())
+
+
+def prepared(s, d) -> DataFrame:
+    """The accepted documents after deduplication: each with the canonical record of its duplicates, the cluster of that record and the split of that cluster, so exact and
+    near copies never lie in different splits.
+
+    Like a run of the preparation this writes one table, which all queries of a session read as long as its input doesn't change."""
+    key = _version(s, f"{d}/documents.parquet")
+    if key not in _prepared:
+        st = Stage(s, "prepared")
+        docs = st.keep(accepted(s, d))
+        clusters = dedup.assign_clusters(docs, dedup.duplicate_groups(docs))
+        _prepared[key] = st.keep(docs.join(clusters, "doc_id"))  # both unique by document
+        st.drop(docs)
+    return _prepared[key]
 
 
 def _references(s, d) -> DataFrame:
@@ -44,12 +68,12 @@ def _clean(s, d):
 
 
 def _windows(s, d):
-    w = segments.sliding_windows(prepared(s, d).select("doc_id", "n"), "n", SIZE, OVERLAP, LEAST)
+    w = segments.sliding_windows(accepted(s, d).select("doc_id", "n"), "n", SIZE, OVERLAP, LEAST)
     return w.select("doc_id", "segment_index", "start_token", "end_token", "overlap_tokens", "new_tokens", "short_document", "long_document", "tail_fragment")
 
 
 def _samples(s, d):
-    p = prepared(s, d).select("doc_id", segments.code_points(F.col("text")).alias("ids"))
+    p = accepted(s, d).select("doc_id", segments.code_points(F.col("text")).alias("ids"))
     w = segments.segment_samples(p, "ids", SIZE, OVERLAP, LEAST)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return w.select(
@@ -58,6 +82,30 @@ def _samples(s, d):
     )
 
 
+def _leak_audit(s, d):
+    """One row: duplicate groups and equal texts of the prepared documents, and how many of them lie in more than one split."""
+    p = prepared(s, d).select("canonical_id", "split", F.sha2("text", 256).alias("digest"))
+    torn = lambda c: p.groupBy(c).agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("lo"), F.max("split").alias("hi")).where("n > 1").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("lo") != F.col("hi"), 1)).alias("torn"))
+    return torn("canonical_id").toDF("groups", "torn_groups").join(torn("digest").toDF("equal_texts", "torn_texts"))
+
+
+def _cluster_report(s, d):
+    """Every member of a duplicate group of at least two, with its canonical record and the reason it is there: exact if its text is that of the canonical one."""
+    p = prepared(s, d).select("doc_id", "source", "lang", "cluster", "split", "canonical_id", F.sha2("text", 256).alias("digest"))
+    size = p.groupBy("canonical_id").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
+    canon = p.select(F.col("doc_id").alias("canonical_id"), F.col("digest").alias("c_digest"))
+    d2 = hot_join(hot_join(p, size, "canonical_id"), canon, "canonical_id")
+    reason = F.when(F.col("doc_id") == F.col("canonical_id"), "canonical").when(F.col("digest") == F.col("c_digest"), "exact").otherwise("near")
+    return d2.select("cluster", "canonical_id", "doc_id", "source", "lang", "split", "documents", reason.alias("reason"))
+
+
+def _resume(s, d):
+    """Records that a run still has to stage: those whose source record isn't stored yet. Here the validation and diagnostic records stand for what is stored."""
+    stored = prepared(s, d).where("split <> 'train' and parent_document_id is not null").select("parent_document_id").distinct()
+    raw = table(s, d, "documents").select("doc_id", "parent_document_id")
+    return hot_join(raw, stored, "parent_document_id", "left_anti").select("doc_id")
+
+
 def _segment_stats(s, d):
     w = segments.sliding_windows(prepared(s, d).select("doc_id", "split", "n"), "n", SIZE, OVERLAP, LEAST)
     return w.groupBy("split").agg(
@@ -87,7 +135,7 @@ def _quotas(s, d):
 
 
 def _available(s, d):
-    return prepared(s, d).groupBy("source").agg(F.sum("n").cast("long").alias("available"))
+    return accepted(s, d).groupBy("source").agg(F.sum("n").cast("long").alias("available"))
 
 
 def _rebalanced(s, d):
@@ -100,7 +148,7 @@ def _rebalanced(s, d):
 
 
 def _token_selection(s, d):
-    p = prepared(s, d).select("doc_id", "source", "n")
+    p = Stage(s, "train").keep(prepared(s, d).where("split = 'train'").select("doc_id", "source", "n"))
     q = p.groupBy("source").agg(F.floor(F.sum("n") * 0.4).cast("long").alias("quota"))
     return selection.within_budget(p, "source", selection.order_key(42, F.col("source"), F.col("doc_id")), "n", q).select("source", "doc_id", "n")
 
@@ -167,6 +215,10 @@ QUERIES = {
     "canonical_members": _members,
     "duplicate_accounting": lambda s, d: dedup.exact_near_accounting(table(s, d, "documents"), _members(s, d), others=_references(s, d)),
     "cluster_splits": lambda s, d: prepared(s, d).select("doc_id", "cluster", "split"),
+    "dedup_splits": lambda s, d: prepared(s, d).select("doc_id", "canonical_id", "cluster", "split"),
+    "dedup_leak_audit": _leak_audit,
+    "cluster_report": _cluster_report,
+    "resume_pending": _resume,
     "split_leak_audit": lambda s, d: dedup.leak_audit(table(s, d, "documents").withColumn("split", fold_name(F.col("split"))).where("split is not null"), "parent_document_id", "split"),
     "record_ids": lambda s, d: table(s, d, "documents").select("doc_id", dedup.record_id(F.coalesce("source_name", F.lit("")), F.coalesce("source_path", F.lit("")), F.coalesce("source_index", F.lit(0)), F.col("doc_id").cast("string")).alias("record_key")),
     "sliding_windows": _windows,
@@ -192,25 +244,45 @@ _CLEAN = rf"""
 c1 as (select *, regexp_replace(replace(regexp_replace(nfc_normalize(text), e'\r\n?', e'\n', 'g'), chr(0), ''), '[\x{{00}}-\x{{08}}\x{{0B}}\x{{0C}}\x{{0E}}-\x{{1F}}\x{{7F}}-\x{{9F}}]', '', 'g') as t from documents),
 c2 as (select * exclude (t), regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[{_INNER}]+', ' ', 'g'), e' *\n *', e'\n', 'g'), e'\n{{3,}}', e'\n\n', 'g'), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') as t from c1),
 cleaned as (select *, case when t is null or t = '' then 'empty' when length(t) > 200000 then 'length' else 'accepted' end as reason from c2),
-prepared as (select doc_id, source, lang, source_priority, t as text, length(t) as n, 'cluster-' || substr(sha256(coalesce(parent_document_id, doc_id::varchar)), 1, 24) as cluster from cleaned where reason = 'accepted'),
-u as (select *, ('0x' || substr(sha256('42:' || cluster), 1, 16))::ubigint::double / 18446744073709551616::double as x from prepared),
+accepted as (select doc_id, source, lang, source_priority, parent_document_id, t as text, length(t) as n from cleaned where reason = 'accepted')"""
+#: Near duplicates by brute force over all pairs of texts that share a substring, then their canonical records, clusters and splits.
+_SPLITS = rf"""{_CLEAN},
+reps as (select text, min(doc_id) as rep, any_value(trim(regexp_replace(lower(text), '[{_SPACE}]+', ' ', 'g'), ' ')) as norm from accepted group by 1),
+grams as materialized (select rep, substr(norm, i::int, 13) as g from (select rep, norm, unnest(range(1, greatest(length(norm) - 11, 2))) as i from reps) group by 1, 2),
+sizes as (select rep, count(*) as c from grams group by 1),
+shared as (select x.rep as a, y.rep as b, count(*) as common from grams x join grams y on x.g = y.g and x.rep < y.rep group by 1, 2),
+near as (select a, b from shared join sizes p on p.rep = a join sizes q on q.rep = b where common >= 0.8 * (p.c + q.c - common)),
+ways as (select a, b from near union select b, a from near),
+near_reach as (select a as v, a as r from ways union select b, r from near_reach join ways on a = v),
+near_top as (select v, min(r) as r from near_reach group by 1),
+grouped as (select p.*, coalesce(t.r, reps.rep) as component from accepted p join reps using (text) left join near_top t on t.v = reps.rep),
+canons as (select component, min_by(doc_id, (coalesce(source_priority, 2147483647), doc_id)) as canonical_id from grouped group by 1),
+named as (select g.*, canonical_id, 'cluster-' || substr(sha256(coalesce(c.parent_document_id, c.doc_id::varchar)), 1, 24) as cluster from grouped g join canons using (component) join accepted c on c.doc_id = canonical_id),
+u as (select *, ('0x' || substr(sha256('42:' || cluster), 1, 16))::ubigint::double / 18446744073709551616::double as x from named),
 splits as (select * exclude (x), case when x < 0.05 then 'validation' when x < 0.1 then 'diagnostic' else 'train' end as split from u)"""
-_WINDOWS = f"""{_CLEAN},
-k as (select *, case when n <= {SIZE} then 1 else 1 + ceil((n - {SIZE}) / {SIZE - OVERLAP}.0)::int end as segments from splits),
+
+
+def _windows_sql(base: str, rows: str) -> str:
+    return f"""{base},
+k as (select *, case when n <= {SIZE} then 1 else 1 + ceil((n - {SIZE}) / {SIZE - OVERLAP}.0)::int end as segments from {rows}),
 w0 as (select *, unnest(range(segments))::int as segment_index from k),
 w1 as (select *, (segment_index * {SIZE - OVERLAP})::int as start_token, least(segment_index * {SIZE - OVERLAP} + {SIZE}, n)::int as end_token from w0),
 w2 as (select *, case when segment_index = 0 then 0 else least({OVERLAP}, end_token - start_token) end::int as overlap_tokens from w1),
 w as (select *, (end_token - start_token - overlap_tokens)::int as new_tokens, n < {LEAST} as short_document, n > {SIZE} as long_document,
       segment_index = segments - 1 and segment_index > 0 and end_token - start_token - overlap_tokens < {LEAST} as tail_fragment,
       (segment_index = 0)::int as bos, (segment_index = segments - 1)::int as eos from w2)"""
+
+
+_WINDOWS = _windows_sql(_CLEAN, "accepted")
 _LINKS = """
+records as (select doc_id, text, source_priority from documents union all select doc_id, text, null from canonical_documents),
 e as (select distinct least(canonical_id, duplicate_id) as a, greatest(canonical_id, duplicate_id) as b from duplicate_edges
       where lower(trim(reason, e' \\t\\n\\r')) in ('exact', 'near') and canonical_id <> duplicate_id
-        and canonical_id in (select doc_id from documents) and duplicate_id in (select doc_id from documents)),
+        and canonical_id in (select doc_id from records) and duplicate_id in (select doc_id from records)),
 both_ways as (select a, b from e union select b, a from e),
 reach as (select a as v, a as r from both_ways union select b, r from reach join both_ways on a = v),
 comps as (select v as id, min(r) as component from reach group by 1),
-canon as (select component, min_by(id, (coalesce(source_priority, 2147483647), id)) as canonical_id from comps join documents on doc_id = id group by 1),
+canon as (select component, min_by(id, (coalesce(source_priority, 2147483647), id)) as canonical_id from comps join records on doc_id = id group by 1),
 members as (select id as doc_id, component, canonical_id from comps join canon using (component))"""
 _U = "('0x' || substr(sha256({0}), 1, 16))::ubigint::double / 18446744073709551616::double"
 
@@ -227,8 +299,26 @@ sum((coalesce(length(text), 0) > 6000)::int)::bigint as long from documents grou
     "canonical_members": f"with recursive {_LINKS} select doc_id, component, canonical_id from members",
     "duplicate_accounting": f"""with recursive {_LINKS}
 select d.source, sum((sha256(d.text) = sha256(c.text)) is true)::bigint as exact, sum(((sha256(d.text) = sha256(c.text)) is not true)::int)::bigint as near
-from members m join documents d using (doc_id) join documents c on c.doc_id = m.canonical_id where m.doc_id <> m.canonical_id group by 1""".replace("sum((sha256(d.text) = sha256(c.text)) is true)", "sum(((sha256(d.text) = sha256(c.text)) is true)::int)"),
-    "cluster_splits": f"with {_CLEAN} select doc_id, cluster, split from splits",
+from members m join documents d using (doc_id) join records c on c.doc_id = m.canonical_id where m.doc_id <> m.canonical_id group by 1""".replace("sum((sha256(d.text) = sha256(c.text)) is true)", "sum(((sha256(d.text) = sha256(c.text)) is true)::int)"),
+    "cluster_splits": f"with recursive {_SPLITS} select doc_id, cluster, split from splits",
+    "dedup_splits": f"with recursive {_SPLITS} select doc_id, canonical_id, cluster, split from splits",
+    "dedup_leak_audit": f"""with recursive {_SPLITS}, a as (select count(*) as n, count(distinct split) as k from splits group by canonical_id having count(*) > 1), b as (select count(*) as n, count(distinct split) as k from splits group by text having count(*) > 1)
+select (select count(*) from a) as groups, (select count(*) from a where k > 1) as torn_groups, (select count(*) from b) as equal_texts, (select count(*) from b where k > 1) as torn_texts""",
+    "cluster_report": f"""with recursive {_SPLITS} select s.cluster, s.canonical_id, s.doc_id, s.source, s.lang, s.split, count(*) over (partition by s.canonical_id) as documents,
+case when s.doc_id = s.canonical_id then 'canonical' when s.text = c.text then 'exact' else 'near' end as reason from splits s join splits c on c.doc_id = s.canonical_id qualify count(*) over (partition by s.canonical_id) > 1""",
+    "resume_pending": f"""with recursive {_SPLITS} select doc_id from documents where parent_document_id is null or parent_document_id not in (select parent_document_id from splits where split <> 'train' and parent_document_id is not null)""",
+    "minhash_near_groups": rf"""with recursive r as (select text, min(doc_id) as rep, any_value(trim(regexp_replace(lower(text), '[{_SPACE}]+', ' ', 'g'), ' ')) as norm from documents where text is not null group by 1),
+g as materialized (select rep, substr(norm, i::int, 13) as g from (select rep, norm, unnest(range(1, greatest(length(norm) - 11, 2))) as i from r) group by 1, 2), z as (select rep, count(*) as c from g group by 1),
+h as (select x.rep as a, y.rep as b, count(*) as common from g x join g y on x.g = y.g and x.rep < y.rep group by 1, 2), near as (select a, b from h join z p on p.rep = a join z q on q.rep = b where common >= 0.8 * (p.c + q.c - common)),
+ways as (select a, b from near union select b, a from near), reach as (select a as v, a as r from ways union select b, r from reach join ways on a = v), top as (select v, min(r) as r from reach group by 1)
+select d.doc_id, coalesce(t.r, r.rep, d.doc_id) as group_id from documents d left join r using (text) left join top t on t.v = r.rep""",
+    "pair_jaccard": rf"""with recursive {_LINKS}, n as (select doc_id, trim(regexp_replace(lower(text), '[{_SPACE}]+', ' ', 'g'), ' ') as norm from records where text is not null),
+g as (select doc_id, norm, list_distinct(list_transform(range(1, greatest(length(norm) - 11, 2)), i -> substr(norm, i::int, 13))) as g from n where doc_id in (select a from e union select b from e))
+select a, b, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 9) as similarity from e left join g x on x.doc_id = a left join g y on y.doc_id = b""",
+    "dedup_splits": lambda s, d: prepared(s, d).select("doc_id", "canonical_id", "cluster", "split"),
+    "dedup_leak_audit": _leak_audit,
+    "cluster_report": _cluster_report,
+    "resume_pending": _resume,
     "split_leak_audit": """select parent_document_id, array_to_string(list_sort(list(distinct s)), ',') as splits, count(*) as records
 from (select parent_document_id, lower(trim(split, e' \\t\\n\\r')) as s from documents) where parent_document_id is not null and s <> '' group by 1 having count(distinct s) > 1""",
     "record_ids": "select doc_id, sha256(concat(coalesce(source_name, ''), chr(0), coalesce(source_path, ''), chr(0), coalesce(source_index, 0), chr(0), doc_id)) as record_key from documents",
@@ -237,13 +327,13 @@ from (select parent_document_id, lower(trim(split, e' \\t\\n\\r')) as s from doc
 select doc_id || ':segment-' || lpad(segment_index::varchar, 5, '0') as sample_id, (end_token - start_token + bos + eos)::int as input_count, (new_tokens + eos)::int as loss_count,
 (coalesce(list_sum(list_transform(regexp_extract_all(substr(text, start_token + 1, end_token - start_token), '(?s).'), lambda c: unicode(c))), 0) + bos + 2 * eos)::bigint as input_sum,
 (coalesce(list_sum(list_transform(regexp_extract_all(substr(text, start_token + overlap_tokens + 1, new_tokens), '(?s).'), lambda c: unicode(c))), 0) - 100 * (bos + overlap_tokens) + 2 * eos)::bigint as label_sum from w""",
-    "segment_stats": f"""with {_WINDOWS} select split, sum((segment_index = 0)::int)::bigint as documents, count(*) as segments, sum(new_tokens)::bigint as content_tokens,
+    "segment_stats": f"""with recursive {_windows_sql(_SPLITS, 'splits')} select split, sum((segment_index = 0)::int)::bigint as documents, count(*) as segments, sum(new_tokens)::bigint as content_tokens,
 sum(end_token - start_token + bos + eos)::bigint as input_tokens, sum(new_tokens + eos)::bigint as loss_tokens, sum(overlap_tokens)::bigint as overlap_tokens, sum(bos + eos)::bigint as special_tokens,
 sum(tail_fragment::int)::bigint as tail_fragments from w group by 1""",
     "quota_allocation": """with w as (select source, sum(doc_id % 7 + 1)::double as w from documents group by 1),
 r as (select source, 1000000 * w / sum(w) over () as raw from w), q as (select source, raw, floor(raw)::bigint as whole from r)
 select source, (whole + (row_number() over (order by raw - whole desc, source) <= 1000000 - sum(whole) over ())::int)::bigint as quota from q""",
-    "token_selection": f"""with {_CLEAN}, p as (select doc_id, source, n, {_U.format("concat('42:', source, ':', doc_id)")} as k from splits),
+    "token_selection": f"""with recursive {_SPLITS}, p as (select doc_id, source, n, {_U.format("concat('42:', source, ':', doc_id)")} as k from splits where split = 'train'),
 q as (select source, floor(sum(n) * 0.4)::bigint as quota from p group by 1),
 r as (select p.*, coalesce(sum(n) over (partition by source order by k rows between unbounded preceding and 1 preceding), 0) as before from p)
 select source, doc_id, n::int as n from r join q using (source) where before < quota""",

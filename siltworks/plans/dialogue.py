@@ -61,7 +61,7 @@ def _retained(s, d):
 
 def _quota_members(s, d):
     quotas = _accepted(s, d).groupBy("category").agg(F.count(F.lit(1)).alias("n")).where("n >= 20").select("category")
-    return _accepted(s, d).join(F.broadcast(quotas), "category", "left_semi").select("sample_id", "category")
+    return _accepted(s, d).join(quotas, "category", "left_semi").select("sample_id", "category")
 
 
 def _two_caps(s, d):
@@ -161,7 +161,7 @@ select sample_id, category, n >= 2 and row_number() over (partition by category
     "sft_rendered": f"""with {_BASE} select sample_id, length(string_agg({_TEXT}, '' order by i))::int as chars, sha256(string_agg({_TEXT}, '' order by i)) as digest,
 count(*) filter (role = 'assistant')::int as spans, sum(length(content) + 10) filter (role = 'assistant')::int as trained_chars from kept join ok using (sample_id) group by 1""",
     "sft_label_mask": f"""with {_BASE}, t as (select sample_id, sum(length({_TEXT})) as tokens, sum(length(content) + 10) filter (role = 'assistant') as loss_tokens,
-sum(list_sum(list_transform(regexp_extract_all(content || '<|im_end|>', '(?s).'), lambda c: unicode(c)))) filter (role = 'assistant') as s from kept join ok using (sample_id) group by 1 having sum(length(content)) < 600)
+sum(list_sum(list_transform(regexp_extract_all(content || '<|im_end|>', '(?s).'), lambda c: unicode(c)))) filter (role = 'assistant') as s from kept join ok using (sample_id) group by 1)
 select sample_id, tokens::int as tokens, loss_tokens::int as loss_tokens, (s - 100 * (tokens - loss_tokens))::bigint as label_sum from t""",
     "sft_report": f"""with {_BASE}, a as (select category, source_group, reasoning, count(*) filter (role = 'user') > 1 and count(*) filter (role = 'assistant') > 1 as multi, sum(length(content)) as chars
 from kept join ok using (sample_id) group by sample_id, category, source_group, reasoning)

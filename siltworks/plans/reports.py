@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltworks.operators import profiles, segments
-from siltworks.plans.corpus import _CLEAN, _WINDOWS, LEAST, OVERLAP, SIZE, prepared
+from siltworks.plans.corpus import _CLEAN, _SPLITS, _WINDOWS, LEAST, OVERLAP, SIZE, accepted, prepared
 from siltworks.runtime import Stage, table
 
 
@@ -14,9 +14,10 @@ def _docs(s, d):
 
 
 def _source_counters(s, d):
-    first = _docs(s, d).where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
-    x = _docs(s, d).join(first, "doc_id", "left")
-    n = F.coalesce(F.length("text"), F.lit(0))
+    x = _docs(s, d).withColumn("digest", F.sha2("text", 256))
+    first = x.where("text is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    x = x.select("doc_id", "source", F.length("text").alias("chars")).join(first, "doc_id", "left")
+    n = F.coalesce("chars", F.lit(0))
     return x.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("first").alias("unique_documents"), F.sum(n).alias("chars"), F.sum(F.when(F.col("first"), n).otherwise(0)).alias("unique_chars"), F.max(n).alias("longest"))
 
 
@@ -29,7 +30,7 @@ def _source_shares(s, d):
 
 
 def _tails(s, d):
-    w = segments.sliding_windows(prepared(s, d).select("doc_id", "source", "n"), "n", SIZE, OVERLAP, LEAST)
+    w = segments.sliding_windows(accepted(s, d).select("doc_id", "source", "n"), "n", SIZE, OVERLAP, LEAST)
     return w.groupBy("source").agg(
         F.sum(F.when(F.col("long_document") & (F.col("segment_index") == 0), 1).otherwise(0)).alias("long_documents"),
         F.sum(F.when(F.col("segment_index") == 0, F.greatest(F.col("n") - SIZE, F.lit(0))).otherwise(0)).alias("recovered_tokens"), F.sum(F.when(F.col("tail_fragment"), 1).otherwise(0)).alias("tail_fragments"),
@@ -37,7 +38,7 @@ def _tails(s, d):
 
 
 def _lengths(s, d):
-    return prepared(s, d).select("doc_id", "n")
+    return accepted(s, d).select("doc_id", "n")
 
 
 def _packing(s, d):
@@ -50,7 +51,7 @@ def _packing(s, d):
 
 
 def _stream_pack(s, d):
-    p = prepared(s, d).select("doc_id", segments.code_points(F.col("text")).alias("ids"))
+    p = accepted(s, d).select("doc_id", segments.code_points(F.col("text")).alias("ids"))
     x = segments.stream_pack(p, "doc_id", "ids", 512, 8)
     return x.select("batch", "sequence", F.size("input_ids").alias("tokens"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("input_sum"), F.size(F.filter("labels", lambda v: v == -100)).alias("ignored"))
 
@@ -74,8 +75,8 @@ def _positions(s, d):
 
 
 def _quantiles(s, d):
-    fi = profiles.floor_index(prepared(s, d), "source", "n", [0.5, 0.9, 0.95])
-    other = prepared(s, d).groupBy("source").agg(profiles.nearest_rank("n", 0.5).cast("int").alias("nearest50"), profiles.nearest_rank("n", 0.95).cast("int").alias("nearest95"), F.round(profiles.interpolated("n", 0.9), 6).alias("linear90"))
+    fi = profiles.floor_index(accepted(s, d), "source", "n", [0.5, 0.9, 0.95])
+    other = accepted(s, d).groupBy("source").agg(profiles.nearest_rank("n", 0.5).cast("int").alias("nearest50"), profiles.nearest_rank("n", 0.95).cast("int").alias("nearest95"), F.round(profiles.interpolated("n", 0.9), 6).alias("linear90"))
     return fi.join(other, "source")
 
 
@@ -93,11 +94,11 @@ def _diagnosis(s, d):
 
 
 def _top_sources(s, d):
-    return prepared(s, d).groupBy("source").agg(F.sum("n").alias("tokens")).orderBy(F.desc("tokens"), "source").limit(5)
+    return accepted(s, d).groupBy("source").agg(F.sum("n").alias("tokens")).orderBy(F.desc("tokens"), "source").limit(5)
 
 
 def _char_counts(s, d):
-    return _docs(s, d).where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return profiles.character_counts(_docs(s, d))
 
 
 def _vocabulary(s, d):
@@ -135,7 +136,7 @@ def _losses(s, d):
 
 
 def _recent(s, d):
-    e = table(s, d, "events").where("event_type = 'purchase'").select("event_id", "value")
+    e = table(s, d, "events").select("event_id", "value")
     return profiles.recent_window(e, "event_id", "value").select("event_id", F.round("window_mean", 4).alias("window_mean"), F.round("window_variance", 2).alias("window_variance"), F.round("window_change", 4).alias("window_change"))
 
 
@@ -186,7 +187,7 @@ QUERIES = {
     "early_stop": _daily_stop,
 }
 
-_LEN = f"{_CLEAN}, p as (select doc_id, n, row_number() over (order by doc_id) - 1 as i, count(*) over () as total from splits)"
+_LEN = f"{_CLEAN}, p as (select doc_id, n, row_number() over (order by doc_id) - 1 as i, count(*) over () as total from accepted)"
 _PACK = """select {m} as micro_batch, count(*) * {m} as raw_samples, sum(t)::bigint as content_tokens, sum(q)::bigint as packed_sequences, (sum(q) * 2048)::bigint as padded_tokens, (sum(q) * 2048 - sum(t))::bigint as padding_tokens,
 round((sum(q) * 2048 - sum(t)) / (sum(q) * 2048), 9) as padding_ratio from (select i // {m} as b, sum(n) as t, greatest(1, ceil(sum(n) / 2048.0)) as q from p where i < total // {m} * {m} group by 1)"""
 _CHARS = "c as (select token, count(*) as n from (select unnest(regexp_extract_all(text, '(?s).')) as token from documents where text is not null) group by 1)"
@@ -195,47 +196,47 @@ _PROFILE = f"""select language, source, count(*) as texts, sum(length(text))::bi
 round(coalesce(sum(strlen(text)) / sum(length(text)), 0), 9) as bytes_per_char from (select text, lang as language, source from documents where text is not null) group by grouping sets ((), (language), (source))"""
 
 ORACLE: dict[str, str] = {
-    "visibility_audit": f"""with {_CLEAN}, r as (select n, (row_number() over (order by doc_id) - 1) // 4 as batch from splits where n between 1 and 40)
+    "visibility_audit": f"""with {_CLEAN}, r as (select n, (row_number() over (order by doc_id) - 1) // 4 as batch from accepted)
 select batch, sum(n)::int as positions, sum(n * (n + 1) / 2)::bigint as visible_pairs from r group by 1""",
     "fragmentation": """with w as (select source, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as w from documents where text is not null), c as (select source, len(regexp_extract_all(w, '[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,3}|_')) as pieces from w)
 select source, count(*) as words, round(sum(pieces) / count(*), 6) as pieces_per_word, max(pieces)::int as most_pieces, round(sum((pieces = 1)::int) / count(*), 6) as single_piece_rate from c group by 1""",
     "tail_fragments": f"""with {_WINDOWS} select source, sum((long_document and segment_index = 0)::int)::bigint as long_documents, sum(case when segment_index = 0 then greatest(n - {SIZE}, 0) else 0 end)::bigint as recovered_tokens,
 sum(tail_fragment::int)::bigint as tail_fragments from w group by 1""",
-    "position_ids": f"""with {_WINDOWS} select doc_id, sum(new_tokens * (new_tokens - 1) / 2)::bigint as position_sum, (max(new_tokens) - 1)::int as last from w where n <= 2000 group by 1""",
+    "position_ids": f"""with {_WINDOWS} select doc_id, sum(new_tokens * (new_tokens - 1) / 2)::bigint as position_sum, (max(new_tokens) - 1)::int as last from w group by 1""",
     "optimizer_steps": f"""with {_LEN}, m as (select i // 4 as b, sum(n) as t, greatest(1, ceil(sum(n) / 2048.0)) as q, max(total) // 32 as steps from p group by 1)
 select max(steps)::bigint as steps, round(sum(t) / max(steps), 6) as mean_content_tokens, round(sum(q) * 2048 / max(steps), 6) as mean_padded_tokens, round(sum(q) / max(steps), 6) as mean_sequences from m where b < steps * 8""",
     "source_ratings": """with x as (select source, sum(strlen(text)) / sum(length(text)) as b, sum(length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g'))) / sum(length(text)) as l from documents where text is not null group by 1)
 select source, case when round(b, 9) <= 1.2 then 'strong' when round(b, 9) <= 2.6 then 'reasonable' else 'weak' end as density, case when round(l, 9) >= 0.7 then 'strong' when round(l, 9) >= 0.4 then 'reasonable' else 'weak' end as latin from x""",
-    "stream_pack": f"""with {_CLEAN}, r as (select text, n, (row_number() over (order by doc_id) - 1) // 8 as batch, (row_number() over (order by doc_id) - 1) % 8 as place from splits where n <= 2000),
+    "stream_pack": f"""with {_CLEAN}, r as (select text, n, (row_number() over (order by doc_id) - 1) // 8 as batch, (row_number() over (order by doc_id) - 1) % 8 as place from accepted),
 o as (select *, sum(n) over (partition by batch order by place) - n as base from r),
 t as (select batch, place, base + i as pos, unicode(substr(text, i::int + 1, 1)) as id from (select *, unnest(range(n)) as i from o)),
 l as (select *, lag(place) over (partition by batch order by pos) as prior from t)
 select batch, (pos // 512)::int as sequence, count(*)::int as tokens, sum(id)::bigint as input_sum, sum((pos % 512 > 0 and prior <> place)::int)::int as ignored from l group by 1, 2""",
     "source_counters": """with x as (select *, text is not null and row_number() over (partition by text order by doc_id) = 1 as first from documents)
 select source, count(*) as documents, sum(first::int)::bigint as unique_documents, sum(coalesce(length(text), 0))::bigint as chars, sum(case when first then length(text) else 0 end)::bigint as unique_chars, max(coalesce(length(text), 0))::int as longest from x group by 1""",
-    "language_counters": f"""with {_CLEAN} select lang, coalesce(sum(n) filter (split = 'train'), 0)::bigint as train, coalesce(sum(n) filter (split = 'validation'), 0)::bigint as validation, coalesce(sum(n) filter (split = 'diagnostic'), 0)::bigint as diagnostic from splits group by 1""",
+    "language_counters": f"""with recursive {_SPLITS} select lang, coalesce(sum(n) filter (split = 'train'), 0)::bigint as train, coalesce(sum(n) filter (split = 'validation'), 0)::bigint as validation, coalesce(sum(n) filter (split = 'diagnostic'), 0)::bigint as diagnostic from splits group by 1""",
     "source_shares": """with x as (select source, sum(length(text))::bigint as total from documents where text is not null group by 1), y as (select *, round(total / sum(total) over (), 9) as share from x)
 select *, round(share - case source when 'webmoss_en' then 0.2 when 'webmoss_zh' then 0.2 when 'codeforge_en' then 0.1 else 0 end::double, 9) as delta from y""",
     "packing_efficiency": f"with {_LEN} {_PACK.format(m=4)} union all {_PACK.format(m=16)} union all {_PACK.format(m=64)}",
     "padded_batches": f"with {_LEN} select i // 16 as batch, count(*) as samples, (ceil(max(n) / 8.0) * 8)::int as length, sum(n)::bigint as tokens, (count(*) * ceil(max(n) / 8.0) * 8 - sum(n))::bigint as padding from p group by 1",
-    "length_buckets": f"""with {_CLEAN} select case when n < 32 then '<32' when n < 128 then '32-127' when n < 512 then '128-511' when n < 2048 then '512-2047' else '>=2048' end as bucket, count(*) as documents, sum(n)::bigint as chars from splits group by 1""",
-    "length_quantiles": f"""with {_CLEAN}, l as (select source, list_sort(list(n)) as v, count(*) as c from splits group by 1)
+    "length_buckets": f"""with {_CLEAN} select case when n < 32 then '<32' when n < 128 then '32-127' when n < 512 then '128-511' when n < 2048 then '512-2047' else '>=2048' end as bucket, count(*) as documents, sum(n)::bigint as chars from accepted group by 1""",
+    "length_quantiles": f"""with {_CLEAN}, l as (select source, list_sort(list(n)) as v, count(*) as c from accepted group by 1)
 select source, v[((c - 1) * 0.5)::double::decimal(38, 9)::bigint + 1] as p50, v[floor((c - 1) * 0.9::double)::bigint + 1]::int as p90, v[floor((c - 1) * 0.95::double)::bigint + 1]::int as p95, v[c]::int as largest,
-v[ceil(c * 0.5::double)::bigint]::int as nearest50, v[ceil(c * 0.95::double)::bigint]::int as nearest95, (select round(quantile_cont(n, 0.9), 6) from splits s where s.source = l.source) as linear90 from l""".replace("v[((c - 1) * 0.5)::double::decimal(38, 9)::bigint + 1] as p50", "v[floor((c - 1) * 0.5::double)::bigint + 1]::int as p50"),
-    "dataset_diagnosis": f"""with {_CLEAN} select count(*) as documents, sum(n)::bigint as tokens, round(avg(n), 6) as mean_tokens, min(n)::int as shortest, max(n)::int as longest, count(distinct text) as distinct_texts, count(distinct cluster) as clusters,
+v[ceil(c * 0.5::double)::bigint]::int as nearest50, v[ceil(c * 0.95::double)::bigint]::int as nearest95, (select round(quantile_cont(n, 0.9), 6) from accepted s where s.source = l.source) as linear90 from l""".replace("v[((c - 1) * 0.5)::double::decimal(38, 9)::bigint + 1] as p50", "v[floor((c - 1) * 0.5::double)::bigint + 1]::int as p50"),
+    "dataset_diagnosis": f"""with recursive {_SPLITS} select count(*) as documents, sum(n)::bigint as tokens, round(avg(n), 6) as mean_tokens, min(n)::int as shortest, max(n)::int as longest, count(distinct text) as distinct_texts, count(distinct cluster) as clusters,
 round((count(*) - count(distinct text)) / count(*), 9) as duplicate_rate from splits""",
-    "top_sources": f"with {_CLEAN} select source, sum(n)::bigint as tokens from splits group by 1 order by 2 desc, 1 limit 5",
+    "top_sources": f"with {_CLEAN} select source, sum(n)::bigint as tokens from accepted group by 1 order by 2 desc, 1 limit 5",
     "token_entropy": f"""with {_CHARS}, r as (select n, row_number() over (order by n) as r, sum(n) over () as t, count(*) over () as k from c)
 select max(k)::bigint as items, max(t)::bigint as total, round(-sum(n / t * log2(n / t)), 6) as entropy_bits, round(-sum(n / t * log2(n / t)) / log2(max(k)), 6) as normalised_entropy,
 round(2 * sum(r * n) / (max(k) * max(t)) - (max(k) + 1) / max(k), 6) as gini from r""",
     "vocabulary_stats": f"""with {_CHARS}, b as (select n, strlen(token) as bytes from c), h as (select bytes, sum(n) as n from b group by 1), q as (select bytes, sum(n) over (order by bytes) as u, sum(n) over () as t from h)
 select count(*) as used, sum(n)::bigint as total, round(sum(n * bytes) / sum(n), 6) as mean_bytes, sum((bytes = 1)::int)::bigint as single_byte, (select min(bytes) from q where u >= t * 0.5)::int as median_bytes from b""",
-    "top_tokens": f"with {_CHARS} select token, n from c where regexp_matches(token, '[a-z]') order by n desc, token limit 20",
+    "top_tokens": f"with {_CHARS} select token, n from c order by n desc, token limit 20",
     "text_profile": _PROFILE,
     "dataset_overlap": """with a as (select distinct text from documents where doc_id % 2 = 0 and text is not null), b as (select distinct text from documents where doc_id % 2 = 1 and text is not null), s as (select (select count(*) from a) as l, (select count(*) from b) as r, (select count(*) from (from a intersect from b)) as both_sides)
 select l as left_items, r as right_items, both_sides as shared, round(coalesce(both_sides / least(l, r), 0), 9) as share from s""",
     "loss_summary": """with e as (select event_type, max(value / 100) as loss, sum(user_id + 1) as tokens from events group by 1)
 select round(sum(loss * tokens) / sum(tokens), 6) as cross_entropy, round(exp(sum(loss * tokens) / sum(tokens)), 6) as perplexity, round(max(loss), 6) as largest from e""",
     "recent_window": """select event_id, round(avg(value) over w, 4) as window_mean, round(var_pop(value) over w, 2) as window_variance, round(value - first_value(value) over w, 4) as window_change
-from events where event_type = 'purchase' window w as (order by event_id rows between 99 preceding and current row)""",
+from events window w as (order by event_id rows between 99 preceding and current row)""",
 }

@@ -100,6 +100,6 @@ def language_from_name(source: Column) -> Column:
 def stratified_lines(df: DataFrame, position: str, n: int, key: Column, buckets_of: str = "_path") -> DataFrame:
     """One record from each of n equal stretches of every file: the one with the smallest key."""
     total = df.groupBy(buckets_of).agg(F.count(F.lit(1)).alias("_t"))
-    d = df.join(F.broadcast(total), buckets_of).withColumn("_b", F.floor(F.col(position) * n / F.col("_t"))).withColumn("_k", key)
+    d = df.join(total, buckets_of).withColumn("_b", F.floor(F.col(position) * n / F.col("_t"))).withColumn("_k", key)
     best = d.groupBy(buckets_of, "_b").agg(F.min(F.struct("_k", position)).alias("_m")).select(buckets_of, F.col(f"_m.{position}").alias(position))
     return d.join(best, [buckets_of, position], "left_semi").drop("_t", "_b", "_k")
