@@ -60,3 +60,16 @@ select r.config_id, r.name, round(weight_gb / weight_sum, 9) as target_share, ro
        coalesce(mixed_bytes, 0)::bigint as mixed_bytes, round(coalesce(mixed_bytes / sum(mixed_bytes) over (partition by r.config_id), 0.0), 9) as actual_share
 from rates r left join got using (config_id, name)""",
 }
+
+_NORM = r"trim(regexp_replace(lower(text), '[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ')"
+_SIDES = f"m as (select doc_id, {_SPLIT} as bit, parent_document_id as parent, {_NORM} as norm from documents)"
+
+ORACLE |= {
+    "p6_members": f"with {_SIDES} select doc_id, md5(norm) as text_class, case bit when 1 then 'train' when 2 then 'validation' else 'diagnostic' end as split_key from m where bit > 0 and length(norm) >= 60",
+    "p6_found": f"""with {_SIDES},
+g as materialized (select distinct doc_id, bit, substr(norm, i::int, 13) as gram from (select doc_id, bit, norm, unnest(range(1, length(norm) - 11)) as i from m where bit > 0 and length(norm) >= 60)),
+n as (select doc_id, count(*) as n from g group by 1), c as (select a.doc_id as e, b.doc_id as t, count(*) as common from g a join g b using (gram) where a.bit > 1 and b.bit = 1 group by 1, 2),
+p as (select e, t from c join n x on x.doc_id = e join n y on y.doc_id = t where common * 5 >= 4 * (x.n + y.n - common)
+  union select a.doc_id, b.doc_id from m a join m b using (parent) where a.bit > 1 and b.bit = 1 and trim(parent, e' \\t\\n\\r') <> '')
+select least(e, t) as doc_a, greatest(e, t) as doc_b from p""",
+}
