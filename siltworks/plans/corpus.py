@@ -315,10 +315,6 @@ select d.doc_id, coalesce(t.r, r.rep, d.doc_id) as group_id from documents d lef
     "pair_jaccard": rf"""with recursive {_LINKS}, n as (select doc_id, trim(regexp_replace(lower(text), '[{_SPACE}]+', ' ', 'g'), ' ') as norm from records where text is not null),
 g as (select doc_id, norm, list_distinct(list_transform(range(1, greatest(length(norm) - 11, 2)), i -> substr(norm, i::int, 13))) as g from n where doc_id in (select a from e union select b from e))
 select a, b, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 9) as similarity from e left join g x on x.doc_id = a left join g y on y.doc_id = b""",
-    "dedup_splits": lambda s, d: prepared(s, d).select("doc_id", "canonical_id", "cluster", "split"),
-    "dedup_leak_audit": _leak_audit,
-    "cluster_report": _cluster_report,
-    "resume_pending": _resume,
     "split_leak_audit": """select parent_document_id, array_to_string(list_sort(list(distinct s)), ',') as splits, count(*) as records
 from (select parent_document_id, lower(trim(split, e' \\t\\n\\r')) as s from documents) where parent_document_id is not null and s <> '' group by 1 having count(distinct s) > 1""",
     "record_ids": "select doc_id, sha256(concat(coalesce(source_name, ''), chr(0), coalesce(source_path, ''), chr(0), coalesce(source_index, 0), chr(0), doc_id)) as record_key from documents",
@@ -347,3 +343,24 @@ where {_U.format("concat('7:', source, ':', doc_id)")} < target / have""",
     "buffered_shuffle": f"""with p as (select doc_id, row_number() over (order by sha256(concat('5:1:', doc_id)) || doc_id) as position from documents)
 select doc_id, position, ((position - 1) // 64 * 64 + row_number() over (partition by (position - 1) // 64 order by {_U.format("concat('9:', position)")}, position))::bigint as shuffled from p""",
 }
+
+ORACLE |= {
+    "quota_rebalance": f"""with {_CLEAN}, a as (select source, sum(n)::bigint as available from accepted group by 1), t as (select greatest(floor(sum(available) * 0.9::double)::bigint, 1) as target from a),
+w as (select source, available, available * case when source = 'recipenook_en' then 1.2::double else 1.0::double end as w from a),
+r as (select source, available, target, target * w / sum(w) over () as raw from w, t), q as (select *, floor(raw)::bigint as whole from r),
+k as (select source, available, target, (whole + (row_number() over (order by raw - whole desc, source) <= target - sum(whole) over ())::int)::bigint as quota from q),
+l as (select *, greatest(quota - available, 0) as lack, greatest(available - quota, 0) as over_ from k),
+m as (select *, sum(lack) over () as tl, sum(over_) over () as tov, sum(available) over () as ta from l),
+g as (select *, tl > 0 and tl <= target * 0.01::double and ta >= target and tov >= tl as moves from m),
+i as (select *, case when moves and over_ > 0 then tl * over_ / tov::double else 0::double end as raw2 from g), j as (select *, floor(raw2)::bigint as inc from i)
+select source, quota, available, case when moves then quota - lack + inc + (over_ > 0 and row_number() over (order by over_ > 0 desc, raw2 - inc desc, source) <= tl - sum(inc) over ())::int else quota end::bigint as effective from j""",
+    "validation_subset": f"""with recursive {_SPLITS}, o as (select doc_id, n::bigint as n, row_number() over (order by {_U.format("concat('3:', doc_id)")}) as i from splits where split = 'validation' and n <= 100000),
+f as (select 0::bigint as i, null::bigint as doc_id, 0::bigint as n, false as taken, 100000::bigint as room union all select o.i, o.doc_id, o.n, o.n <= f.room, f.room - case when o.n <= f.room then o.n else 0 end from f join o on o.i = f.i + 1)
+select doc_id, n from f where taken""",
+    "weighted_draws": f"""with w as (select source, count(*)::double as w from documents where source is not null group by 1), h as (select source, sum(w) over (order by source) / sum(w) over () as hi from w),
+d as (select {_U.format("concat('13:', i)")} as u from range(500) r(i)), p as (select (select min_by(source, hi) from h where hi > u) as source from d) select source, count(*) as draws from p group by 1""",
+    "source_mixer": f"""with n as (select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as i, count(*) over (partition by source) as c from documents where source is not null),
+h as (select source, sum(w) over (order by source) / sum(w) over () as hi from (select distinct source, length(source)::double as w from n)),
+d as (select i as draw, {_U.format("concat('17:', i)")} as u, {_U.format("concat('18:', i)")} as v from range(500) r(i)), p as (select draw, v, (select min_by(source, hi) from h where hi > u) as source from d)
+select draw, source, doc_id from p join n using (source) where i = floor(v * c)""",
+}

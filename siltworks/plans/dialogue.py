@@ -170,3 +170,15 @@ from a group by grouping sets ((), (category), (source_group), (reasoning))""",
     "sft_history": f"""with {_BASE}, r as (select sample_id, i, sum(length(content)) over (partition by sample_id order by i desc rows between unbounded preceding and current row) as s from kept join ok using (sample_id))
 select sample_id, greatest(count(*) filter (s <= 500), 1)::int as kept_turns from r group by 1""",
 }
+
+ORACLE |= {
+    "sft_two_caps": f"""with recursive {_BASE}, c as (select sample_id, category, source_group, list_position(['en_general', 'en_math', 'zh_general', 'zh_math'], category) as ci,
+list_position(['hermitbox_en', 'openledger_en', 'taleschool_zh', 'reasonwell_zh'], source_group) as gi, {_U.format("concat('1:', sample_id)")} as k from ok),
+o as (select *, row_number() over (order by k) as i from c where ci > 0 and gi > 0),
+f as (select 0::bigint as i, null::varchar as sample_id, null::varchar as category, null::varchar as source_group, false as taken, [40, 20, 40, 20] as caps, [30, 30, 30, 30] as groups
+  union all select o.i, o.sample_id, o.category, o.source_group, f.caps[o.ci] > 0 and f.groups[o.gi] > 0,
+  case when f.caps[o.ci] > 0 and f.groups[o.gi] > 0 then [f.caps[1] - (o.ci = 1)::int, f.caps[2] - (o.ci = 2)::int, f.caps[3] - (o.ci = 3)::int, f.caps[4] - (o.ci = 4)::int] else f.caps end,
+  case when f.caps[o.ci] > 0 and f.groups[o.gi] > 0 then [f.groups[1] - (o.gi = 1)::int, f.groups[2] - (o.gi = 2)::int, f.groups[3] - (o.gi = 3)::int, f.groups[4] - (o.gi = 4)::int] else f.groups end
+  from f join o on o.i = f.i + 1)
+select sample_id, category, source_group from f where taken""",
+}

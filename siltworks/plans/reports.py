@@ -240,3 +240,16 @@ select round(sum(loss * tokens) / sum(tokens), 6) as cross_entropy, round(exp(su
     "recent_window": """select event_id, round(avg(value) over w, 4) as window_mean, round(var_pop(value) over w, 2) as window_variance, round(value - first_value(value) over w, 4) as window_change
 from events window w as (order by event_id rows between 99 preceding and current row)""",
 }
+
+ORACLE |= {
+    "isolated_pack": f"""with recursive {_CLEAN}, w as (select doc_id, unnest(range(greatest(1, ceil(n / 2048.0)::int)))::int as i, n from accepted), x as (select doc_id, i, least(2048, n - i * 2048) as t, row_number() over (order by doc_id, i) - 1 as r from w),
+o as (select doc_id, t, r // 64 as batch, r % 64 as place from x),
+f as (select batch, place, doc_id, 0::bigint as sequence, t as used from o where place = 0
+  union all select o.batch, o.place, o.doc_id, f.sequence + (f.used + o.t > 2048)::int, case when f.used + o.t > 2048 then o.t else f.used + o.t end from f join o on o.batch = f.batch and o.place = f.place + 1)
+select batch, sequence, doc_id from f""",
+    "early_stop": """with recursive e as (select event_type, ts::date as day, round(avg(value), 6) as v from events group by 1, 2), o as (select *, row_number() over (partition by event_type order by day) as i from e),
+f as (select event_type, i, case when v < 'inf'::double then v else 'inf'::double end as best, 0 as bad, null::int as stop, v as ema from o where i = 1
+  union all select o.event_type, o.i, case when o.v < f.best then o.v else f.best end, case when o.v < f.best then 0 else f.bad + 1 end,
+  coalesce(f.stop, case when o.v >= f.best and f.bad + 1 >= 4 then o.i::int end), f.ema * (1 - 0.1::double) + o.v * 0.1::double from f join o on o.event_type = f.event_type and o.i = f.i + 1)
+select event_type, max(i)::int as evaluations, max(stop) as stopped_at, round(max_by(ema, i), 6) as smoothed from f group by 1""",
+}
