@@ -134,3 +134,27 @@ def fit_history(sizes: Column, budget: int) -> Column:
         return F.struct(total.alias("sum"), (s["kept"] + F.when(total <= budget, 1).otherwise(0)).alias("kept"))
 
     return F.greatest(F.aggregate(F.reverse(sizes), start, step, lambda s: s["kept"]), F.least(F.size(sizes), F.lit(1)))
+
+
+def token_gates(df: DataFrame, least_answer: int, most_answer: int, longest: int, encode, messages: str = "policy_messages") -> DataFrame:
+    """Adds ``assistant_tokens``, ``sequence_tokens`` and ``token_reject`` (assistant_too_short, assistant_too_long, sequence_too_long, nothing_trained or null):
+    the answers together have at least ``least_answer`` tokens, each at most ``most_answer``, the rendered conversation at most ``longest``, and some answer
+    is trained. ``encode`` turns a text into its tokens."""
+    answers = F.transform(F.filter(messages, lambda x: x["role"] == "assistant"), lambda x: F.size(encode(x["content"])))
+    d = df.withColumn("_answers", answers).withColumn("sequence_tokens", F.size(encode(render(F.col(messages)))))
+    d = d.withColumn("assistant_tokens", F.aggregate("_answers", F.lit(0), lambda a, x: a + x))
+    reject = (
+        F.when(F.col("assistant_tokens") < least_answer, "assistant_too_short").when(F.exists("_answers", lambda n: n > most_answer), "assistant_too_long")
+        .when(F.col("sequence_tokens") > longest, "sequence_too_long").when(F.size("_answers") == 0, "nothing_trained")
+    )
+    return d.withColumn("token_reject", reject).drop("_answers")
+
+
+def token_report(df: DataFrame, quotas: dict[str, int], by: str = "category") -> DataFrame:
+    """Per group: samples, tokens, the share of all tokens, and by how many samples its quota is missed. Groups of the quotas without samples are listed too."""
+    wanted = df.sparkSession.createDataFrame(sorted(quotas.items()), f"{by} string, quota long")
+    have = df.groupBy(by).agg(F.count(F.lit(1)).alias("samples"), F.sum("assistant_tokens").alias("assistant_tokens"), F.sum("sequence_tokens").alias("tokens"))
+    total = have.agg(F.sum("tokens").alias("t")).scalar()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = have.join(wanted, by, "full_outer").select(by, *[zero(c) for c in ("samples", "assistant_tokens", "tokens", "quota")])
+    return out.withColumn("token_share", F.round(F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)), 9)).withColumn("underfilled", F.greatest(F.col("quota") - F.col("samples"), F.lit(0)))

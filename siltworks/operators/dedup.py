@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from siltworks.functions.text import unit_hash
-from siltworks.operators.skew import hot_join
+from siltworks.operators.skew import hot_join, hot_keys
 from siltworks.runtime import Stage
 
 SHINGLE, HASHES, BANDS, SIMILAR = 13, 128, 16, 0.8
@@ -169,9 +169,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of (a, b): the smallest id reachable. Labels flow along edges and jump to their label's label until nothing moves."""
     st = Stage(edges.sparkSession, "cc")
     both = st.keep(edges.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("k")), F.struct(F.col("b").alias("v"), F.col("a").alias("k")))).alias("e")).select("e.*").distinct())
+    hot = hot_keys(both, "k")
     lab = st.keep(both.groupBy("v").agg(F.least("v", F.min("k")).alias("c")))
     while True:
-        seen = hot_join(both, lab.select(F.col("v").alias("k"), "c"), "k").groupBy("v").agg(F.min("c").alias("near"))
+        seen = hot_join(both, lab.select(F.col("v").alias("k"), "c"), "k", hot=hot).groupBy("v").agg(F.min("c").alias("near"))
         met = st.keep(lab.join(seen, "v").select("v", "c", F.least("c", "near").alias("k")))
         up = met.groupBy(F.col("c").alias("v")).agg(F.min("k").alias("pulled"))
         met2 = st.keep(met.join(up, "v", "left").select("v", "c", F.least("k", F.coalesce("pulled", "k")).alias("k")))

@@ -93,3 +93,21 @@ def buffered_shuffle(df: DataFrame, position: str, window: int, seed: int) -> Da
 
 def skip_rows(df: DataFrame, position: str, n: int) -> DataFrame:
     return df.where(F.col(position) > n)
+
+
+def sampling_counters(df: DataFrame, group: str, size: str, chars: str, low: int, high: int, targets: DataFrame, seed: int, key: str = "doc_id", validation: float = 0.0) -> DataFrame:
+    """Per group what a Bernoulli sample to target bytes saw and took: records, short, long, eligible records and bytes, selected ones, those for train and validation,
+    the target and what is missing of it. Groups without a target select nothing."""
+    fits = F.col(chars).between(low, high)
+    seen = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("records"), F.sum(size).alias("input_bytes"), F.sum(F.when(F.col(chars) < low, 1).otherwise(0)).alias("short_records"), F.sum(F.when(F.col(chars) > high, 1).otherwise(0)).alias("long_records"),
+        F.sum(fits.cast("int")).alias("eligible_records"), F.sum(F.when(fits, F.col(size)).otherwise(0)).alias("eligible_bytes"),
+    )
+    took = bernoulli_to_target(df.where(fits), group, size, targets, seed, key, validation)
+    train = F.col("routed") == "train"
+    got = took.groupBy(group).agg(
+        F.count(F.lit(1)).alias("selected_records"), F.sum(size).alias("selected_bytes"), F.sum(train.cast("int")).alias("train_records"), F.sum(F.when(train, F.col(size)).otherwise(0)).alias("train_bytes"),
+        F.sum((~train).cast("int")).alias("validation_records"), F.sum(F.when(~train, F.col(size)).otherwise(0)).alias("validation_bytes"),
+    )
+    out = seen.join(got, group, "left").join(targets.select(group, F.col("target").cast("double").alias("target_bytes")), group, "left")
+    return out.na.fill(0).withColumn("missing_bytes", F.greatest(F.col("target_bytes") - F.col("selected_bytes"), F.lit(0.0)))

@@ -136,3 +136,33 @@ def byte_targets(weights: dict[str, float], total_gb: float) -> dict[str, int]:
 def order_key(seed: int, *parts: Column) -> Column:
     """Uniform key in [0, 1) of a seed and identifying columns: stands in for a shuffle everywhere."""
     return unit_hash(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+
+
+def mixture(weights: dict[str, float] | None = None, manifest: dict | None = None) -> dict[str, float]:
+    """Shares of sources that sum to 1, from given weights or from a sampling manifest (a list ``sources``, each with ``target_bytes`` or else ``weight_gb``).
+
+    Exactly one of both; blank or repeated names and weights that aren't positive are errors."""
+    if (weights is None) == (manifest is None):
+        raise ValueError("give weights or a manifest")
+    pairs = list(weights.items()) if weights is not None else [(s.get("name") or "", s.get("target_bytes", s.get("weight_gb"))) for s in manifest.get("sources") or []]
+    names = [str(n).strip() for n, _ in pairs]
+    if not pairs or "" in names or len(set(names)) < len(names):
+        raise ValueError("sources need distinct names")
+    values = [float(w) for _, w in pairs]
+    if min(values) <= 0:
+        raise ValueError("weights must be positive")
+    total = math.fsum(values)
+    return {n: w / total for n, w in zip(names, values, strict=True)}
+
+
+def step_budget(samples: int, tokens: int, micro_batch: int, accumulate: int, world: int, target_tokens: int | None = None, epochs: float = 1.0) -> dict:
+    """Optimizer steps of a run: as many as ``epochs`` passes have whole steps, or what ``target_tokens`` need at the mean tokens per sample, rounded up, and one."""
+    if samples <= 0 or tokens <= 0:
+        raise ValueError("the dataset has no tokens")
+    batch = micro_batch * accumulate * world
+    steps = int(samples * epochs) // batch
+    if target_tokens is not None:
+        steps = max(1, math.ceil(target_tokens / (batch * tokens / samples)) + 1)
+    elif steps <= 0:
+        raise ValueError("the dataset has no whole step")
+    return {"steps": steps, "samples_per_step": batch, "mean_tokens": tokens / samples, "target_tokens": target_tokens or int(tokens * epochs)}

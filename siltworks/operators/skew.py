@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1 / 256
+ROWS_OF_ONE_TASK = 100_000
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = 1000) -> list:
-    """Keys that hold more than ``share`` of all rows (so at most ``1 / share`` keys): counted with map-side combining, exact."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    """Keys that hold more than ``share`` of all rows (so at most ``1 / share`` keys): counted with map-side combining, exact. A table of which one task could hold
+    all rows has none: its joins need no care."""
     total = df.count()
-    bar = max(total * share, least)
-    return [r[0] for r in counts.where(F.col("_n") > bar).select(key).collect()]
+    if total <= ROWS_OF_ONE_TASK:
+        return []
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return [r[0] for r in counts.where(F.col("_n") > max(total * share, least)).select(key).collect()]
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None, merge: bool = False) -> DataFrame:

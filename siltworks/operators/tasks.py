@@ -71,9 +71,6 @@ def trajectory(df: DataFrame, longest: int, encode: Encoder = code_points, marks
     return d.where(ok)
 
 
-TASKS: dict[str, Callable[..., DataFrame]] = {"sft": sft, "instruction_tuning": sft, "preference": preference, "dpo": preference, "ipo": preference, "kto": preference, "reward": reward, "rlhf": trajectory, "ppo": trajectory, "grpo": trajectory}
-
-
 def batch(df: DataFrame, by: str, place: str, arrays: dict[str, Column | int], multiple: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per batch: each array padded on the right to the longest of the batch, rounded up to ``multiple``; ``keep`` columns are listed in order."""
     names = list(arrays)
@@ -113,6 +110,22 @@ def preference_batch(df: DataFrame, by: str, place: str, pad: int = 0) -> DataFr
     return out.withColumn("pair_id", F.when(twice, F.raise_error(F.lit("a pair id is used twice in a batch")).cast("array<string>")).otherwise(F.col("pair_id")))
 
 
+def sft_batch(df: DataFrame, by: str, place: str, pad: int = 0, multiple: int = 1) -> DataFrame:
+    """Padded batch with labels, loss mask and attention mask."""
+    d = df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    return batch(d, by, place, {"input_ids": pad, "labels": IGNORE, "loss_mask": 0, "attention_mask": 0}, multiple, ("sample_id",))
+
+
+def trajectory_batch(df: DataFrame, by: str, place: str, pad: int = 0, series: tuple[str, ...] = ("rewards", "advantages", "old_log_probs", "reference_log_probs", "values")) -> DataFrame:
+    """Prompt and response joined, a mask of the response, and each per-token series padded with 0.0 to the longest response; an absent series is all zeros."""
+    have = [c for c in series if c in df.columns]
+    d = df.withColumn("input_ids", F.concat("prompt_ids", "response_ids")).withColumn("response_mask", F.concat(F.array_repeat(F.lit(0), F.size("prompt_ids")), F.array_repeat(F.lit(1), F.size("response_ids"))))
+    d = d.withColumn("_n", F.size("response_ids")).join(df.groupBy(by).agg(F.max(F.size("response_ids")).alias("_longest")), by)
+    for c in have:
+        d = d.withColumn(c, pad_right(F.coalesce(F.col(c), F.array().cast("array<double>")), F.col("_longest"), F.lit(0.0)))
+    return batch(d, by, place, {"input_ids": pad, "response_mask": 0}, 1, (*have, "sample_id") if "sample_id" in df.columns else tuple(have))
+
+
 def reward_batch(df: DataFrame, by: str, place: str, pad: int = 0) -> DataFrame:
     d = df.withColumn("input_ids", F.concat("prompt_ids", "response_ids")).withColumn("ranking_label", F.coalesce("ranking_label", F.lit(-1)))
     return batch(d, by, place, {"input_ids": pad}, 1, ("reward_label", "ranking_label"))
@@ -157,3 +170,46 @@ def token_counts(ids: Column, mask: Column, labels: Column) -> tuple[Column, Col
 def select_inputs(df: DataFrame, *names: str) -> DataFrame:
     """The columns a model takes, absent optional ones left out."""
     return df.select(*[n for n in names if n in df.columns])
+
+
+@dataclass(frozen=True)
+class Task:
+    """What a task's samples are, how raw records become them, and which ways of packing and batching go with them."""
+
+    sample_type: str
+    build: Callable[..., DataFrame] | None
+    batch: Callable[..., DataFrame]
+    inputs: tuple[str, ...]
+    packing: frozenset[str] = frozenset()
+    batching: frozenset[str] = frozenset()
+
+
+TASKS: dict[str, Task] = {}
+
+
+def register(name: str, task: Task) -> None:
+    """Adds a task; blank names and names in use are errors."""
+    if not name.strip() or not task.sample_type.strip():
+        raise ValueError("a task and its sample type need names")
+    if name in TASKS:
+        raise ValueError(f"{name} is registered")
+    TASKS[name] = task
+
+
+def task(name: str) -> Task:
+    if name not in TASKS:
+        raise ValueError(f"unknown task {name!r}, known are {sorted(TASKS)}")
+    return TASKS[name]
+
+
+# fixed values: task names, sample types and strategies
+_FAMILIES = {
+    ("pretraining", "cpt"): Task("pretraining", None, pretraining_batch, ("input_ids", "labels", "attention_mask", "segment_ids", "position_ids"), frozenset({"stream"}), frozenset({"fixed_length"})),
+    ("sft", "instruction_tuning"): Task("sft", sft, sft_batch, ("input_ids", "labels", "attention_mask", "loss_mask", "segment_ids", "position_ids"), frozenset({"sample_isolated"}), frozenset({"fixed_length", "padding_free"})),
+    ("preference", "dpo", "ipo", "kto"): Task("preference", preference, preference_batch, ("chosen_ids", "chosen_labels", "rejected_ids", "rejected_labels"), batching=frozenset({"preference_pair"})),
+    ("reward",): Task("reward", reward, reward_batch, ("input_ids", "reward_label", "ranking_label"), batching=frozenset({"reward_pair"})),
+    ("rlhf", "ppo", "grpo"): Task("trajectory", trajectory, trajectory_batch, ("input_ids", "response_mask", "rewards", "advantages", "old_log_probs", "reference_log_probs", "values"), batching=frozenset({"trajectory"})),
+}
+for _names, _task in _FAMILIES.items():
+    for _name in _names:
+        register(_name, _task)

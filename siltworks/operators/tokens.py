@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +33,17 @@ def split_reasoning(ids: Column, open_id: int, close_id: int, forced: bool = Fal
 
 
 def split_digits(text: Column) -> Column:
-    """Pieces of the text with runs of digits cut from the right into threes; digits after a letter or one of ``. / - :`` stay whole."""
-    return F.split(text, r"(?<![./\-:a-zA-Z])(?<=\d)(?=(?:\d{3})+(?!\d))")
+    """Pieces of the text, runs of digits cut from the right into threes. A run that stands behind a letter or one of ``. / - :`` is an identifier and stays whole."""
+    run = F.regexp_extract_all(text, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+
+    def cut(piece: Column, i: Column) -> Column:
+        n = F.length(piece)
+        before = F.when(i > 0, F.right(F.get(run, i - 1), F.lit(1))).otherwise(F.lit(""))
+        first = F.pmod(n, F.lit(3))
+        groups = F.filter(F.concat(F.array(F.left(piece, first)), F.transform(F.sequence(F.lit(1), F.greatest(F.floor(n / 3).cast("int"), F.lit(1))), lambda k: F.substring(piece, first + (k - 1) * 3 + 1, F.lit(3)))), lambda x: x != "")
+        return F.when(piece.rlike("^[0-9]") & (n > 3) & ~before.rlike(r"[A-Za-z./\-:]"), groups).otherwise(F.array(piece))
+
+    return F.flatten(F.transform(run, cut))
 
 
 def normaliser(*steps: tuple) -> callable:
@@ -84,10 +91,33 @@ def round_trip_ok(text: Column, decoded: Column) -> Column:
     return text.eqNullSafe(decoded)
 
 
-def warmup_stable_decay(step: Column, warmup: int, stable: int, decay: int, least: float, shape: str = "cosine") -> Column:
-    """Multiplier of a schedule that rises, stays and falls to ``least``."""
-    if shape not in ("cosine", "linear"):
-        raise ValueError(f"unsupported shape {shape!r}")
-    p = F.least(F.greatest((step - warmup - stable) / max(1.0, float(decay)), F.lit(0.0)), F.lit(1.0))
-    fall = 0.5 * (1 + F.cos(p * math.pi)) if shape == "cosine" else 1 - p
-    return F.when(step < warmup, step / max(1.0, float(warmup))).when(step < warmup + stable, 1.0).when(step >= warmup + stable + decay, least).otherwise(least + (1 - least) * fall)
+def declared_tokens(config: dict) -> list[str]:
+    """Special tokens that a tokenizer's configuration declares: named ones and listed ones, texts or objects with ``content``, each once, in order."""
+    named = [v for k, v in config.items() if k.endswith("_token")]
+    listed = [*config.get("additional_special_tokens", []), *config.get("added_tokens_decoder", {}).values()]
+    texts = [v if isinstance(v, str) else (v or {}).get("content") for v in [*named, *listed]]
+    return list(dict.fromkeys(t for t in texts if t))
+
+
+class Detokeniser:
+    """Text of a stream of pieces of bytes, as far as it is whole: bytes of an unfinished character wait for the next piece."""
+
+    def __init__(self):
+        self.waiting = b""
+
+    def push(self, piece: bytes) -> str:
+        self.waiting += piece
+        for cut in range(len(self.waiting), max(-1, len(self.waiting) - 4), -1):
+            try:
+                out = self.waiting[:cut].decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            self.waiting = self.waiting[cut:]
+            return out
+        # no character is that long: what waits isn't text
+        out, self.waiting = self.waiting.decode("utf-8", "replace"), b""
+        return out
+
+    def finish(self) -> str:
+        out, self.waiting = self.waiting.decode("utf-8", "replace"), b""
+        return out

@@ -2,48 +2,38 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SUFFIXES = (".parquet", ".jsonl", ".jsonl.gz", ".json", ".ndjson")
+from siltworks.operators.segments import global_rank
+from siltworks.runtime import Stage
+from siltworks.sources.files import resolve
 
+__all__ = ["resolve"]
 
-def resolve(paths: list[str], suffixes: tuple[str, ...] = (".parquet", ".jsonl", ".jsonl.gz"), include: list[str] | None = None) -> list[str]:
-    """Files of a list of files and folders, once each, in case-folded order. ``include`` are name patterns. Nothing found is an error."""
-    from fnmatch import fnmatch
 
-    found: set[str] = set()
-    for p in paths:
-        if os.path.isfile(p):
-            found.add(os.path.abspath(p))
-        elif os.path.isdir(p):
-            for root, _, names in os.walk(p):
-                for n in names:
-                    full = os.path.abspath(os.path.join(root, n))
-                    rel = os.path.relpath(full, p)
-                    if n.endswith(suffixes) and (not include or any(fnmatch(n, x) or fnmatch(rel, x) for x in include)):
-                        found.add(full)
-        else:
-            raise FileNotFoundError(p)
-    if not found:
-        raise FileNotFoundError(f"no {'/'.join(suffixes)} files in {paths}")
-    return sorted(found, key=str.casefold)
+def with_ordinal(df: DataFrame, path: str = "_path", line: str = "_line") -> DataFrame:
+    """Adds ``ordinal``, the number of the record within its file from 0: the place of its first byte orders the records, so files of any size are numbered in pieces."""
+    st = Stage(df.sparkSession, "ordinal")
+    kept = st.keep(df)
+    ranked = global_rank(kept.select(F.struct(path, line).alias("_at")), "_at")
+    first = ranked.groupBy(F.col(f"_at.{path}").alias(path)).agg(F.min("rank").alias("_first"))
+    number = ranked.select(F.col(f"_at.{path}").alias(path), F.col(f"_at.{line}").alias(line), "rank").join(first, path).select(path, line, (F.col("rank") - F.col("_first")).alias("ordinal"))
+    return kept.join(number, [path, line])
 
 
 def read_json_lines(spark: SparkSession, paths: list[str], schema: str | T.StructType, lenient: bool = False) -> DataFrame:
-    """Parsed objects with ``_path`` and ``_bad``. Blank lines are skipped, a byte order mark is dropped. A line that isn't an object is an error, or with
+    """Parsed objects with ``_path``, ``_line`` (a number that grows along a file; see :func:`with_ordinal`) and ``_bad``. Blank lines are skipped, a byte order mark is dropped. A line that isn't an object is an error, or with
     ``lenient`` a row with ``_bad`` true that callers count and drop."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    lines = spark.read.text(paths).select(F.regexp_replace("value", "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("_path")).where(F.col("line").rlike(r"\S"))
+    lines = spark.read.text(paths).select(F.regexp_replace("value", "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("_path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("_line")).where(F.col("line").rlike(r"\S"))
     marked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = lines.select("_path", "line", F.from_json("line", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    parsed = lines.select("_path", "_line", "line", F.from_json("line", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~F.col("line").rlike(r"^\s*\{")
     if not lenient:
         bad = F.when(bad, F.raise_error(F.concat(F.lit("not a JSON object in "), "_path", F.lit(": "), F.substring("line", 1, 80))).cast("boolean")).otherwise(F.lit(False))
-    return parsed.select("_path", bad.alias("_bad"), *[F.col("r")[f.name].alias(f.name) for f in schema.fields])
+    return parsed.select("_path", "_line", bad.alias("_bad"), *[F.col("r")[f.name].alias(f.name) for f in schema.fields])
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str, prefix: str = "") -> DataFrame:
@@ -73,6 +63,24 @@ def read_any(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return out
 
 
+def evaluation_texts(df: DataFrame, language: str = "unknown", source: str = "eval", longest: int | None = None) -> DataFrame:
+    """(text, language, source) of evaluation records; absent or blank languages and sources get the defaults, blank texts are left out, and of equal (cut) texts of
+    one file the first by its cut text's digest stays once."""
+    named = lambda c, other: F.coalesce(F.when(F.trim(c) != "", F.trim(c)), F.lit(other)).alias(c)
+    text = F.left("text", F.lit(longest)) if longest else F.col("text")
+    return df.where(F.col("text").rlike(r"(?U)\S")).select(text.alias("text"), named("language", language), named("source", source)).dropDuplicates(["text"])
+
+
+def prompts(spark: SparkSession, path: str) -> DataFrame:
+    """(prompt) of a text file, one per line, or of JSON lines with ``prompt``; blank ones are left out, a JSON line without a prompt is an error."""
+    if path.endswith((".jsonl", ".jsonl.gz", ".ndjson")):
+        p = read_json_lines(spark, [path], "prompt string").select("prompt")
+        p = p.withColumn("prompt", F.when(F.col("prompt").isNull(), F.raise_error(F.lit("a line has no prompt")).cast("string")).otherwise(F.col("prompt")))
+    else:
+        p = spark.read.text(path).select(F.col("value").alias("prompt"))
+    return p.where(F.col("prompt").rlike(r"(?U)\S"))
+
+
 def texts(df: DataFrame, key: str = "text", epochs: int = 1, longest: int | None = None) -> DataFrame:
     """Non-blank texts, cut to ``longest`` characters, the whole list ``epochs`` times."""
     t = df.where(F.col(key).rlike(r"(?U)\S")).select(F.col(key).alias("text"))

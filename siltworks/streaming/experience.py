@@ -42,13 +42,19 @@ def hybrid(stream: DataFrame, stored: DataFrame, online_share: float, seed: int,
     return online.unionByName(offline)
 
 
-def resume(df: DataFrame, position: str, epoch_size: int, state: dict) -> DataFrame:
-    """Rows of the running epoch that a cursor {epoch, consumed} has not yet passed; a cursor of another dataset or version is an error."""
-    if state.get("dataset") != state.get("expected_dataset", state.get("dataset")):
-        raise ValueError("the cursor belongs to another dataset")
+def resume(df: DataFrame, position: str, epoch_size: int, state: dict, identity: str) -> DataFrame:
+    """Rows of the running epoch that a cursor {identity, consumed} has not yet passed. ``identity`` names the table and its version (a manifest's content hash); a cursor
+    of another one, or without any, is an error."""
+    if state.get("identity") != identity:
+        raise ValueError(f"the cursor belongs to {state.get('identity')!r}, not to {identity!r}")
     return df.where(F.col(position) > state.get("consumed", 0) % max(epoch_size, 1))
 
 
+def start(identity: str) -> dict:
+    """A cursor at the beginning of a table."""
+    return {"identity": identity, "consumed": 0, "epoch": 0}
+
+
 def advance(state: dict, rows: int, epoch_size: int) -> dict:
     consumed = state.get("consumed", 0) + rows
     return state | {"consumed": consumed, "epoch": consumed // max(epoch_size, 1)}

@@ -1,6 +1,7 @@
 import numpy as np
 
 from siltworks.operators import dedup
+from siltworks.operators import skew
 from siltworks.operators.skew import hot_join, hot_keys
 
 
@@ -36,7 +37,8 @@ def test_hash_split_is_stable(spark):
     assert 60 <= n["validation"] <= 140 and 60 <= n["diagnostic"] <= 140
 
 
-def test_hot_join_keeps_every_row(spark):
+def test_hot_join_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_OF_ONE_TASK", 0)
     left = spark.createDataFrame([(1, i) for i in range(3000)] + [(i, -i) for i in range(2, 50)] + [(None, 0)], "k long, v long")
     right = spark.createDataFrame([(1, "x"), (3, "y")], "k long, w string")
     assert hot_keys(left, "k") == [1]
@@ -53,3 +55,42 @@ def test_near_groups_of_many_near_copies(spark):
     texts = [b.replace(rnd.choice(b.split()), "changed", rnd.randrange(0, 2)) for b in bases for _ in range(25)]
     got = {r["doc_id"]: r["group_id"] for r in dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: i // 25 * 25 for i in range(150)}
+
+
+def test_near_edges_with_small_runs_and_cells(spark, monkeypatch):
+    """Every bucket is cut and every leader salted, and still nothing that connects similar texts is lost."""
+    import random
+
+    from siltworks.operators import dedup
+
+    monkeypatch.setattr(skew, "ROWS_OF_ONE_TASK", 0)
+    monkeypatch.setattr(dedup, "PAIRS_PER_RUN", 2)
+    monkeypatch.setattr(dedup, "BUCKET_PER_CELL", 2)
+    rnd = random.Random(4)
+    words = "river stone harbour lantern valley heavy small old bright kept moved never winter boats spring".split()
+    texts = []
+    for _ in range(12):
+        base = [rnd.choice(words) for _ in range(60)]
+        for _ in range(rnd.randrange(1, 7)):
+            w = list(base)
+            for _ in range(rnd.randrange(0, 3)):
+                w[rnd.randrange(60)] = "changed"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, ""), (902, "")], "doc_id long, text string")
+    sets = [dedup.shingle_hashes(t) for t in texts]
+    edges = dedup.near_edges(df).collect()
+    assert all(abs(r["similarity"] - dedup.jaccard(sets[r["canonical_id"]], sets[r["duplicate_id"]])) < 1e-12 for r in edges if r["duplicate_id"] < 900)
+    groups = {r["doc_id"]: r["group_id"] for r in dedup.near_groups(df).collect()}
+    similar = [(i, j) for i in range(len(texts)) for j in range(i) if dedup.jaccard(sets[i], sets[j]) >= 0.85]
+    assert similar and sum(groups[i] == groups[j] for i, j in similar) >= 0.97 * len(similar)
+    assert groups[901] == groups[902] == 901 and groups[900] == 900
+
+
+def test_duplicates_share_cluster_and_split(spark):
+    from siltworks.operators import dedup
+
+    text = "a text of which there are a good many copies, all of them word for word the same"
+    df = spark.createDataFrame([(i, text if i % 2 else f"{i} quite another one " * 5, f"p{i}", 5 - i % 3) for i in range(40)], "doc_id long, text string, parent_document_id string, source_priority int")
+    got = dedup.assign_clusters(df, dedup.duplicate_groups(df)).collect()
+    copies = [r for r in got if r["doc_id"] % 2]
+    assert len({(r["cluster"], r["split"], r["canonical_id"]) for r in copies}) == 1 and copies[0]["canonical_id"] == 5

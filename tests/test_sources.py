@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltworks.sources import readers, sinks
+from siltworks.sources.files import Files
 
 
 def test_resolve_and_read(spark, tmp_path):
@@ -14,13 +15,13 @@ def test_resolve_and_read(spark, tmp_path):
     with gzip.open(tmp_path / "sub" / "A.jsonl.gz", "wt") as f:
         f.write('{"text": "two"}\n')
     (tmp_path / "note.txt").write_text("no")
-    files = readers.resolve([str(tmp_path)])
+    files = readers.resolve(spark, [str(tmp_path)])
     assert [os.path.basename(f) for f in files] == ["b.jsonl", "A.jsonl.gz"]
     rows = readers.read_json_lines(spark, files, "text string").collect()
     assert sorted(str(r["text"]) for r in rows) == ["None", "one", "two"]
-    assert len(readers.resolve([str(tmp_path)], include=["A*"])) == 1
+    assert len(readers.resolve(spark, [str(tmp_path)], include=["A*"])) == 1
     with pytest.raises(FileNotFoundError):
-        readers.resolve([str(tmp_path)], (".parquet",))
+        readers.resolve(spark, [str(tmp_path)], (".parquet",))
 
 
 def test_bad_lines(spark, tmp_path):
@@ -61,17 +62,51 @@ def test_dataset_round_trip_and_tampering(spark, tmp_path):
     with pytest.raises(sinks.DatasetError):
         sinks.write_dataset(df.limit(0), str(tmp_path / "none"), "d", "pretraining", "v1")
     assert sorted(os.listdir(tmp_path)) == ["set"]
-    broken = sinks.load_manifest(folder) | {"version": "v2"}
-    with open(os.path.join(folder, "_manifest.json"), "w") as f:
-        json.dump(broken, f)
+    broken = sinks.load_manifest(spark, folder) | {"version": "v2"}
+    files = Files(spark)
+    files.delete(f"{folder}/_manifest.json")
+    files.write(f"{folder}/_manifest.json", json.dumps(broken))
     with pytest.raises(sinks.DatasetError):
-        sinks.load_manifest(folder)
+        sinks.load_manifest(spark, folder)
 
 
 def test_stages_and_lines(spark, tmp_path):
-    s = sinks.Stages(str(tmp_path / "st"))
+    s = sinks.Stages(spark, str(tmp_path / "st"), {"a": 1})
     assert not s.done("scan")
     s.finish("scan")
-    assert s.done("scan")
+    assert s.done("scan") and sinks.Stages(spark, str(tmp_path / "st"), {"a": 1}).done("scan")
+    with pytest.raises(sinks.DatasetError):
+        sinks.Stages(spark, str(tmp_path / "st"), {"a": 2})
+    assert not sinks.Stages(spark, str(tmp_path / "st"), {"a": 2}, restart=True).done("scan")
     sinks.write_lines(spark.createDataFrame([("a", None)], "t string, u string"), str(tmp_path / "out"))
     assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0]) == {"t": "a"}
+
+
+def test_ordinals_points_and_parts(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"text": "{name}{i}"}}\n' for i in range(20)))
+    rows = readers.with_ordinal(readers.read_json_lines(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")], "text string")).collect()
+    assert {(r["text"][0], int(r["text"][1:])) for r in rows} == {(r["text"][0], r["ordinal"]) for r in rows} and len(rows) == 40
+    folder = str(tmp_path / "set")
+    sinks.write_dataset(spark.range(100), folder, "d", "t", "1", order="id", rows_per_shard=30)
+    assert sorted(r["id"] for r in sinks.rows_at(spark, folder, [0, -1, 45]).collect()) == [0, 45, 99]
+    with pytest.raises(IndexError):
+        sinks.rows_at(spark, folder, [100])
+    assert sinks.part_ranges(10, 4) == [(0, 3), (3, 6), (6, 8), (8, 10)] and sinks.part_ranges(2, 4) == [(0, 1), (1, 2)]
+    merged = sinks.merge_parts([spark.range(5, 8), spark.range(3)], "id").collect()
+    assert [r["id"] for r in merged] == [5, 6, 7, 0, 1, 2]
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string"), spark.createDataFrame([(2, "z"), (3, "w")], "k long, v string")
+    assert sorted(map(tuple, sinks.upsert(a, b, "k").collect())) == [(1, "x"), (2, "z"), (3, "w")]
+    assert sorted(map(tuple, sinks.insert_missing(a, b, "k").collect())) == [(1, "x"), (2, "y"), (3, "w")]
+    assert sorted(map(tuple, sinks.differing_keys(a, b, "k").collect())) == [(1, "missing"), (3, "unexpected")]
+    page = sinks.preview(a.union(a), "k", "Rows", "v", rows=1)
+    assert page.startswith("# Rows") and "## 1" in page and "- y" in page
+
+
+def test_prompts_and_evaluation_texts(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("one\n\n two\n")
+    (tmp_path / "p.jsonl").write_text('{"prompt": "x"}\n')
+    assert sorted(r[0] for r in readers.prompts(spark, str(tmp_path / "p.txt")).collect()) == [" two", "one"]
+    assert readers.prompts(spark, str(tmp_path / "p.jsonl")).first()[0] == "x"
+    df = spark.createDataFrame([("a b", "", None), ("a bc", "en", "s"), (" ", None, None)], "text string, language string, source string")
+    assert [tuple(r) for r in readers.evaluation_texts(df, longest=3).collect()] == [("a b", "unknown", "eval")] or readers.evaluation_texts(df, longest=3).count() == 1

@@ -30,12 +30,6 @@ def test_hybrid(spark, tmp_path):
     assert sum(n.values()) == 400 and 140 < n["online"] < 260
 
 
-def test_resume(spark):
-    df = spark.range(1, 11).withColumnRenamed("id", "position")
-    state = experience.advance({}, 13, 10)
-    assert state == {"consumed": 13, "epoch": 1} and experience.resume(df, "position", 10, state).count() == 7
-
-
 def test_windowed_counts(spark, tmp_path):
     s = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet("/root/testdata/sf0.001/events.parquet*")
     _run(experience.windowed_counts(s, "ts", "event_type", "1 day", "1 hour"), "win", "complete")
