@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.plans import corpus, dialogue, reports
+from siltworks.plans import corpus, datasets, dialogue, reports
 
-QUERIES = {**corpus.QUERIES, **dialogue.QUERIES, **reports.QUERIES}
-ORACLE: dict[str, str] = {**corpus.ORACLE, **dialogue.ORACLE, **reports.ORACLE}
+QUERIES = {**corpus.QUERIES, **dialogue.QUERIES, **reports.QUERIES, **datasets.QUERIES}
+ORACLE: dict[str, str] = {**corpus.ORACLE, **dialogue.ORACLE, **reports.ORACLE, **datasets.ORACLE}

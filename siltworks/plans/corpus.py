@@ -313,7 +313,7 @@ h as (select x.rep as a, y.rep as b, count(*) as common from g x join g y on x.g
 ways as (select a, b from near union select b, a from near), reach as (select a as v, a as r from ways union select b, r from reach join ways on a = v), top as (select v, min(r) as r from reach group by 1)
 select d.doc_id, coalesce(t.r, r.rep, d.doc_id) as group_id from documents d left join r using (text) left join top t on t.v = r.rep""",
     "pair_jaccard": rf"""with recursive {_LINKS}, n as (select doc_id, trim(regexp_replace(lower(text), '[{_SPACE}]+', ' ', 'g'), ' ') as norm from records where text is not null),
-g as (select doc_id, norm, list_distinct(list_transform(range(1, greatest(length(norm) - 11, 2)), i -> substr(norm, i::int, 13))) as g from n where doc_id in (select a from e union select b from e))
+g as (select doc_id, norm, list_distinct(list_transform(range(1, greatest(length(norm) - 11, 2)), lambda i: substr(norm, i::int, 13))) as g from n where doc_id in (select a from e union select b from e))
 select a, b, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 9) as similarity from e left join g x on x.doc_id = a left join g y on y.doc_id = b""",
     "split_leak_audit": """select parent_document_id, array_to_string(list_sort(list(distinct s)), ',') as splits, count(*) as records
 from (select parent_document_id, lower(trim(split, e' \\t\\n\\r')) as s from documents) where parent_document_id is not null and s <> '' group by 1 having count(distinct s) > 1""",
