@@ -33,6 +33,7 @@ def byte_encoder(name: str = BYTE_BPE, folder: str = DEFAULT_DIR):
 
 
 def batch_encoder(name: str = BYTE_BPE, folder: str = DEFAULT_DIR):
-    """``encode(texts) -> list[list[int]]``; a task has one core, so one thread."""
-    encoding = _encoding(name, folder)
-    return lambda texts: encoding.encode_ordinary_batch(texts, num_threads=1)
+    """``encode(texts) -> list[list[int]]`` of a batch. The library's own batch call hands each text to a thread pool, which costs a one-core task half as much again
+    (1.6 against 1.1 CPU seconds for 20 MB), so a batch is mapped over its single-text call."""
+    encode = _encoding(name, folder).encode_ordinary
+    return lambda texts: list(map(encode, texts))
