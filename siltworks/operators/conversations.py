@@ -117,6 +117,16 @@ def labels_by_mask(ids: Column, mask: Column) -> Column:
     return F.zip_with(ids, mask, lambda i, m: F.when(m == 1, i).otherwise(-100))
 
 
+def labels_by_spans(ids: Column, spans: Column) -> Column:
+    """Labels of a text with one token per character: those inside the spans, which are in order and apart, all others ignored. Expressions run per span only."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        return F.struct(x["to"].alias("at"), F.concat(s["out"], F.array_repeat(F.lit(-100), x["from"] - s["at"]), F.slice(ids, x["from"] + 1, x["to"] - x["from"])).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.array_repeat(F.lit(-100), F.size(ids) - s["at"])))
+
+
 def chat_template(messages: Column, generation: bool = False, keep_reasoning: bool = True) -> Column:
     """Rendered conversation without empty messages, reasoning optional, a prompt for the answer at the end on demand."""
     m = F.filter(messages, lambda x: F.coalesce(x["content"], F.lit("")) != "")

@@ -9,39 +9,44 @@ from siltworks.functions.text import fold_name
 from siltworks.operators import cleaning, dedup, sampling, segments, selection
 from siltworks.operators.skew import hot_join
 from siltworks.runtime import Stage, table
+from siltworks.sources.files import Files
 
 SIZE, OVERLAP, LEAST = 256, 32, 16
 
 
-def accepted(s, d) -> DataFrame:
-    """Documents that cleaning accepts, with clean text and its length."""
+_tables: dict[tuple, DataFrame] = {}
+
+
+def _once(s, d, name: str, make) -> DataFrame:
+    """A table that one run of the preparation writes and all queries of a session read, as long as its input stays as it is."""
+    p = s._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    f = p.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(p)
+    key = (s.sparkContext.applicationId, name, d, f.getModificationTime(), f.getLen())
+    held = _tables.get(key)
+    if held is None or not Files(s).exists(held._stage_path):  # the folder may have been emptied meanwhile
+        held = _tables[key] = Stage(s, name).keep(make(s, d))
+    return held
+
+
+def _clean_documents(s, d) -> DataFrame:
     ok, _ = cleaning.quarantine(cleaning.clean(table(s, d, "documents").select("doc_id", "text", "source", "lang", "parent_document_id", "source_priority")))
     return ok.select("doc_id", "source", "lang", "source_priority", "parent_document_id", F.col("clean_text").alias("text"), F.length("clean_text").alias("n"))
 
 
-_prepared: dict[tuple, DataFrame] = {}
+def _clustered(s, d) -> DataFrame:
+    docs = accepted(s, d)
+    return docs.join(dedup.assign_clusters(docs, dedup.duplicate_groups(docs)), "doc_id")  # both unique by document
 
 
-def _version(s, path: str) -> tuple:
-    """What tells one state of a file or folder from another."""
-    p = s._jvm.org.apache.hadoop.fs.Path(path)
-    f = p.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(p)
-    return (s.sparkContext.applicationId, path, f.getModificationTime(), f.getLen())
+def accepted(s, d) -> DataFrame:
+    """Documents that cleaning accepts, with clean text and its length."""
+    return _once(s, d, "accepted", _clean_documents)
 
 
 def prepared(s, d) -> DataFrame:
     """The accepted documents after deduplication: each with the canonical record of its duplicates, the cluster of that record and the split of that cluster, so exact and
-    near copies never lie in different splits.
-
-    Like a run of the preparation this writes one table, which all queries of a session read as long as its input doesn't change."""
-    key = _version(s, f"{d}/documents.parquet")
-    if key not in _prepared:
-        st = Stage(s, "prepared")
-        docs = st.keep(accepted(s, d))
-        clusters = dedup.assign_clusters(docs, dedup.duplicate_groups(docs))
-        _prepared[key] = st.keep(docs.join(clusters, "doc_id"))  # both unique by document
-        st.drop(docs)
-    return _prepared[key]
+    near copies never lie in different splits."""
+    return _once(s, d, "prepared", _clustered)
 
 
 def _references(s, d) -> DataFrame:
@@ -73,12 +78,12 @@ def _windows(s, d):
 
 
 def _samples(s, d):
-    p = accepted(s, d).select("doc_id", segments.code_points(F.col("text")).alias("ids"))
+    p = accepted(s, d).select("doc_id", segments.encoded("text").alias("ids"))
     w = segments.segment_samples(p, "ids", SIZE, OVERLAP, LEAST)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return w.select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":segment-"), F.lpad(F.col("segment_index").cast("string"), 5, "0")).alias("sample_id"),
-        F.size("input_ids").alias("input_count"), F.size(F.filter("labels", lambda x: x != -100)).alias("loss_count"), total("input_ids").alias("input_sum"), total("labels").alias("label_sum"),
+        F.size("input_ids").alias("input_count"), F.size(F.array_remove("labels", -100)).alias("loss_count"), total("input_ids").alias("input_sum"), total("labels").alias("label_sum"),
     )
 
 

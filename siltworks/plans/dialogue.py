@@ -78,10 +78,9 @@ def _rendered(s, d):
 
 def _masked(s, d):
     """Labels with one token per character: the trained ones are those inside an assistant span."""
-    a = _accepted(s, d).select("sample_id", segments.code_points(cv.render(F.col("policy_messages"))).alias("ids"), cv.assistant_spans(F.col("policy_messages")).alias("spans"))
-    mask = cv.mask_by_spans(F.sequence(F.lit(0), F.size("ids") - 1), F.col("spans"))
-    a = a.withColumn("labels", cv.labels_by_mask(F.col("ids"), mask))
-    return a.select("sample_id", F.size("ids").alias("tokens"), F.size(F.filter("labels", lambda x: x != -100)).alias("loss_tokens"), F.aggregate("labels", F.lit(0).cast("long"), lambda x, y: x + y).alias("label_sum"))
+    a = _accepted(s, d).select("sample_id", segments.encoded(cv.render(F.col("policy_messages"))).alias("ids"), cv.assistant_spans(F.col("policy_messages")).alias("spans"))
+    a = a.select("sample_id", F.size("ids").alias("tokens"), F.explode(F.array(cv.labels_by_spans(F.col("ids"), F.col("spans")))).alias("labels"))
+    return a.select("sample_id", "tokens", F.size(F.array_remove("labels", -100)).alias("loss_tokens"), F.aggregate("labels", F.lit(0).cast("long"), lambda x, y: x + y).alias("label_sum"))
 
 
 def _report(s, d):

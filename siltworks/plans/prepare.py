@@ -15,7 +15,7 @@ from siltworks.sources.files import Files
 SPLITS = ("train", "validation", "diagnostic")
 
 
-def split_samples(docs: DataFrame, config: Preparation, encode=segments.code_points) -> DataFrame:
+def split_samples(docs: DataFrame, config: Preparation, encode=segments.encoded) -> DataFrame:
     """Samples of prepared documents (doc_id, text, source, cluster, split): token windows with identifiers and counts."""
     w = config.windows
     ids = docs.select("doc_id", "source", "cluster", "split", encode(F.col("text")).alias("ids"))
@@ -26,7 +26,7 @@ def split_samples(docs: DataFrame, config: Preparation, encode=segments.code_poi
     )
 
 
-def prepare(spark: SparkSession, docs: DataFrame, folder: str, dataset_id: str, version: str, config: Preparation = Preparation(), restart: bool = False, encode=segments.code_points, rows_per_shard: int = 50_000) -> dict:
+def prepare(spark: SparkSession, docs: DataFrame, folder: str, dataset_id: str, version: str, config: Preparation = Preparation(), restart: bool = False, encode=segments.encoded, rows_per_shard: int = 50_000) -> dict:
     """Writes ``folder``/train, /validation and /diagnostic with a manifest each, and ``manifest.json`` over all of them; returns that.
 
     ``docs`` has doc_id, text, source, parent_document_id and source_priority. A run that was interrupted goes on behind its last finished stage; a finished split is

@@ -51,9 +51,9 @@ def _packing(s, d):
 
 
 def _stream_pack(s, d):
-    p = accepted(s, d).select("doc_id", segments.code_points(F.col("text")).alias("ids"))
+    p = accepted(s, d).select("doc_id", segments.encoded("text").alias("ids"))
     x = segments.stream_pack(p, "doc_id", "ids", 512, 8)
-    return x.select("batch", "sequence", F.size("input_ids").alias("tokens"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("input_sum"), F.size(F.filter("labels", lambda v: v == -100)).alias("ignored"))
+    return x.select("batch", "sequence", F.size("input_ids").alias("tokens"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("input_sum"), (F.size("labels") - F.size(F.array_remove("labels", -100))).alias("ignored"))
 
 
 def _isolated(s, d):
