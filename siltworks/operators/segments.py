@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -120,22 +122,26 @@ def global_rank(df: DataFrame, order: str) -> DataFrame:
     return ranks if df.columns == [order] else df.join(ranks, order)
 
 
-def stream_pack(df: DataFrame, order: str, ids: str, length: int, size: int) -> DataFrame:
+def stream_pack(df: DataFrame, order: str, ids: str, length: int, size: int, encode: Callable[[Column], Column] | None = None) -> DataFrame:
     """Concatenates the ids of each micro-batch of ``size`` rows and cuts at ``length``; labels ignore the first token of a document inside a sequence. The tail is
     kept short. One micro-batch is the unit, so memory is bounded by it.
 
-    (batch, sequence, input_ids, labels, document_ids). Expressions run per document; tokens are only sliced and joined."""
+    (batch, sequence, input_ids, labels, document_ids). Expressions run per document; tokens are only sliced and joined. With ``encode``, an encoder that works
+    character by character, the column ``ids`` holds texts: they are far smaller than their tokens, so they are what is shuffled."""
     b = batches(df, order, size)
+    count_of = F.size if encode is None else F.length
     one = b.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("place", ids))).alias("rows"))
     # the start of each document in the joined ids, empty ones left out
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<place:int,start:int,stop:int>>").alias("runs"))
 
     def run(s: Column, r: Column) -> Column:
-        n = F.size(r[ids])
+        n = count_of(r[ids])
         one_run = F.array(F.struct(r["place"].cast("int").alias("place"), s["at"].alias("start"), (s["at"] + n).alias("stop")))
         return F.struct((s["at"] + n).alias("at"), F.when(n > 0, F.concat(s["runs"], one_run)).otherwise(s["runs"]).alias("runs"))
 
-    out = one.select("batch", F.flatten(F.transform("rows", lambda r: r[ids])).alias("ids"), F.aggregate("rows", begin, run, lambda s: s["runs"]).alias("runs")).where(F.size("ids") > 0)
+    parts = F.transform("rows", lambda r: r[ids])
+    joined = F.flatten(parts) if encode is None else encode(F.array_join(parts, ""))
+    out = one.select("batch", joined.alias("ids"), F.aggregate("rows", begin, run, lambda s: s["runs"]).alias("runs")).where(F.size("ids") > 0)
 
     def cut(k: Column) -> Column:
         lo, hi = k * length, (k + 1) * length

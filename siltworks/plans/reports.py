@@ -51,8 +51,7 @@ def _packing(s, d):
 
 
 def _stream_pack(s, d):
-    p = accepted(s, d).select("doc_id", segments.encoded("text").alias("ids"))
-    x = segments.stream_pack(p, "doc_id", "ids", 512, 8)
+    x = segments.stream_pack(accepted(s, d).select("doc_id", "text"), "doc_id", "text", 512, 8, segments.encoded)
     return x.select("batch", "sequence", F.size("input_ids").alias("tokens"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("input_sum"), (F.size("labels") - F.size(F.array_remove("labels", -100))).alias("ignored"))
 
 
