@@ -11,12 +11,18 @@ second literal map by which texts become ids; any other word is folded where it
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.tokenizers import BYTE_BPE, DEFAULT_DIR, read_ranks
+from siltworks.llm.token_budget import text_batches
+from siltworks.llm.tokenizers import BYTE_BPE, DEFAULT_DIR, batch_encoder, byte_encoder, read_ranks
+from siltworks.operators.profiles import entropy_and_gini
 from siltworks.runtime import Stage
 
 CACHE_WORDS = 65_536  # bound of the literal word map, about 3 MB
@@ -215,3 +221,59 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", name
     cache = _literal({r["word"]: list(r["ids"]) for r in top}, "array<int>")
     ids = bpe.folding(lambda fold: _let(cache, lambda held: F.flatten(F.transform(bpe.units(F.col(text)), lambda u: F.coalesce(_find(held, u), fold(u))))))
     return docs.select(key, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+
+
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")  # words of Latin letters: other scripts don't tell words by spaces
+#: What is counted beside tokens, as negative numbers of tokens.
+_COUNTS = {"texts": -1, "chars": -2, "bytes": -3, "words": -4, "word_pieces": -5, "whole_words": -6}
+
+
+def token_counts(docs: DataFrame, by: str = "lang", text: str = "text", name: str = BYTE_BPE, folder: str = DEFAULT_DIR) -> DataFrame:
+    """(by, token, n) of all tokens of all texts, summed per batch before anything is shuffled; negative tokens are the counts of :data:`_COUNTS`."""
+    size = len(read_ranks(name, folder))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, one = batch_encoder(name, folder), byte_encoder(name, folder)
+        pieces: dict[str, int] = {}
+        for b in batches:
+            total: dict = {}
+            groups = iter(b.column(0).to_pylist())
+            for texts in text_batches(b.column(1)):
+                for t, ids in zip(texts, encode(texts), strict=True):
+                    n = total.setdefault(next(groups), np.zeros(size + len(_COUNTS), np.int64))
+                    np.add.at(n, np.asarray(ids, np.int64), 1)
+                    words = _WORD.findall(t)
+                    for w in words:
+                        if w not in pieces:
+                            if len(pieces) > 100_000:
+                                pieces.clear()
+                            pieces[w] = len(one(" " + w))
+                    split = [pieces.get(w) or len(one(" " + w)) for w in words]
+                    n[size:] += (1, len(t), len(t.encode("utf-8", "surrogatepass")), len(words), sum(split), split.count(1))
+            for group, n in total.items():
+                used = np.flatnonzero(n)
+                number = np.where(used < size, used, size - 1 - used)
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(used), pa.string()), pa.array(number, pa.int32()), pa.array(n[used], pa.int64())], names=[by, "token", "n"])
+
+    return docs.where(F.col(text).isNotNull()).select(by, text).mapInArrow(run, f"{by} string, token int, n long").groupBy(by, "token").agg(F.sum("n").alias("n"))
+
+
+def token_profile(docs: DataFrame, by: str = "lang", text: str = "text", name: str = BYTE_BPE, folder: str = DEFAULT_DIR) -> DataFrame:
+    """Quality of a vocabulary per group and (null) overall: texts, tokens, characters and bytes per token, pieces per word, share of words that are one piece, tokens used and
+    their share of the vocabulary, entropy in bits, normalised entropy, Gini coefficient. Null texts don't count; an empty table has no rows."""
+    size = len(read_ranks(name, folder))
+    per = Stage(docs.sparkSession, "profile").keep(token_counts(docs, by, text, name, folder))
+    both = per.unionByName(per.groupBy("token").agg(F.sum("n").alias("n")).select(F.lit("all groups").alias(by), "token", "n")).withColumn(by, F.coalesce(by, F.lit("none")))
+    counted = both.groupBy(by).agg(*[F.coalesce(F.sum(F.when(F.col("token") == v, F.col("n"))), F.lit(0)).alias(k) for k, v in _COUNTS.items()])
+    spread = None
+    for group in [r[0] for r in both.select(by).distinct().collect()]:  # a handful of languages
+        one = entropy_and_gini(both.where((F.col(by) == group) & (F.col("token") >= 0)), "n").withColumn(by, F.lit(group))
+        spread = one if spread is None else spread.unionByName(one)
+    if spread is None:
+        spread = entropy_and_gini(both, "n").withColumn(by, F.lit("")).limit(0)
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 6)
+    return counted.join(spread.withColumnRenamed("total", "tokens"), by).select(
+        by, "texts", "tokens", ratio("chars", "tokens").alias("chars_per_token"), ratio("bytes", "tokens").alias("bytes_per_token"), ratio("tokens", "texts").alias("tokens_per_text"),
+        ratio("word_pieces", "words").alias("pieces_per_word"), ratio("whole_words", "words").alias("whole_word_share"), F.col("items").alias("used_tokens"),
+        F.round(F.col("items") / size, 6).alias("utilisation"), "entropy_bits", "normalised_entropy", "gini",
+    )

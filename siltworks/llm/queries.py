@@ -47,6 +47,7 @@ QUERIES = {
     "p6_members": lambda s, d: overlap.class_members(_docs(s, d)),
     "p6_report": lambda s, d: overlap.overlap_report(_docs(s, d)),
     "p8_ids": lambda s, d: bpe_corpus.encode_corpus(_docs(s, d)),
+    "p8_profile": lambda s, d: bpe_corpus.token_profile(_docs(s, d)),
     "p5_shares": lambda s, d: mixing.mix_shares(*_mix(s, d)),
 }
 

@@ -68,6 +68,18 @@ def test_a_word_of_a_hundred_thousand_letters_ends_in_seconds(spark):
     assert got == byte_encoder()(text) and time.time() - start < 90
 
 
+def test_profile_of_a_vocabulary(spark):
+    rows = [("en", "the river, the harbour"), ("en", "Haixlearnzea"), ("zh", "汉字 river"), (None, None), (None, "x")]
+    enc = byte_encoder()
+    got = {r["lang"]: r for r in bpe_corpus.token_profile(spark.createDataFrame(rows, "lang string, text string")).collect()}
+    ids = [i for lang, t in rows if lang == "en" for i in enc(t)]
+    assert got["en"]["tokens"] == len(ids) and got["en"]["used_tokens"] == len(set(ids)) and got["en"]["texts"] == 2
+    words = ["the", "river", "the", "harbour", "Haixlearnzea"]
+    assert got["en"]["pieces_per_word"] == round(sum(len(enc(" " + w)) for w in words) / 5, 6) and got["en"]["whole_word_share"] == round(sum(len(enc(" " + w)) == 1 for w in words) / 5, 6)
+    assert set(got) == {"en", "zh", "none", "all groups"} and got["all groups"]["tokens"] == sum(len(enc(t)) for _, t in rows if t)
+    assert bpe_corpus.token_profile(spark.createDataFrame([], "lang string, text string")).count() == 0
+
+
 def test_token_counts_and_flags(spark):
     rows = [(1, "hello world", 2, 2), (2, "hello", None, 1), (3, "hello", 0, 0), (4, "hello", 3, 4), (5, "hello", 6, 1), (6, "x" * 81, 2, 2), (7, " ", None, None), (8, None, -1, 5), (9, "ok", 1, -1), (10, "x" * 80, 2, 0)]
     docs = spark.createDataFrame([(*r, " Web-Moss_EN.jsonl", None, "webmoss_en", "en") for r in rows], "doc_id long, text string, raw_tokens long, cleaned_tokens long, source_name string, language string, source string, lang string").withColumn("n_tokens", F.lit("clash"))
