@@ -63,8 +63,21 @@ def instruction(df: DataFrame, name: str, group: str, category: Column, least_sc
     return _finish(df, name, group, category, F.array(message("user", ask), message("assistant", answer)))
 
 
-def conversations(df: DataFrame, name: str, group: str, category: Callable[[Column], Column], column: str = "conversations", system: str | None = None, least_user_turns: int = 1) -> DataFrame:
-    """A list of items, or the list as JSON; a system text may go first. Needs user and assistant."""
+# fixed values: where ready conversations are found, in this order
+CONVERSATION_KEYS = ("messages", "conversations", "conversation")
+
+
+def conversation_column(df: DataFrame) -> str:
+    """The column that holds the conversation; none is an error."""
+    for c in CONVERSATION_KEYS:
+        if c in df.columns:
+            return c
+    raise ValueError(f"none of {CONVERSATION_KEYS} is a column")
+
+
+def conversations(df: DataFrame, name: str, group: str, category: Callable[[Column], Column], column: str | None = None, system: str | None = None, least_user_turns: int = 1) -> DataFrame:
+    """A list of items, or the list as JSON, in ``column`` or else in the first of the usual columns; a system text may go first. Needs user and assistant."""
+    column = column or conversation_column(df)
     c = F.col(column)
     m = decode(c) if df.schema[column].dataType.simpleString() == "string" else messages_from(c)
     if system:
