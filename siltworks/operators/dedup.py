@@ -94,12 +94,12 @@ def jaccard(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, st: Stage, similar: float = SIMILAR, n: int = SHINGLE) -> DataFrame:
-    """(a, b, similarity) of the distinct ``pairs`` (a, b) whose texts are similar enough; ``texts`` is (id, text), unique by id.
+    """(a, b, similarity) of the distinct ``pairs`` (a, b), a kept table, whose texts are similar enough; ``texts`` is (id, text), unique by id.
 
     Pairs are brought together by ``a``: its text travels once per at most ``PAIRS_PER_RUN`` of its pairs and its shingles are computed once for them. A task reads its
     pairs as a stream in order, so no group is held, and an ``a`` with a third of all pairs is spread over many runs."""
     load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_RUN).cast("int").alias("runs")).where("runs > 1")
-    placed = st.keep(hot_join(pairs, load, "a", "left").withColumn("run", F.when(F.col("runs").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("runs"))).cast("int")).select("a", "run", "b"))
+    placed = hot_join(pairs, load, "a", "left").withColumn("run", F.when(F.col("runs").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("runs"))).cast("int")).select("a", "run", "b")
     heads = placed.select("a", "run").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "run", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "text")
     rest = hot_join(placed, texts.withColumnRenamed("id", "b"), "b").select("a", "run", "b", "text")
     rows = heads.unionByName(rest).repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
@@ -136,12 +136,11 @@ def near_edges(df: DataFrame, key: str = "doc_id", text: str = "text", similar:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prints = st.keep(fingerprints(docs if docs.rdd.getNumPartitions() >= parts else docs.repartition(parts), "id", "text", n, seed=seed))
     reps = prints.groupBy("digest").agg(F.min(F.struct("id", "shingles", "bands")).alias("r")).select("r.*")
-    members = reps.select("id", "shingles", F.posexplode("bands").alias("band", "bucket")).select("id", "shingles", F.xxhash64("band", "bucket").alias("k"))
-    members = st.keep(members)
+    members = st.keep(reps.select("id", "shingles", F.posexplode("bands").alias("band", "bucket")).select("id", "shingles", F.xxhash64("band", "bucket").alias("k")))
     first = members.groupBy("k").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     led = st.keep(hot_join(members, first, "k"))
     texts = st.keep(docs.join(led.select("id").distinct(), "id"))
-    to_first = st.keep(verified(led.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), texts, st, similar, n))
+    to_first = st.keep(verified(st.keep(led.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()), texts, st, similar, n))
     matched = to_first.select(F.col("a").alias("low"), F.col("b").alias("id"))
     others = led.where("id <> low")
     rest = st.keep(others.join(matched, ["low", "id"], "left_anti").select("k", "n", F.col("id").alias("x"), F.col("shingles").alias("sx")))
