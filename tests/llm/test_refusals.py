@@ -20,6 +20,17 @@ def test_ordinary_sentences_decline_nothing():
     assert [s for s in ORDINARY if pair_defects.is_refusal(s)] == []
 
 
+def test_few_of_many_ordinary_sentences_decline():
+    """Third parties that deny anything, and a first person that can't do something other than answer."""
+    others = ["The council", "He", "She", "The engine", "A passenger", "The keeper of the tower", "My neighbour", "Nobody here"]
+    denials = ["can't", "cannot", "won't", "will not", "is unable to", "isn't able to", "is not permitted to", "refuses to", "would rather not", "must decline to"]
+    verbs = ["help the guild with the harvest", "answer the letter of the mayor", "discuss the price of salt", "provide water in summer", "talk about the flood of 1880", "share the quarry", "give way at the lock", "support the roof", "move the stones before winter"]
+    mine = ["find the old map in the library", "swim across the bay in winter", "lift the stone alone", "see the tower from my window", "hear the bells at noon", "sail without the chart", "remember the year of the flood", "eat before the tide turns"]
+    said = [f"{a} {b} {c}." for a in others for b in denials for c in verbs] + [f"I {b} {c}." for b in ("can't", "cannot", "won't", "will not", "am unable to", "am not able to", "refuse to", "would rather not") for c in mine]
+    flagged = [s for s in said if pair_defects.is_refusal(s)]
+    assert len(said) == 784 and len(flagged) < 0.01 * len(said), flagged[:5]
+
+
 @pytest.mark.parametrize("answer", DECLINING)
 def test_declining(answer):
     assert pair_defects.is_refusal(answer)
