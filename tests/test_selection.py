@@ -81,3 +81,64 @@ def test_profiles(spark):
     assert (e["entropy_bits"], e["items"], e["total"]) == (1.5, 3, 4) and abs(e["gini"] - 1 / 6) < 1e-6
     s = spark.createDataFrame([([3.0, 2.0, 2.5, 2.4, 2.6],), ([1.0],)], "v array<double>").select(profiles.early_stop(F.col("v"), 3), profiles.ema(F.col("v"), 0.5)).collect()
     assert s[0][0] == 5 and s[1][0] is None and s[1][1] == 1.0
+
+
+def test_first_fit_by_running_sums_equals_the_fold(spark, monkeypatch):
+    import random
+
+    from siltworks.operators import segments, selection
+
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice([1, 3, 8, 20, 45])) for i in range(300)]
+    room, want = 400, []
+    for k, n in rows:
+        if n <= room:
+            room -= n
+            want.append(k)
+    df = spark.createDataFrame([*rows, (999, None)], "k long, n long")
+    assert sorted(r["k"] for r in selection.first_fit(df, "k", "n", 400).collect()) == want
+    monkeypatch.setattr(selection, "FOLD_ROWS", 20)
+    monkeypatch.setattr(segments, "ROWS_PER_RANGE", 50)
+    assert sorted(r["k"] for r in selection.first_fit(df, "k", "n", 400).collect()) == want
+    assert selection.first_fit(df.limit(0), "k", "n", 400).count() == 0
+
+
+def test_budgets_ranks_and_windows_in_many_ranges(spark, monkeypatch):
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from siltworks.operators import profiles, segments, selection
+
+    monkeypatch.setattr(segments, "ROWS_PER_RANGE", 30)
+    monkeypatch.setattr(selection, "ROWS_PER_SLICE", 25)
+    df = spark.range(400).select(F.col("id"), F.pmod("id", F.lit(3)).alias("g"), (F.pmod(F.col("id") * 7, F.lit(11)) + 1).alias("n"), (F.pmod(F.col("id") * 131, F.lit(400)) / 400).alias("key"))
+    ranks = {r["id"]: r["rank"] for r in segments.global_rank(df, "id").collect()}
+    assert ranks == {i: i + 1 for i in range(400)}
+    quota = spark.createDataFrame([(0, 100), (1, 0), (2, 10_000)], "g long, quota long")
+    got = {r["id"] for r in selection.within_budget(df, "g", F.col("key"), "n", quota).collect()}
+    want, rows = set(), sorted(df.collect(), key=lambda r: r["key"])
+    for g, q in ((0, 100), (1, 0), (2, 10_000)):
+        used = 0
+        for r in rows:
+            if r["g"] == g and used < q:
+                want.add(r["id"])
+                used += r["n"]
+    assert got == want
+    seen = {r["id"]: r for r in profiles.recent_window(df, "id", "n", 10, block=37).collect()}
+    n = [(i * 7) % 11 + 1 for i in range(400)]
+    assert len(seen) == 400
+    for i in (0, 5, 36, 37, 38, 74, 399):
+        part = n[max(0, i - 9) : i + 1]
+        assert abs(seen[i]["window_mean"] - statistics.fmean(part)) < 1e-9 and abs(seen[i]["window_variance"] - statistics.pvariance(part)) < 1e-9 and seen[i]["window_change"] == part[-1] - part[0]
+
+
+def test_weighted_draws_follow_the_weights(spark, monkeypatch):
+    from siltworks.operators import sampling, segments
+
+    monkeypatch.setattr(segments, "ROWS_PER_RANGE", 2)
+    w = spark.createDataFrame([("a", 1.0), ("b", 8.0), ("c", 1.0), ("d", 0.0), ("e", None), ("f", -1.0)], "k string, w double")
+    got = sampling.weighted_with_replacement(w, "w", 4000, 3, "k")
+    n = {r["k"]: r["count"] for r in got.groupBy("k").count().collect()}
+    assert sum(n.values()) == 4000 == got.select("draw").distinct().count() and set(n) == {"a", "b", "c"} and abs(n["b"] - 3200) < 150
+    assert sampling.weighted_with_replacement(w.where("w < 0"), "w", 10, 3, "k").count() == 0

@@ -110,3 +110,9 @@ def test_prompts_and_evaluation_texts(spark, tmp_path):
     assert readers.prompts(spark, str(tmp_path / "p.jsonl")).first()[0] == "x"
     df = spark.createDataFrame([("a b", "", None), ("a bc", "en", "s"), (" ", None, None)], "text string, language string, source string")
     assert [tuple(r) for r in readers.evaluation_texts(df, longest=3).collect()] == [("a b", "unknown", "eval")] or readers.evaluation_texts(df, longest=3).count() == 1
+
+
+def test_stratified_lines(spark):
+    df = spark.range(60).select(F.when(F.col("id") < 40, "a").otherwise("b").alias("_path"), F.when(F.col("id") < 40, F.col("id")).otherwise(F.col("id") - 40).alias("position"))
+    got = readers.stratified_lines(df, "position", 4, F.xxhash64("position")).collect()
+    assert len(got) == 8 and {(r["_path"], r["position"] * 4 // (40 if r["_path"] == "a" else 20)) for r in got} == {(p, b) for p in "ab" for b in range(4)}
