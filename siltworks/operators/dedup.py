@@ -124,12 +124,13 @@ def verified(pairs: DataFrame, texts: DataFrame, st: Stage, similar: float = SIM
     return rows.select("a", "b", "text").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
-def near_edges(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, n: int = SHINGLE, seed: int = 42) -> DataFrame:
+def near_edges(df: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, n: int = SHINGLE, seed: int = 42, work: dict | None = None) -> DataFrame:
     """(canonical_id, duplicate_id, similarity): verified links that connect all similar texts which share a band, copies being one text.
 
     Within a bucket every text is first compared with the smallest id. Only those it doesn't match are compared with the others of a size that can be similar:
     two texts that both match the smallest are connected through it, so no connection is lost and a bucket of n near-copies costs n comparisons, not n squared.
-    Texts are read for the members of shared buckets only, and keys of large buckets are salted."""
+    Texts are read for the members of shared buckets only, and keys of large buckets are salted. ``work``, where given, is filled with the number of distinct texts,
+    of those that share a bucket, of the pairs compared and of the largest bucket."""
     st = Stage(df.sparkSession, "near")
     docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     # hashing is far dearer than reading, so the texts are spread over all tasks of a shuffle where the input has fewer partitions
@@ -140,7 +141,8 @@ def near_edges(df: DataFrame, key: str = "doc_id", text: str = "text", similar:
     first = members.groupBy("k").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     led = st.keep(hot_join(members, first, "k"))
     texts = st.keep(docs.join(led.select("id").distinct(), "id"))
-    to_first = st.keep(verified(st.keep(led.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()), texts, st, similar, n))
+    leading = st.keep(led.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    to_first = st.keep(verified(leading, texts, st, similar, n))
     matched = to_first.select(F.col("a").alias("low"), F.col("b").alias("id"))
     others = led.where("id <> low")
     rest = st.keep(others.join(matched, ["low", "id"], "left_anti").select("k", "n", F.col("id").alias("x"), F.col("shingles").alias("sx")))
@@ -150,7 +152,10 @@ def near_edges(df: DataFrame, key: str = "doc_id", text: str = "text", similar:
     dealt = others.join(rest.select("k").distinct(), "k", "left_semi").select("k", F.pmod(F.xxhash64("id"), cells).cast("int").alias("cell"), F.col("id").alias("y"), F.col("shingles").alias("sy"))
     fits = (F.col("x") != F.col("y")) & (F.least("sx", "sy") >= similar * F.greatest("sx", "sy"))
     more = wide.join(dealt, ["k", "cell"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    out = to_first.unionByName(verified(st.keep(more), texts, st, similar, n)).distinct()
+    more = st.keep(more)
+    if work is not None:
+        work |= {"texts": members.select("id").distinct().count(), "candidates": texts.count(), "compared": leading.count() + more.count(), "largest_bucket": led.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]}
+    out = to_first.unionByName(verified(more, texts, st, similar, n)).distinct()
     return out.select(F.col("a").alias("canonical_id"), F.col("b").alias("duplicate_id"), "similarity")
 
 

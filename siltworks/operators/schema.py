@@ -75,6 +75,21 @@ def problems(df: DataFrame, kind: str, key: str = "sample_id", vocabulary: int =
     return df.select(key, F.explode(bad).alias("problem"))
 
 
+def validated(df: DataFrame, kind: str, policy: str = "skip", vocabulary: int = 2**31 - 1) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, broken rows with ``problem``, the first one); with policy ``error`` the valid side fails on the first broken row."""
+    if policy not in ("skip", "error"):
+        raise ValueError("policy is skip or error")
+    first = F.lit(None).cast("string")
+    for name, ok in reversed(checks(kind, df.columns, vocabulary).items()):
+        first = F.when(~F.coalesce(ok, F.lit(False)), name).otherwise(first)
+    marked = df.withColumn("problem", first)
+    if policy == "error":
+        valid = marked.where(F.when(F.col("problem").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("invalid sample: "), "problem")).cast("boolean")))
+    else:
+        valid = marked.where("problem is null")
+    return valid.drop("problem"), marked.where("problem is not null")
+
+
 def with_identifiers(df: DataFrame, dataset: str, source: str, ordinal: str) -> DataFrame:
     """Fills absent or blank ``sample_id`` (dataset, hyphen, eight-digit ordinal), ``dataset_id`` and ``source_id``."""
     given = lambda c: F.when(F.trim(c) != "", F.trim(c)) if c in df.columns else F.lit(None).cast("string")

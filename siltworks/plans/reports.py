@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltworks.operators import profiles, segments
-from siltworks.plans.corpus import _CLEAN, _SPLITS, _WINDOWS, LEAST, OVERLAP, SIZE, accepted, prepared
+from siltworks.operators.skew import hot_join
+from siltworks.plans.corpus import _CLEAN, _SPLITS, _WINDOWS, LEAST, OVERLAP, SIZE, _windows_sql, accepted, prepared
 from siltworks.runtime import Stage, table
 
 
@@ -21,6 +22,22 @@ def _source_counters(s, d):
     return x.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("first").alias("unique_documents"), F.sum(n).alias("chars"), F.sum(F.when(F.col("first"), n).otherwise(0)).alias("unique_chars"), F.max(n).alias("longest"))
 
 
+def _source_report(s, d):
+    """All counters of the preparation per source: what came in, what cleaning kept, what is canonical or a copy, what the windows give, and the documents of each split."""
+    raw = _docs(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    p = prepared(s, d).select("doc_id", "source", "n", "split", "canonical_id", F.sha2("text", 256).alias("digest"))
+    canon = p.select(F.col("doc_id").alias("canonical_id"), F.col("digest").alias("c_digest"))
+    own, same = F.col("doc_id") == F.col("canonical_id"), F.col("digest") == F.col("c_digest")
+    k = segments.window_count(F.col("n"), SIZE, OVERLAP)
+    kept = hot_join(p, canon, "canonical_id").groupBy("source").agg(
+        F.count(F.lit(1)).alias("accepted"), F.sum("n").alias("clean_chars"), F.sum(own.cast("int")).alias("canonical"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("unique_chars"),
+        F.sum((~own & same).cast("int")).alias("exact_duplicates"), F.sum((~own & ~same).cast("int")).alias("near_duplicates"),
+        F.sum(k).alias("segments"), F.sum(F.col("n") + 1).alias("loss_tokens"), F.sum(F.col("n") + (k - 1) * OVERLAP + 2).alias("input_tokens"), F.sum(F.greatest(F.col("n") - SIZE, F.lit(0))).alias("recovered_tokens"),
+        *[F.sum((F.col("split") == x).cast("int")).alias(x) for x in ("train", "validation", "diagnostic")],
+    )
+    return raw.join(kept, "source", "left").na.fill(0)
+
+
 def _language_counters(s, d):
     return prepared(s, d).groupBy("lang").pivot("split", ["train", "validation", "diagnostic"]).agg(F.sum("n")).na.fill(0).select("lang", *[F.col(c).cast("long").alias(c) for c in ("train", "validation", "diagnostic")])
 
@@ -162,6 +179,7 @@ QUERIES = {
     "visibility_audit": _visibility,
     "fragmentation": _fragmentation,
     "source_counters": _source_counters,
+    "source_report": _source_report,
     "language_counters": _language_counters,
     "source_shares": _source_shares,
     "tail_fragments": _tails,
@@ -251,4 +269,12 @@ f as (select event_type, i, case when v < 'inf'::double then v else 'inf'::doubl
   union all select o.event_type, o.i, case when o.v < f.best then o.v else f.best end, case when o.v < f.best then 0 else f.bad + 1 end,
   coalesce(f.stop, case when o.v >= f.best and f.bad + 1 >= 4 then o.i::int end), f.ema * (1 - 0.1::double) + o.v * 0.1::double from f join o on o.event_type = f.event_type and o.i = f.i + 1)
 select event_type, max(i)::int as evaluations, max(stop) as stopped_at, round(max_by(ema, i), 6) as smoothed from f group by 1""",
+    "source_report": f"""with recursive {_windows_sql(_SPLITS, "splits")}, raws as (select source, count(*) as documents, sum(coalesce(length(text), 0))::bigint as chars from documents group by 1),
+xs as (select s.*, s.doc_id = s.canonical_id as own, s.text = c.text as same from splits s join splits c on c.doc_id = s.canonical_id),
+kepts as (select source, count(*) as accepted, sum(n) as clean_chars, sum(own::int) as canonical, sum(case when own then n else 0 end) as unique_chars, sum((not own and same)::int) as exact_duplicates, sum((not own and not same)::int) as near_duplicates,
+  sum(greatest(n - {SIZE}, 0)) as recovered_tokens, sum((split = 'train')::int) as train, sum((split = 'validation')::int) as validation, sum((split = 'diagnostic')::int) as diagnostic from xs group by 1),
+g as (select source, count(*) as segments, sum(new_tokens + eos) as loss_tokens, sum(end_token - start_token + bos + eos) as input_tokens from w group by 1)
+select r.source, documents, chars, coalesce(accepted, 0)::bigint as accepted, coalesce(clean_chars, 0)::bigint as clean_chars, coalesce(canonical, 0)::bigint as canonical, coalesce(unique_chars, 0)::bigint as unique_chars, coalesce(exact_duplicates, 0)::bigint as exact_duplicates,
+coalesce(near_duplicates, 0)::bigint as near_duplicates, coalesce(segments, 0)::bigint as segments, coalesce(loss_tokens, 0)::bigint as loss_tokens, coalesce(input_tokens, 0)::bigint as input_tokens, coalesce(recovered_tokens, 0)::bigint as recovered_tokens,
+coalesce(train, 0)::bigint as train, coalesce(validation, 0)::bigint as validation, coalesce(diagnostic, 0)::bigint as diagnostic from raws r left join kepts using (source) left join g using (source)""",
 }

@@ -78,7 +78,9 @@ def test_near_edges_with_small_runs_and_cells(spark, monkeypatch):
             texts.append(" ".join(w))
     df = spark.createDataFrame([*enumerate(texts), (900, None), (901, ""), (902, "")], "doc_id long, text string")
     sets = [dedup.shingle_hashes(t) for t in texts]
-    edges = dedup.near_edges(df).collect()
+    work: dict = {}
+    edges = dedup.near_edges(df, work=work).collect()
+    assert work["texts"] == len({*texts, ""}) and work["texts"] >= work["candidates"] >= 2 and work["compared"] >= len(edges) and work["largest_bucket"] >= 2
     assert all(abs(r["similarity"] - dedup.jaccard(sets[r["canonical_id"]], sets[r["duplicate_id"]])) < 1e-12 for r in edges if r["duplicate_id"] < 900)
     groups = {r["doc_id"]: r["group_id"] for r in dedup.near_groups(df).collect()}
     similar = [(i, j) for i in range(len(texts)) for j in range(i) if dedup.jaccard(sets[i], sets[j]) >= 0.85]

@@ -116,6 +116,10 @@ def test_invariants_and_identifiers(spark):
     df = spark.createDataFrame([("a", [1, 2], [-100, 2], [1, 1]), (" ", [], None, None), ("c", [1, -1], [1], [2, 0])], "sample_id string, input_ids array<int>, labels array<int>, attention_mask array<int>")
     got = {(r[0], r[1]) for r in schema.problems(df, "pretraining").collect()}
     assert got == {(" ", "sample_id is blank"), (" ", "input_ids are empty"), ("c", "input_ids is out of range"), ("c", "labels aren't aligned"), ("c", "attention_mask isn't 0 or 1")}
+    ok, broken = schema.validated(df, "pretraining")
+    assert [r["sample_id"] for r in ok.collect()] == ["a"] and {r["problem"] for r in broken.collect()} == {"sample_id is blank", "input_ids is out of range"}
+    with pytest.raises(Exception, match="invalid sample"):
+        schema.validated(df, "pretraining", "error")[0].collect()
     named = schema.with_identifiers(df.withColumn("n", F.lit(7)), "set", "src", "n").collect()
     assert [r["sample_id"] for r in named] == ["a", "set-00000007", "c"] and {r["dataset_id"] for r in named} == {"set"}
     assert [f.name for f in schema.stored_schema("reward").fields][-1] == "metadata"
