@@ -176,11 +176,11 @@ def components(edges: DataFrame) -> DataFrame:
     hot = hot_keys(both, "k")
     lab = st.keep(both.groupBy("v").agg(F.least("v", F.min("k")).alias("c")))
     while True:
-        seen = hot_join(both, lab.select(F.col("v").alias("k"), "c"), "k", hot=hot).groupBy("v").agg(F.min("c").alias("near"))
-        met = st.keep(lab.join(seen, "v").select("v", "c", F.least("c", "near").alias("k")))
+        seen = hot_join(both, lab.select(F.col("v").alias("k"), "c"), "k", hot=hot, merge=True).groupBy("v").agg(F.min("c").alias("near"))
+        met = st.keep(lab.join(seen.hint("merge"), "v").select("v", "c", F.least("c", "near").alias("k")))
         up = met.groupBy(F.col("c").alias("v")).agg(F.min("k").alias("pulled"))
-        met2 = st.keep(met.join(up, "v", "left").select("v", "c", F.least("k", F.coalesce("pulled", "k")).alias("k")))
-        jump = hot_join(met2, met2.select(F.col("v").alias("k"), F.col("k").alias("top")), "k", "left")
+        met2 = st.keep(met.join(up.hint("merge"), "v", "left").select("v", "c", F.least("k", F.coalesce("pulled", "k")).alias("k")))
+        jump = hot_join(met2, met2.select(F.col("v").alias("k"), F.col("k").alias("top")), "k", "left", merge=True)
         nxt = st.keep(jump.select("v", F.least("k", F.coalesce("top", "k")).alias("c"), (F.least("k", F.coalesce("top", "k")) < F.col("c")).alias("moved")))
         st.drop(met, met2, lab)
         lab = nxt
