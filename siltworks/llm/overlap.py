@@ -8,9 +8,10 @@ bounded size, scan the training texts; matched intervals are merged into the cov
 
 An automaton only scans the training texts routed to its shard, else the work would be shards times corpus. Routing is by prefix filtering: with
 similarity 0.8 or more, the ``n - ceil(0.8 n) + m`` first substrings of both texts in one fixed order share at least ``m``, so no pair is lost; the order puts
-substrings that are common in a bounded sample last, which changes the work and never the result. The substrings are dealt to ``GROUPS`` groups, in one of
-which a similar pair must share at least ``m / GROUPS``; pairs that merely share a phrase mostly don't. The (substring, class) entries travel as packed
-NumPy arrays, a few bytes each, split by group and by size band.
+substrings that are common in a bounded sample last, which changes the work and never the result. The substrings are dealt to ``g`` groups, the more the longer
+the texts are, in one of which a similar pair must share at least ``m / g``, and in all of them ``m``; pairs that merely share a phrase mostly don't. The (substring,
+class) entries travel as packed NumPy arrays, a few bytes each, split by size band and by group; a task holds the evaluation entries of its shard, a bounded number
+at once, and lets the training entries stream past them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from siltworks.runtime import Stage
 GRAM, LEAST_CHARS, SIMILAR = 13, 60, 0.8
 SAMPLE_DOCS = 2000  # bound of the sample that tells common substrings; only the order of the routing keys depends on it
 COMMON_BITS = 22
-ENTRY_BYTES_PER_GROUP = 48_000_000  # before they are split by size band
+MOST_GROUPS = 64  # groups of keys in a size band
+EVAL_ENTRIES_PER_TURN = 6_000_000  # of 14 bytes while they are sorted
 EVAL_CHARS_PER_CELL, TRAIN_CHARS_PER_CELL = 200_000, 3_000_000
 MEMBERS_PER_CELL = 20_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -93,19 +95,22 @@ def _members(docs: DataFrame) -> DataFrame:
     )
 
 
-GROUPS = 16
-
-
 def _bands(n: np.ndarray) -> np.ndarray:
     """Size bands of factor 2."""
     return np.floor(np.log2(n)).astype(np.int64)
 
 
-def _entries(members: DataFrame, table: np.ndarray, groups: int) -> DataFrame:
+def groups_of(band: int) -> int:
+    """Groups of keys in a size band. They follow the size of the texts and never that of the corpus: a pair must share several keys in one group, and
+    with more groups that would come down to one, so that every pair with a phrase in common would be compared."""
+    return 1 << min(max(band - 6, 0), MOST_GROUPS.bit_length() - 1)
+
+
+def _entries(members: DataFrame, table: np.ndarray) -> DataFrame:
     """(shard, in_train, keys, numbers, classes, sizes): many documents per row; per entry 32 bits of the key and 16 of the number of its class within the row.
 
     A shard is a size band and a group of keys. Training classes are in the band of their size, the far fewer evaluation classes in each band in which a
-    similar training class can be."""
+    similar training class can be. All keys that a class has in a shard are in one row, or in several equal ones where tasks share a class."""
     shared = members.sparkSession.sparkContext.broadcast(table)  # 4 MB, whatever the corpus
     kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 4]
     names = ["shard", "in_train", "keys", "numbers", "classes", "sizes"]
@@ -121,23 +126,22 @@ def _entries(members: DataFrame, table: np.ndarray, groups: int) -> DataFrame:
                     continue
                 n = np.array([x[2] for x in got])
                 low, high = (_bands(n), _bands(n)) if side else (_bands(np.maximum(1, np.floor(n * SIMILAR))), _bands(np.ceil(n / SIMILAR)))
-                rows: list[tuple] = []
                 for band in range(int(low.min()), int(high.max()) + 1):
                     pick = [got[i] for i in np.flatnonzero((low <= band) & (band <= high))]
                     if not pick:
                         continue
                     k = np.concatenate([x[0] for x in pick])
                     classes, sizes = np.array([x[1] for x in pick], np.int64), np.array([x[2] for x in pick], np.uint32)
-                    number = np.repeat(np.arange(len(pick)), [len(x[0]) for x in pick])
-                    group = (k % np.uint64(groups)).astype(np.int64)
+                    number = np.repeat(np.arange(len(pick), dtype=np.uint16), [len(x[0]) for x in pick])
+                    group = (k % np.uint64(groups_of(band))).astype(np.uint8)
                     order = np.argsort(group, kind="stable")
                     k, number, group = (k[order] >> np.uint64(32)).astype(np.uint32), number[order], group[order]
                     cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                    rows: list[tuple] = []
                     for a, b in zip(cut, np.append(cut[1:], len(group)), strict=True):
                         own, local = np.unique(number[a:b], return_inverse=True)
-                        rows.append((band * groups + int(group[a]), side, k[a:b].tobytes(), local.astype(np.uint16).tobytes(), classes[own].tobytes(), sizes[own].tobytes()))
-                for at in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 64], strict=True), kinds, strict=True)], names=names)
+                        rows.append((band * MOST_GROUPS + int(group[a]), side, k[a:b].tobytes(), local.astype(np.uint16).tobytes(), classes[own].tobytes(), sizes[own].tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 got.clear()
                 seen[side].clear()
 
@@ -151,7 +155,7 @@ def _entries(members: DataFrame, table: np.ndarray, groups: int) -> DataFrame:
                 keys, n = prefix_keys(norm_col[i].as_py(), shared.value)
                 held[side].append((keys, cls, n))
                 size += len(keys)
-                if size > 2_000_000 or len(held[side]) > 60_000:
+                if size > 1_500_000 or len(held[side]) > 60_000:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -159,59 +163,133 @@ def _entries(members: DataFrame, table: np.ndarray, groups: int) -> DataFrame:
     return members.where("norm is not null").select("in_train", F.xxhash64("cls").alias("c64"), "norm").mapInArrow(run, "shard long, in_train boolean, keys binary, numbers binary, classes binary, sizes binary")
 
 
-def _candidates(entries: DataFrame, groups: int) -> DataFrame:
-    """Distinct (e64, t64) of different classes of similar size that share enough routing keys in some group."""
-
-    def unpack(t: pa.Table, side: bool) -> tuple[np.ndarray, ...]:
-        ks, cs, ns = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for row in t.filter(pa.compute.equal(t["in_train"], side)).to_pylist():
-            number = np.frombuffer(row["numbers"], np.uint16)
-            ks.append(np.frombuffer(row["keys"], np.uint32))
-            cs.append(np.frombuffer(row["classes"], np.int64)[number])
-            ns.append(np.frombuffer(row["sizes"], np.uint32)[number].astype(np.int64))
-        k, c, n = np.concatenate(ks), np.concatenate(cs), np.concatenate(ns)
-        name, c = np.unique(c, return_inverse=True)
-        order = np.lexsort((c, n, k))
-        k, c, n = k[order], c[order], n[order]
-        keep = np.ones(len(k), bool)
-        keep[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])  # one class can come from several tasks
-        return k[keep], c[keep], n[keep], name
-
-    def run(t: pa.Table) -> pa.Table:
-        ek, ec, en, e_name = unpack(t, False)
-        none = pa.table({"e64": pa.array([], pa.int64()), "t64": pa.array([], pa.int64())})
-        if not len(ek):
-            return none
-        tk, tc, tn, t_name = unpack(t, True)
-        # both sorted by key, then size: the partners of an entry that are of similar size are one range
-        size = 1 << 28
-        own = ek.astype(np.int64) * size + en
-        lo = np.searchsorted(own, tk.astype(np.int64) * size + np.ceil(tn * SIMILAR - 1e-6).astype(np.int64), "left")
-        hi = np.searchsorted(own, tk.astype(np.int64) * size + np.minimum(np.floor(tn / SIMILAR + 1e-6), size - 1).astype(np.int64), "right")
+def _unpack(row: dict) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(row[c], t) for c, t in (("keys", np.uint32), ("numbers", np.uint16), ("classes", np.int64), ("sizes", np.uint32)))
+
+
+class ShardIndex:
+    """Evaluation entries of a shard in one sorted array of 8 bytes each: 32 bits of the key, then the rank of the class by size, so that the partners of similar
+    size that have a key are one range."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, ...]]):
+        classes, sizes = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
+        first = np.unique(classes, return_index=True)[1]  # one class can come from several tasks
+        order = first[np.argsort(sizes[first], kind="stable")]
+        self.names, self.sizes = classes[order], sizes[order].astype(np.int64)
+        rank = np.full(len(classes), -1, np.int64)
+        rank[order] = np.arange(len(order))
+        self.entries = np.empty(sum(len(r[0]) for r in rows), np.uint64)
+        at = done = 0
+        while rows:  # each row is freed when it is in the array
+            keys, numbers, own, _ = rows.pop()
+            at += len(own)
+            mine = rank[len(classes) - at : len(classes) - at + len(own)][numbers]
+            kept = mine >= 0
+            n = int(kept.sum())
+            self.entries[done : done + n] = (keys[kept].astype(np.uint64) << np.uint64(32)) | mine[kept].astype(np.uint64)
+            done += n
+        self.entries = self.entries[:done]
+        self.entries.sort()
+
+    def pairs(self, keys: np.ndarray, owner: np.ndarray, classes: np.ndarray, sizes: np.ndarray, groups: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(e64, t64, shared, least) of different classes that share enough keys in this shard, for training entries ``keys`` of ``owner``, a position in ``classes``."""
+        from_rank = np.searchsorted(self.sizes, np.ceil(sizes * SIMILAR - 1e-6), "left").astype(np.uint64)
+        to_rank = np.searchsorted(self.sizes, np.floor(sizes / SIMILAR + 1e-6), "right").astype(np.uint64)
+        order = np.argsort(keys)
+        keys, owner = keys[order].astype(np.uint64) << np.uint64(32), owner[order]
+        lo, hi = np.searchsorted(self.entries, keys | from_rank[owner], "left"), np.searchsorted(self.entries, keys | to_rank[owner], "left")
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            return
         # training classes in order, so that all keys of one pair are counted together
-        by = np.argsort(tc, kind="stable")
-        by = by[hi[by] > lo[by]]
-        if not len(by):
-            return none
-        n = (hi - lo)[by]
-        ends = np.flatnonzero(np.append(tc[by][1:] != tc[by][:-1], True)) + 1
+        hit = hit[np.argsort(owner[hit], kind="stable")]
+        lo, n, owner = lo[hit], (hi - lo)[hit], owner[hit]
+        ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) + 1
         total = np.cumsum(n)
-        parts, done = [], 0
-        while done < len(by):  # a few million hits at a time, whole training classes
-            upto = int(ends[min(len(ends) - 1, np.searchsorted(total[ends - 1], (total[done - 1] if done else 0) + 2_000_000))])
-            h, m = by[done:upto], n[done:upto]
-            rep = np.repeat(h, m)
-            e = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(m) - m, m)
-            code, first, shared = np.unique(tc[rep] * len(e_name) + ec[e], return_index=True, return_counts=True)
-            least = must_share(np.minimum(tn[rep[first]], en[e[first]]))
-            code = code[shared >= -(-least // groups)]
-            pairs = np.stack([e_name[code % len(e_name)], t_name[code // len(e_name)]], 1)
-            parts.append(pairs[pairs[:, 0] != pairs[:, 1]])
+        done = 0
+        while done < len(hit):  # a million hits at a time, whole training classes
+            upto = int(ends[min(len(ends) - 1, np.searchsorted(total[ends - 1], (total[done - 1] if done else 0) + 1_000_000))])
+            m = n[done:upto]
+            e = (self.entries[np.repeat(lo[done:upto] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            code, shared = np.unique(np.repeat(owner[done:upto], m) * len(self.names) + e, return_counts=True)
+            t, e = code // len(self.names), code % len(self.names)
+            least = must_share(np.minimum(sizes[t], self.sizes[e]))
+            ok = (shared >= -(-least // groups)) & (self.names[e] != classes[t])
+            yield self.names[e[ok]], classes[t[ok]], shared[ok], least[ok]
             done = upto
-        pairs = np.concatenate(parts)
-        return pa.table({"e64": pa.array(pairs[:, 0], pa.int64()), "t64": pa.array(pairs[:, 1], pa.int64())})
 
-    return entries.groupBy("shard").applyInArrow(run, "e64 long, t64 long").distinct()
+
+def _shared_keys(entries: DataFrame, turn: int, turns: int) -> DataFrame:
+    """(e64, t64, shard, shared, least) of ``entries`` that are together by shard, evaluation before training: the evaluation entries of every ``turns``-th class
+    are held, the training ones stream past them."""
+    kinds = {"e64": pa.int64(), "t64": pa.int64(), "shard": pa.int64(), "shared": pa.int32(), "least": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, index = -1, None
+        evals: list[tuple] = []
+        trains: list[tuple] = []
+        size = 0
+
+        def match() -> Iterator[pa.RecordBatch]:
+            starts = np.cumsum([0, *(len(r[2]) for r in trains)])
+            owner = np.concatenate([r[1].astype(np.int64) + s for r, s in zip(trains, starts[:-1], strict=True)])
+            keys, classes, sizes = (np.concatenate([r[i] for r in trains]) for i in (0, 2, 3))
+            trains.clear()
+            for found in index.pairs(keys, owner, classes, sizes.astype(np.int64), groups_of(shard // MOST_GROUPS)):
+                cols = [*found[:2], np.full(len(found[0]), shard), *found[2:]]
+                if len(cols[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: v[i].as_py() for c, v in zip(b.schema.names, b.columns, strict=True)}
+                if row["shard"] != shard:
+                    if trains:
+                        yield from match()
+                    shard, index, size = row["shard"], None, 0
+                    evals.clear()
+                got = _unpack(row)
+                if not row["in_train"]:
+                    if turns > 1:
+                        mine = (got[2] % turns == turn)[got[1]]
+                        got = (got[0][mine], got[1][mine], *got[2:])
+                    evals.append(got)
+                    continue
+                if index is None and evals:
+                    index = ShardIndex(evals)
+                if index is None or not len(index.entries):
+                    continue
+                trains.append(got)
+                size += len(got[0])
+                if size > 250_000:
+                    yield from match()
+                    size = 0
+        if trains:
+            yield from match()
+
+    return entries.mapInArrow(run, "e64 long, t64 long, shard long, shared int, least int")
+
+
+def _turns(members: DataFrame) -> int:
+    """Times that the training entries have to stream past the evaluation entries of their shard, of which a task holds a bounded number at once."""
+    n = F.col("n").cast("double")
+    bands = F.sequence(F.floor(F.log2(F.floor(n * SIMILAR))).cast("int"), F.floor(F.log2(F.ceil(n / SIMILAR))).cast("int"))
+    chars = members.where("not in_train and n is not null").select("n", F.explode(bands).alias("band")).groupBy("band").agg(F.sum("n")).collect()  # a row per power of 2
+    return max([1, *(-(-int(0.27 * c) // (groups_of(b) * EVAL_ENTRIES_PER_TURN)) for b, c in chars)])
+
+
+def _candidates(entries: DataFrame, turns: int) -> DataFrame:
+    """Distinct (e64, t64) of different classes of similar size that share enough routing keys: in some group, and in all groups taken together, where a group in
+    which too few are shared to be listed counts with the most that it can have."""
+    placed = entries.repartition("shard").sortWithinPartitions("shard", "in_train")
+    found = _shared_keys(placed, 0, turns)
+    for turn in range(1, turns):
+        found = found.unionAll(_shared_keys(placed, turn, turns))
+    # a class that comes from several tasks gives equal rows
+    each = found.repartition("e64", "t64").groupBy("e64", "t64", "shard").agg(F.max("shared").alias("shared"), F.max("least").alias("least"))
+    per = each.groupBy("e64", "t64").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"), F.count(F.lit(1)).alias("listed"), F.max(F.floor(F.col("shard") / MOST_GROUPS)).alias("band"))
+    groups = F.expr(f"shiftleft(1, cast(least(greatest(band - 6, 0), {MOST_GROUPS.bit_length() - 1}) as int))")
+    return per.where(F.col("shared") + (groups - F.col("listed")) * (F.ceil(F.col("least") / groups) - 1) >= F.col("least")).select("e64", "t64")
 
 
 def _passages(text: str) -> list[str]:
@@ -275,11 +353,10 @@ def scan_cell(evals: list[tuple[int, str]], trains: Iterator[tuple[int, str, lis
 def similar_classes(members: DataFrame, st: Stage) -> DataFrame:
     """(e_cls, t_cls, similarity, coverage) for different classes of equal text, one with evaluation and one with training documents."""
     slim = members.select("doc_id", "in_train", "cls", "n")
-    count, chars = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    count = slim.count()
     sample = members.where("norm is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, count // SAMPLE_DOCS))) == 0).select("norm").limit(2 * SAMPLE_DOCS)
     table = common_table([t for t in sample.toArrow()["norm"].to_pylist()])
-    groups = GROUPS * max(1, int(chars * 0.26 * 7 // (GROUPS * ENTRY_BYTES_PER_GROUP)))
-    cand = st.keep(_candidates(_entries(members, table, groups), groups))
+    cand = st.keep(_candidates(_entries(members, table), _turns(slim)))
     involved = cand.select(F.col("e64").alias("c64")).union(cand.select(F.col("t64").alias("c64"))).distinct()
     reps = st.keep(slim.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("c64", F.xxhash64("cls")).join(involved, "c64"))
     e, t = reps.select(F.col("c64").alias("e64"), F.col("n").alias("en")), reps.select(F.col("c64").alias("t64"), F.col("n").alias("tn"))
